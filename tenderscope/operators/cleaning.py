@@ -38,6 +38,11 @@ def to_timestamp(c: Column) -> Column:
     return F.trim(c).try_cast("timestamp_ntz")
 
 
+def to_cents(x: Column) -> Column:
+    """Half-up rounding to cents, as exact money."""
+    return (F.floor(x * 100.0 + 0.5) / 100.0).cast("decimal(28,2)")
+
+
 def flag_strict(c: Column) -> Column:
     """True only for a known spelling; missing is false (market tables)."""
     return F.coalesce(F.lower(F.trim(c)).isin(*TRUE_TOKENS), F.lit(False))
@@ -233,7 +238,7 @@ def deflate(df: DataFrame, date: str, money: Sequence[str], index: DataFrame, ba
     factors = months.select(F.col("month").alias("_month"), (base / F.col("index_value")).alias("factor"))
     out = df.join(factors, F.trunc(F.col(date), "month") == F.col("_month"), "left").drop("_month")
     return out.withColumns(
-        {f"{c}_real": F.round(F.col(c).cast("double") * F.col("factor"), 2).cast("decimal(28,2)") for c in money}
+        {f"{c}_real": to_cents(F.col(c).cast("double") * F.col("factor")) for c in money}
     )
 
 

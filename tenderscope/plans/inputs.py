@@ -179,8 +179,8 @@ market as (
 
 DEFLATED_SQL = f"""
 deflated as (
-  select p.*, cast(round(cast(value as double) * factor, 2) as decimal(28,2)) as value_real,
-         cast(round(cast(base_price as double) * factor, 2) as decimal(28,2)) as base_price_real, factor
+  select p.*, cast(floor(cast(value as double) * factor * 100.0::double + 0.5::double) / 100.0::double as decimal(28,2)) as value_real,
+         cast(floor(cast(base_price as double) * factor * 100.0::double + 0.5::double) / 100.0::double as decimal(28,2)) as base_price_real, factor
   from processes p left join (
     select month, (select index_value from price_index where month = date '{BASE_MONTH}') / index_value as factor
     from price_index) f on cast(date_trunc('month', published_at) as date) = f.month
