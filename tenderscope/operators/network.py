@@ -131,6 +131,7 @@ def sample_links(
         .orderBy(F.desc("anchor"), F.desc("value"), "buyer", "supplier_id")
         .limit(caps.edges)
     )
+    kept = cut_lineage(kept)  # at most caps.edges rows, read four times below
     links = link_attributes(_with_totals(kept, edges))
     nodes = _capped_nodes(kept, edges, anchor_supplier, anchor_buyer, caps.nodes)
     ends = nodes.select("id")

@@ -112,7 +112,7 @@ def niches(e: DataFrame) -> DataFrame:
 def sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Edges of the whole network and links of the sample."""
     e = edge_table(spark, d)
-    return e, nw.sample_links(e, SUPPLIER, BUYER, niches(e), CAPS)
+    return e, cut_lineage(nw.sample_links(e, SUPPLIER, BUYER, niches(e), CAPS))
 
 
 @query("network_sample", with_views("sample", "select * from sample"))
