@@ -303,16 +303,17 @@ PCT_RULES = (
 
 def pct_rules(c: Column) -> Column:
     """Array of (rule, percentage, up to 60 characters before it)."""
-    found = [
-        F.zip_with(
-            F.regexp_extract_all(c, F.lit(p), F.lit(2)),
-            F.regexp_extract_all(c, F.lit(p), F.lit(1)),
-            lambda v, ctx, r=rule: F.struct(
-                F.lit(r).alias("rule"), v.cast("int").alias("pct"), F.trim(F.replace(ctx, F.lit("\n"), F.lit(" "))).alias("context")
-            ),
+
+    def hits(rule: str, pattern: str) -> Column:
+        def one(value: Column, before: Column) -> Column:
+            context = F.trim(F.replace(before, F.lit("\n"), F.lit(" ")))
+            return F.struct(F.lit(rule).alias("rule"), value.cast("int").alias("pct"), context.alias("context"))
+
+        return F.zip_with(
+            F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), one
         )
-        for rule, p in PCT_RULES
-    ]
+
+    found = [hits(rule, pattern) for rule, pattern in PCT_RULES]
     return F.concat(*found)
 
 

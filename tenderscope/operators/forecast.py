@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tenderscope.functions.arrays import let
+
 SEASON = 12
 Z80 = 1.64
 Model = Callable[[Column, int], Column]
@@ -36,11 +38,6 @@ def to_series(panel: DataFrame, keys: Sequence[str], month: str = "month", value
 # --- array helpers --------------------------------------------------------
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Name an intermediate value, so that it is evaluated once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

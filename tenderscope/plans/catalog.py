@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderscope.plans import cleaning, market, network, series  # noqa: F401
+from tenderscope.plans import cleaning, documents, market, network, series  # noqa: F401
 from tenderscope.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -346,10 +346,9 @@ def _topdown_errors(long: DataFrame) -> DataFrame:
     """Error per origin, segment and method: total x share, and each segment alone."""
     w = Window.partitionBy("segment").orderBy("month")  # one row per month
     long = long.withColumn("i", F.row_number().over(w))
-    n = F.max("i").over(Window.partitionBy("segment"))
-    cut = long.withColumn(
-        "origin", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: n - H * k), lambda e: e >= 24))
-    )
+    long = long.withColumn("n", F.max("i").over(Window.partitionBy("segment")))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.col("n") - H * k)
+    cut = long.withColumn("origin", F.explode(F.filter(ends, lambda e: e >= 24)))
     train = cut.where(F.col("i") <= F.col("origin"))
     shares = fc.share_paths(train.select("origin", "segment", "month", "share"), ["origin"], "segment", H)
     total = fc.to_series(train.select("origin", "month", "total").distinct(), ["origin"], value="total")
