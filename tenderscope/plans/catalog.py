@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from tenderscope.plans import cleaning, documents, market, network, series  # noqa: F401
+from tenderscope.plans import (  # noqa: F401
+    cleaning,
+    decisions,
+    documents,
+    learning,
+    market,
+    matching,
+    network,
+    series,
+    streams,
+)
 from tenderscope.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -27,7 +27,15 @@ PEER = "[05]$"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Text work is heavy per row: where a few small files would leave cores idle,
+    hash the rows over them. A scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 _ORDER = {"published_at", "base_price", "method", "state", "buyer", "buyer_name", "buyer_department"}
