@@ -393,9 +393,9 @@ def money_text(n: Column) -> Column:
     a = F.abs(n)
     return (
         F.when(n.isNull(), F.lit("—"))
-        .when(a >= 1e12, F.concat(F.lit("$ "), F.format_number(n / 1e12, "0.00"), F.lit(" billones")))
-        .when(a >= 1e9, F.concat(F.lit("$ "), F.format_number(n / 1e9, "0.0"), F.lit(" mil millones")))
-        .when(a >= 1e6, F.concat(F.lit("$ "), F.format_number(n / 1e6, "0"), F.lit(" millones")))
+        .when(a >= 1e12, F.format_string("$ %.2f billones", n / 1e12))
+        .when(a >= 1e9, F.format_string("$ %.1f mil millones", n / 1e9))
+        .when(a >= 1e6, F.format_string("$ %.0f millones", n / 1e6))
         .otherwise(F.concat(F.lit("$ "), F.translate(F.format_number(n, 0), ",", ".")))
     )
 
@@ -403,8 +403,8 @@ def money_text(n: Column) -> Column:
 def money_text_short(n: Column) -> Column:
     a = F.abs(n)
     return (
-        F.when(a >= 1e12, F.concat(F.format_number(n / 1e12, "0.0"), F.lit(" B")))
-        .when(a >= 1e9, F.concat(F.format_number(n / 1e9, "0"), F.lit(" MM")))
-        .when(a >= 1e6, F.concat(F.format_number(n / 1e6, "0"), F.lit(" M")))
-        .otherwise(F.format_number(n, "0"))
+        F.when(a >= 1e12, F.format_string("%.1f B", n / 1e12))
+        .when(a >= 1e9, F.format_string("%.0f MM", n / 1e9))
+        .when(a >= 1e6, F.format_string("%.0f M", n / 1e6))
+        .otherwise(F.format_string("%.0f", n))
     )

@@ -75,15 +75,16 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     train = df.where("is_train")
     for c in columns:
         x = F.col(c).cast("double")
-        mu, sd = train.agg(F.avg(x)).scalar(), train.agg(F.stddev_pop(x)).scalar()
-        df = df.withColumn(f"{c}_z", (x - mu) / F.when(sd == 0, 1.0).otherwise(sd))
+        fit = train.agg(F.struct(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"))).scalar()
+        df = df.withColumn(f"{c}_z", (x - fit["mu"]) / F.when(fit["sd"] == 0, 1.0).otherwise(fit["sd"]))
     return df
 
 
 def budget_bins(df: DataFrame, price: str) -> DataFrame:
     """Four right-closed ranges cut at the training quartiles."""
     q = exact_percentiles(df.where("is_train"), price, {"a": 0.25, "b": 0.5, "c": 0.75})
-    a, b, c = (q.select(x).scalar() for x in ("a", "b", "c"))
+    cuts = q.select(F.struct("a", "b", "c")).scalar()
+    a, b, c = (cuts[x] for x in ("a", "b", "c"))
     p = F.col(price).cast("double")
     return df.withColumn("budget", F.when(p <= a, "Q1_bajo").when(p <= b, "Q2").when(p <= c, "Q3").otherwise("Q4_alto"))
 

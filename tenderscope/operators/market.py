@@ -226,8 +226,8 @@ def degree_distribution(lines: DataFrame, node: str, other: str, diversified: in
         F.count_if(F.col("degree") >= diversified).alias("n_diversified"),
     )
     q = exact_percentiles(deg, "degree", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    quartile = {c: q.select(c).scalar() for c in ("q1", "median", "q3")}
-    return base.withColumns(quartile)
+    quartiles = q.select(F.struct("q1", "median", "q3")).scalar()
+    return base.withColumns({c: quartiles[c] for c in ("q1", "median", "q3")})
 
 
 def award_rate(df: DataFrame, key: str, flag: str = "awarded") -> DataFrame:

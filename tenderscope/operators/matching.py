@@ -39,40 +39,51 @@ def with_bigrams(words: Column) -> Column:
     return let(words, pairs)
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Terms and pairs of neighbours with their counts per document.
+def term_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per occurrence of a term or of a pair of neighbours."""
+    return docs.select(key, F.explode(with_bigrams(tokens(F.col(text)))).alias("term"))
 
-    A document's tokens sit in one task, so the map side already combines them.
+
+def fit_vocabulary(rows: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The most frequent terms of the corpus (ties by term).
+
+    Counts are combined map-side, so a frequent word is one row per task.
     """
-    return (
-        docs.select(key, F.explode(with_bigrams(tokens(F.col(text)))).alias("term"))
-        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.orderBy(F.desc("_n"), "term").limit(max_features).select("term")
 
 
-def fit_vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The most frequent terms of the corpus with their document counts (ties by term)."""
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("_total"), "term")
-        .limit(max_features)
-        .select("term", "df")
-    )
+def count_known(rows: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """Counts per document of vocabulary terms only: the capped vocabulary is
+    broadcast, so other terms are dropped before anything is shuffled."""
+    known = rows.join(F.broadcast(vocabulary.select("term")), "term")
+    return known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_vectors(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, key: str) -> DataFrame:
-    """One row per document: ``terms`` and L2-normalised ``weights``.
+def fit_idf(counts: DataFrame, n_docs: Column) -> DataFrame:
+    """Smooth inverse document frequency per vocabulary term (at most ``max_features`` rows)."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+        "term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")
+    )
 
-    The vocabulary is capped, so it is broadcast and unknown terms never shuffle.
-    """
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    raw = counts.join(F.broadcast(vocabulary), "term").select(key, "term", ((1.0 + F.log("tf")) * idf).alias("w"))
-    packed = raw.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("p"))  # <= max_features entries
+
+def tfidf_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """One row per document: ``terms`` and L2-normalised ``weights``."""
+    raw = counts.join(F.broadcast(idf), "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    packed = raw.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("p"))  # <= max_features entries
     norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return packed.withColumn("_n", norm).select(
-        key, F.col("p.term").alias("terms"), F.transform("p", lambda x: x["w"] / F.col("_n")).alias("weights")
-    )
+    weights = let(norm, lambda n: F.transform("p", lambda x: x["w"] / n))  # the norm once per row, not per term
+    return packed.select(key, F.col("p.term").alias("terms"), weights.alias("weights"))
+
+
+def fit_tfidf(docs: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+    """Document vectors and the fitted idf table. The counts are written once to
+    the shared folder: the idf and the vectors both read them."""
+    rows = term_rows(docs, key, text)
+    vocabulary = cut_lineage(fit_vocabulary(rows, max_features))
+    counts = cut_lineage(count_known(rows, vocabulary, key))
+    idf = fit_idf(counts, docs.agg(F.count(F.lit(1))).scalar())
+    return tfidf_vectors(counts, idf, key), idf
 
 
 # --- vectors --------------------------------------------------------------
@@ -227,11 +238,11 @@ def hybrid_vectors(calls: DataFrame, people: DataFrame, vectors: DataFrame | Non
     may lack rows: a call without one falls back to terms. Both results are
     written to the checkpoint folder once; the grid reads them twice.
     """
-    counts = cut_lineage(term_counts(people, "id", "text"))
-    vocabulary = cut_lineage(fit_vocabulary(counts, max_features))  # max_features rows
-    n = people.agg(F.count(F.lit(1))).scalar()
-    pool = people.select("id", "bonus").join(tfidf_vectors(counts, vocabulary, n, "id"), "id", "left")
-    asked = calls.select("q").join(tfidf_vectors(term_counts(calls, "q", "text"), vocabulary, n, "q"), "q", "left")
+    fitted, idf = fit_tfidf(people, "id", "text", max_features)
+    pool = people.select("id", "bonus").join(fitted, "id", "left")
+    idf = cut_lineage(idf)
+    known = count_known(term_rows(calls, "q", "text"), idf, "q")
+    asked = calls.select("q").join(tfidf_vectors(known, idf, "q"), "q", "left")
     none = F.lit(None).cast("array<double>")
     if vectors is None:
         return cut_lineage(asked.withColumn("vector", none)), cut_lineage(pool.withColumn("vector", none))

@@ -48,6 +48,7 @@ def build_edges(lines: DataFrame) -> DataFrame:
         _real_text(F.col("segment")).alias("segment"),
         _real_text(F.col("department")).alias("department"),
     ).where(F.col("buyer").isNotNull() & F.col("supplier_id").isNotNull())
+    base = cut_lineage(base)  # three groupings read it: join and clean the lines once
     pair = ["buyer", "supplier_id"]
     totals = base.groupBy(*pair).agg(
         F.coalesce(F.min("supplier_name"), F.col("supplier_id")).alias("supplier_name"),

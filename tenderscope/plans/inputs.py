@@ -26,14 +26,17 @@ ANCHOR = "07$"
 PEER = "[05]$"
 
 
+_SPREAD_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
+    return spread(df, _SPREAD_KEYS[name]) if name in _SPREAD_KEYS else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Text work is heavy per row: where a few small files would leave cores idle,
-    hash the rows over them. A scan with enough splits is left alone."""
+    """Where a few small files would leave cores idle, hash the rows over them by a
+    key later steps group on. A scan with enough splits is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 

@@ -9,7 +9,6 @@ from tenderscope.operators import matching as mt
 from tenderscope.operators.ranks import top_n_per
 from tenderscope.plans.inputs import add_view, table, with_views
 from tenderscope.plans.registry import query
-from tenderscope.session import cut_lineage
 
 CATEGORIES = ("Investigador Emérito", "Investigador Senior", "Investigador Asociado", "Investigador Junior", None)
 _CAT_SQL = "(['Investigador Emérito', 'Investigador Senior', 'Investigador Asociado', 'Investigador Junior', NULL])"
@@ -62,10 +61,7 @@ add_view(
 
 @query("tfidf_weights", with_views("weights", "select id, term, round(w, 6) as weight from weights"))
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    p = people(spark, d)
-    counts = cut_lineage(mt.term_counts(p, "id", "text"))
-    voc = mt.fit_vocabulary(counts)
-    vec = mt.tfidf_vectors(counts, voc, p.agg(F.count(F.lit(1))).scalar(), "id")
+    vec, _idf = mt.fit_tfidf(people(spark, d), "id", "text")
     return vec.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select(
         "id", F.col("x.terms").alias("term"), F.round("x.weights", 6).alias("weight")
     )
