@@ -45,7 +45,7 @@ def person_text(limit: int = 3500) -> Column:
         head,
         F.concat(F.lit("Categoría: "), person_category()),
         _joined("Áreas: ", F.slice(_list(F.col("areas_investigacion")), 1, 12)),
-        F.concat(F.lit("Perfil: "), clip_text(_filled(F.col("perfil_profesional")), 600)),
+        F.when(F.col("perfil_profesional") != "", F.concat(F.lit("Perfil: "), clip_text(F.col("perfil_profesional"), 600))),
         _joined("Líneas: ", F.transform(F.slice(_list(F.col("cvlac.lineas_investigacion")), 1, 10), lambda x: clip_text(x, 120))),
         _joined("Áreas de actuación: ", F.transform(F.slice(_list(F.col("cvlac.areas_actuacion")), 1, 8), lambda x: clip_text(x, 100))),
         _joined("Proyectos: ", F.slice(projects, 1, 8)),
