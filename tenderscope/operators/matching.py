@@ -195,11 +195,12 @@ def grid_top_k(
             for start in range(0, len(p), 512):
                 part = p.iloc[start : start + 512]
                 dense = np.zeros((len(part), len(index)))
-                for r, (ts, ws) in enumerate(zip(part["terms"], part["weights"])):
-                    if ts is not None and len(ts):
-                        at = index.get_indexer(ts)
-                        seen = at >= 0
-                        dense[r, at[seen]] = np.asarray(ws)[seen]
+                sizes = [0 if t is None else len(t) for t in part["terms"]]
+                if sum(sizes):
+                    at = index.get_indexer(np.concatenate([t for t in part["terms"] if t is not None]))
+                    values = np.concatenate([w for w in part["weights"] if w is not None])
+                    row, seen = np.repeat(np.arange(len(part)), sizes), at >= 0
+                    dense[row[seen], at[seen]] = values[seen]
                 terms[start : start + 512] = dense @ q_matrix
         raw = np.where(has_vector[None, :], w_vector * emb + w_terms * terms, terms)
         final = raw + bonus[:, None]
