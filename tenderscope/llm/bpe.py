@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 #: Entries of each memory of a Python worker.
 CACHE = 500_000
 #: Unicode white space, as the file's \s means it.
-SPACE = "\t\n\v\f\r \x85\xa0  -     　"
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_BLANKS = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(f"[{SPACE}]+")
 
