@@ -169,28 +169,36 @@ def hubs(nodes: DataFrame, k: int = 12) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, component``: smallest reachable id, by label propagation with pointer jumping.
+    """``id, component``: smallest reachable id of every node of ``source, target``.
 
-    Every round joins labels to edges (map-side minimum) and checkpoints; rounds
-    grow with the logarithm of the diameter, not with the data.
+    Large-star and small-star steps in turn: each node hands its larger, then its
+    smaller neighbours to the least one it knows. Rounds grow with the logarithm of
+    the number of nodes even on a path; edges never grow in number beyond nodes and
+    edges of the start, and the groups are only ever reduced to a minimum, so a hub
+    is combined before the shuffle and its join can be split.
     """
-    both = links.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    links = cut_lineage(links.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct())
+    hi, lo = F.greatest("source", "target"), F.least("source", "target")
+    edges = links.where(F.col("source") != F.col("target")).select(hi.alias("hi"), lo.alias("lo")).distinct()
+    mark = None
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("_near"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", "_near").alias("_new")
+        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
+            edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        jump = labels.select(F.col("id").alias("_j"), F.col("component").alias("_far"))
-        nxt = cut_lineage(
-            step.join(jump, F.col("_new") == F.col("_j"), "left").select(
-                "id", "_old", F.least("_new", "_far").alias("component")
-            )
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        large = (
+            both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         )
-        labels = nxt.select("id", "component")
-        if nxt.where(F.col("_old") != F.col("component")).isEmpty():
-            return labels
+        large = cut_lineage(large)
+        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(root, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = cut_lineage(small.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+        if now == mark:
+            break
+        mark = now
+    nodes = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
+    return nodes.join(edges.withColumnRenamed("hi", "id"), "id", "left").select("id", F.coalesce("lo", "id").alias("component"))
 
 
 def largest_component(links: DataFrame) -> DataFrame:
