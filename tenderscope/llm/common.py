@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderscope.session import cut_lineage
 
-__all__ = ["block_count", "block_of", "cut_lineage", "hash_windows", "hash_words", "mix64", "read_table", "word_table"]
+__all__ = ["block_count", "block_of", "cut_lineage", "hash_texts", "hash_windows", "hash_words", "mix64", "read_table", "slices", "word_table"]
 
 #: ASCII white space, as bytes.split() has it.
 BLANK = b"\t\n\v\f\r "
@@ -69,28 +69,50 @@ def _powers(n: int) -> np.ndarray:
 _POWER = _powers(1 << 12)
 
 
-def hash_words(raw: bytes, table: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of ``raw``, in order; words are what ``table`` leaves between spaces."""
+def hash_words(raw: bytes, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of ``raw`` in order, and the byte where each starts.
+
+    Words are what ``table`` leaves between spaces (and the other ASCII blanks).
+    """
     b = np.frombuffer(raw.translate(table), dtype=np.uint8)
+    none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     if not b.size:
-        return np.empty(0, dtype=np.uint64)
-    inside = b > 0x20
-    inside |= (b < 9) | ((b > 13) & (b < 0x20))
+        return none
+    inside = (b > 0x20) | (b < 9) | ((b > 13) & (b < 0x20))
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate(([0], edge))
     if inside[-1]:
         edge = np.concatenate((edge, [b.size]))
     if not edge.size:
-        return np.empty(0, dtype=np.uint64)
+        return none
     start, end = edge[0::2], edge[1::2]
     length = end - start
     powers = _POWER if length.max() <= _POWER.size else _powers(int(length.max()))
     keep = np.flatnonzero(inside)
-    offset = keep - np.repeat(start, length)
-    value = _BYTE[b[keep]] * powers[offset]
+    value = _BYTE[b[keep]] * powers[keep - np.repeat(start, length)]
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    return mix64(np.add.reduceat(value, first) ^ length.astype(np.uint64))
+    return mix64(np.add.reduceat(value, first) ^ length.astype(np.uint64)), start
+
+
+def slices(texts: list[bytes], most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``most`` bytes together; a longer text stands alone."""
+    out, lo, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and held + len(t) > most:
+            out.append((lo, i))
+            lo, held = i, 0
+        held += len(t)
+    if lo < len(texts):
+        out.append((lo, len(texts)))
+    return out
+
+
+def hash_texts(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after another, and where each text begins (and the last ends)."""
+    words, start = hash_words(b"\n".join(texts), table)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return words, np.searchsorted(start, begin[:-1]).tolist() + [words.size]
 
 
 def hash_windows(words: np.ndarray, size: int) -> np.ndarray:
