@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderscope.llm import q_benchmark, q_near, q_secrets, q_tokens, q_urls, q_vectors  # noqa: F401
+from tenderscope.llm import q_benchmark, q_near, q_secrets, q_tokens, q_toxicity, q_urls, q_vectors  # noqa: F401
 from tenderscope.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderscope.llm.common import read_table
 from tenderscope.llm.registry import query
-from tenderscope.llm.secrets import fit, scan
+from tenderscope.llm.secret_scan import fit, scan
 
 
 def listed(spans: Column) -> Column:
