@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tenderscope.llm import q_benchmark, q_near, q_secrets, q_tokens, q_toxicity, q_urls, q_vectors  # noqa: F401
+from tenderscope.llm import (  # noqa: F401
+    q_benchmark,
+    q_language,
+    q_licenses,
+    q_near,
+    q_pii,
+    q_secrets,
+    q_tokens,
+    q_toxicity,
+    q_urls,
+    q_vectors,
+)
 from tenderscope.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
