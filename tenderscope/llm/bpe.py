@@ -170,13 +170,15 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, outputs: bool = True) -> DataFrame:
-    """``df``'s columns named in ``keep`` (all by default) and ``n_tokens, ids_sha256, decoded_sha256``.
+def encode_decode(
+    df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = ("ids", "decoded")
+) -> DataFrame:
+    """``df``'s columns named in ``keep`` (all by default), ``n_tokens, ids_sha256, decoded_sha256`` and ``outputs``.
 
-    With ``outputs`` also ``ids`` (binary, as ``Bpe.encode`` gives them) and
-    ``decoded``. A row's own columns of these names give way to the new ones.
+    ``ids`` is binary, as ``Bpe.encode`` gives them; ``decoded`` is text. A row's own
+    columns of these names give way to the new ones.
     """
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if outputs else [])
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *outputs]
     stay = [c for c in (keep if keep is not None else df.columns) if c not in made]
     lead = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text_col}`").alias("__text"))
     kinds = {"n_tokens": T.LongType(), "ids": T.BinaryType()}
@@ -185,18 +187,14 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
         for batch in batches:
-            ids, decoded, shas = [], [], []
+            rows = []
             for text in batch.pop("__text"):
-                one = bpe.encode(text)
-                back = bpe.decode(one)
-                shas.append((len(one) // 4, hashlib.sha256(one).hexdigest(), hashlib.sha256(back).hexdigest()))
-                if outputs:
-                    ids.append(one)
-                    decoded.append(back.decode())
-            for j, c in enumerate(made[:3]):
-                batch[c] = [s[j] for s in shas]
-            if outputs:
-                batch["ids"], batch["decoded"] = ids, decoded
+                ids = bpe.encode(text)
+                decoded = bpe.decode(ids)
+                shas = {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
+                rows.append(shas | ({"ids": ids} if "ids" in outputs else {}) | ({"decoded": decoded.decode()} if "decoded" in outputs else {}))
+            for c in made:
+                batch[c] = [r[c] for r in rows]
             yield batch
 
     return lead.mapInPandas(run, schema)

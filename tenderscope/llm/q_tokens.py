@@ -13,4 +13,4 @@ from tenderscope.llm.registry import query
 @query("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return encode_decode(read_table(spark, sf_dir, "documents"), path, keep=["doc_id"], outputs=False)
+    return encode_decode(read_table(spark, sf_dir, "documents"), path, keep=["doc_id"], outputs=())
