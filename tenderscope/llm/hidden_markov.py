@@ -337,7 +337,7 @@ def expected_counts(model: Model, cls: np.ndarray, begin: np.ndarray, length: np
 def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
     """Baum-Welch over all training tokens; also the log likelihood (base e, of classes) before each step."""
     model, trail = first_model(corpus.classes, states), []
-    unseen = min(corpus.single / corpus.tokens, 0.5) if corpus.tokens else 1.0
+    unseen = min((corpus.single + 0.5) / (corpus.tokens + 1), 0.5)
     context = corpus.coded.sparkSession.sparkContext
     for _ in range(rounds if corpus.tokens else 0):
         sent = context.broadcast(model)  # states x classes

@@ -52,6 +52,8 @@ AROUND_SIGNS = ("(at)", "[at]", " dot ", "(dot)", "[dot]")
 #: Bound of the training sample, in candidates (those with the smallest hashes).
 SAMPLE = 20_000
 TREES, LEVELS, RATE, BINS = 60, 3, 0.2, 32
+#: Draws leaves to zero, so that a few oddly labelled candidates move little.
+DRAW = 10
 CHOOSE = 0.95
 
 Span = tuple[int, int, str]
@@ -174,7 +176,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
                 gs = np.bincount(key, g, minlength=many * (BINS + 1)).reshape(many, -1).cumsum(1)
                 hs = np.bincount(key, h, minlength=many * (BINS + 1)).reshape(many, -1).cumsum(1)
                 total_g, total_h = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
+                gain = gs**2 / (hs + DRAW) + (total_g - gs) ** 2 / (total_h - hs + DRAW) - total_g**2 / (total_h + DRAW)
                 k = gain.argmax(1)
                 better = gain[np.arange(many), k] > best + 1e-9
                 best = np.where(better, gain[np.arange(many), k], best)
@@ -183,7 +185,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
             at = 2 * at + 1 + (b[np.arange(y.size), feature[at]] > cut[at])
         first = 2**LEVELS - 1
         gs, hs = (np.bincount(at - first, v, minlength=nodes - first) for v in (g, h))
-        value[first:] = RATE * gs / (hs + 1)
+        value[first:] = RATE * gs / (hs + DRAW)
         model.trees.append((feature, cut, value))
         f += value[at]
     return model
@@ -216,7 +218,8 @@ def fit(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Boosted
                         x.append(features(text, *s))
                         y.append(int(s in good))
                         h.append(hash_of(text, *s))
-            yield pd.DataFrame({"h": h, "y": y, "x": x})
+            if h:
+                yield pd.DataFrame({"h": h, "y": y, "x": x})
 
     lead = df.select(F.col(f"`{text_col}`").alias("t")).where(F.col("t").isNotNull())
     chosen = lead.mapInPandas(propose, "h long, y int, x array<double>").orderBy("h").limit(sample).toArrow()

@@ -40,6 +40,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 LEAST = 20
 #: Prior odds against a run being a secret.
 ODDS = 1e6
+#: Weight, in transitions, of a character's own frequency in its transition probabilities.
+BACK = 1000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1  # and the state before the first character
 _CODE = np.full(256, -1, dtype=np.int64)
@@ -106,10 +108,13 @@ def fit(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
     texts = df.select(F.col(f"`{text_col}`").alias("t")).where(F.col("t").isNotNull())
     counts = texts.mapInPandas(count, "label long, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
-    table = np.ones((2, SIZE, SIZE))  # one pseudo-count for each transition
+    table = np.zeros((2, SIZE, SIZE))
     for r in counts.collect():  # at most 2 x SIZE x SIZE rows
-        table[r["label"], r["cell"] // SIZE, r["cell"] % SIZE] += r["n"]
-    logs = np.log(table[:, :, : SIZE - 1] / table[:, :, : SIZE - 1].sum(2, keepdims=True))
+        table[r["label"], r["cell"] // SIZE, r["cell"] % SIZE] = r["n"]
+    table = table[:, :, : SIZE - 1]
+    # a transition that is rare in training falls back to how common its character is
+    single = (table.sum(1) + 1) / (table.sum((1, 2)) + SIZE - 1)[:, None]
+    logs = np.log((table + BACK * single[:, None, :]) / (table.sum(2, keepdims=True) + BACK))
     out = np.zeros((SIZE, SIZE))
     out[:, : SIZE - 1] = logs[0] - logs[1]
     return out.reshape(-1)

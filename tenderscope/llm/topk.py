@@ -84,11 +84,10 @@ def _exact_cell(qid, q, cid, c, k: int):
     """The same for components so large that doubles would round: Python integers."""
     for i, row in enumerate(q):
         a = [int(x) for x in row]
-        found = [(-sum(x * int(y) for x, y in zip(a, other)), int(o)) for o, other in zip(cid, c) if o != qid[i]]
-        found = sorted(found)[:k]
+        score = (sum(x * int(y) for x, y in zip(a, other)) for other in c)
+        found = sorted((-max(min(s, 2**63 - 1), -(2**63)), int(o)) for s, o in zip(score, cid) if o != qid[i])[:k]
         if found:
-            scores = np.array([max(min(-s, 2**63 - 1), -(2**63)) for s, _ in found], dtype=object)
-            yield int(qid[i]), np.array([o for _, o in found]), scores
+            yield int(qid[i]), np.array([o for _, o in found]), np.array([-s for s, _ in found], dtype=object)
 
 
 def exact_top_k(
