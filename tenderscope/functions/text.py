@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 from tenderscope.functions.dates import MONTHS
 
-# Accented letters and their plain forms.
-_ACCENTED = "áéíóúüñÁÉÍÓÚÜÑàèìòùâêîôûäëïöçÀÈÌÒÙÂÊÎÔÛÄËÏÖÇ"
-_PLAIN = "aeiouunAEIOUUNaeiouaeiouaeiocAEIOUAEIOUAEIOC"
+#: Latin letters that decompose into a plain letter and marks, by that rule.
+_ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0] < "\x80")
+_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
 def first_match(subject: Column, rules: Sequence[tuple[str, str]], default: str | None = None) -> Column:
@@ -37,7 +38,8 @@ def short_label(c: Column, n: int) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Plain letters for accented Latin ones, composed or followed by combining marks."""
+    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
 
 
 def norm_upper(c: Column) -> Column:
@@ -295,9 +297,9 @@ def parse_money(c: Column) -> Column:
 
 # Administrative percentage formulas.
 PCT_RULES = (
-    ("minimo_obligatorio_pct", r"(?is)(.{0,60})m[íi]nimo\s+al?\s+(\d+)\s*%.{0,100}?obligatoria"),
-    ("maximo_pct", r"(?is)(.{0,60})no\s+podr[áa]\s+ser\s+mayor\s+al\s+(\d+)\s*%"),
-    ("tope_pct", r"(?is)(.{0,60})no\s+(?:debe\s+)?super(?:e|a)(?:r)?\s+el\s+(\d+)\s*%"),
+    ("minimo_obligatorio_pct", r"(?is)m[íi]nimo\s+al?\s+(\d+)\s*%.{0,100}?obligatoria"),
+    ("maximo_pct", r"(?is)no\s+podr[áa]\s+ser\s+mayor\s+al\s+(\d+)\s*%"),
+    ("tope_pct", r"(?is)no\s+(?:debe\s+)?super(?:e|a)(?:r)?\s+el\s+(\d+)\s*%"),
 )
 
 
@@ -305,14 +307,25 @@ def pct_rules(c: Column) -> Column:
     """Array of (rule, percentage, up to 60 characters before it)."""
 
     def hits(rule: str, pattern: str) -> Column:
-        def one(value: Column, before: Column) -> Column:
-            context = F.trim(F.replace(before, F.lit("\n"), F.lit(" ")))
-            return F.struct(F.lit(rule).alias("rule"), value.cast("int").alias("pct"), context.alias("context"))
-
-        return F.zip_with(
-            F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), one
+        whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        value = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        # what stands between the hits, and so before each of them
+        gaps = F.split(c, pattern)
+        before = F.transform(
+            whole,
+            lambda _w, i: F.concat(
+                F.array_join(F.zip_with(F.slice(gaps, F.lit(1), i), F.slice(whole, F.lit(1), i), lambda g, w: F.concat(g, w)), ""),
+                F.get(gaps, i),
+            ),
         )
 
+        def one(v: Column, text: Column) -> Column:
+            near = F.substr(text, F.greatest(F.length(text) - 59, F.lit(1)))
+            context = F.replace(F.trim(F.regexp_replace(near, r"(?U)^\s+|\s+$", "")), F.lit("\n"), F.lit(" "))
+            return F.struct(F.lit(rule).alias("rule"), v.cast("int").alias("pct"), context.alias("context"))
+
+        return F.zip_with(value, before, one)
+
     found = [hits(rule, pattern) for rule, pattern in PCT_RULES]
     return F.concat(*found)
 

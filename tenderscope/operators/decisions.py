@@ -17,7 +17,7 @@ ALLY_ROLES = ("aliada", "aliado", "colaboradora", "colaborador")
 CONDITION_RISKS = (
     ("territorio", r"sede|municipio|region|departamento|sgr|domicilio"),
     ("acreditacion", r"acreditacion"),
-    ("grupos", r"grupo|categoriz|a1|\ba\b|\bb\b|\bc\b|957"),
+    ("grupos_minciencias", r"grupo|categoriz|a1|\ba\b|\bb\b|\bc\b|957"),
     ("experiencia", r"experiencia|sgr|50\s*%"),
 )
 TEAM_SCORE, TEAM_FALLBACK, TEAM_CAP = 0.65, 3, 6

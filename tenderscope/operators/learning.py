@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -157,19 +157,35 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = CATEGORI
 
 
 def fit_binary(train: DataFrame, y: str, numeric: Sequence[str], kind: str = "gbt", categorical: Sequence[str] = CATEGORICAL, **params) -> PipelineModel:
-    """``logistic`` or ``gbt`` with balanced weights (column ``weight``)."""
-    if kind == "logistic":
-        model = LogisticRegression(labelCol=y, weightCol="weight", standardization=True, **{"maxIter": 100, **params})
-    else:
+    """``logistic`` or ``gbt`` with balanced weights (column ``weight``).
+
+    The logistic fit drops the first level of each category, scales every feature to
+    unit deviation, and carries the usual L2 penalty of one half per unit weight.
+    """
+    if kind != "logistic":
         model = GBTClassifier(labelCol=y, weightCol="weight", seed=42, **{"maxDepth": 6, "stepSize": 0.08, "maxIter": 200, **params})
-    return Pipeline(stages=[*feature_stages(numeric, categorical), model]).fit(train)
+        return Pipeline(stages=[*feature_stages(numeric, categorical), model]).fit(train)
+    front = Pipeline(stages=feature_stages(numeric, categorical)).fit(train)
+    keep, at = list(range(len(numeric))), len(numeric)
+    for labels in front.stages[0].labelsArray:
+        keep += range(at + 1, at + len(labels))
+        at += len(labels)
+    total = train.agg(F.sum("weight")).first()[0]
+    rest = [
+        VectorSlicer(inputCol="features", outputCol="_kept", indices=keep),
+        StandardScaler(inputCol="_kept", outputCol="_scaled"),
+        LogisticRegression(
+            labelCol=y, featuresCol="_scaled", weightCol="weight", standardization=False, **{"maxIter": 1000, "regParam": 1.0 / total, **params}
+        ),
+    ]
+    return PipelineModel([*front.stages, *Pipeline(stages=rest).fit(front.transform(train)).stages])
 
 
 def fit_multiclass(train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL, **params) -> PipelineModel:
     """One boosted model per class."""
     to_index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     gbt = GBTClassifier(seed=42, **{"maxDepth": 6, "stepSize": 0.08, "maxIter": 200, **params})
-    ovr = OneVsRest(classifier=gbt, labelCol="_label", featuresCol="features")
+    ovr = OneVsRest(classifier=gbt, labelCol="_label", featuresCol="features", parallelism=8)
     return Pipeline(stages=[to_index, *feature_stages(numeric, categorical), ovr]).fit(train)
 
 
@@ -184,11 +200,11 @@ def probability(scored: DataFrame) -> DataFrame:
 
 
 def coefficients(model: PipelineModel, numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL) -> list[tuple[str, float]]:
-    """Feature names with their weights (one per feature, so driver-sized), largest magnitude first."""
+    """Feature names with their weights on the scale of unit deviations (one per feature, so driver-sized), largest magnitude first."""
     index = model.stages[0]
     names = list(numeric)
     for c, labels in zip(categorical, index.labelsArray):
-        names += [f"{c}={v}" for v in labels]
+        names += [f"{c}={v}" for v in labels[1:]]
     values = model.stages[-1].coefficients.toArray()
     return sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda t: (-abs(t[1]), t[0]))
 

@@ -13,13 +13,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS_PER_UNIT = 1024  # ~0.1 % relative width; < 50 000 buckets up to 1e18
+BUCKETS_PER_UNIT = 1024  # for each doubling: ~0.07 % relative width
+SMALLEST = 1100 * BUCKETS_PER_UNIT  # lifts the bucket of the smallest double above zero
 
 
 def log_bucket(value: Column) -> Column:
-    """Monotone, data-independent bucket of a number."""
+    """Monotone, data-independent bucket of a number, as narrow near zero as far from it."""
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BUCKETS_PER_UNIT)).cast("long")
+    size = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_UNIT) + SMALLEST
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("long")
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:

@@ -66,7 +66,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     cells = df.groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     freq = cells.groupBy("_v").agg(F.sum("_n").alias("_c"))
     ranked = average_ranks(freq, "_v", "_c", "_rank")
-    ties = freq.agg(F.sum(F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).cast("double")).scalar()
+    ties = freq.agg(F.sum(F.col("_c").cast("double") * F.col("_c") * F.col("_c") - F.col("_c"))).scalar()
     per = cells.join(ranked.select("_v", "_rank"), "_v").groupBy(group).agg(
         F.sum(F.col("_rank") * F.col("_n")).alias("_r"), F.sum("_n").alias("_g")
     )

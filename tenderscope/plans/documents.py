@@ -189,7 +189,7 @@ def pct_rules(spark: SparkSession, d: str) -> DataFrame:
     made = F.concat(
         F.col("p_name"), F.lit(" aporte mínimo a "), size.cast("string"), F.lit("% de contrapartida obligatoria"),
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(". de contrapartida "), F.col("p_name"), F.lit(" no podrá ser mayor al "), (size + 1).cast("string"), F.lit(" %"))).otherwise(""),
-        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\n" * 61 + "el gasto no debe superar el "), (size + 2).cast("string"), F.lit("%"))).otherwise(""),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(". el gasto no debe superar el "), (size + 2).cast("string"), F.lit("%"))).otherwise(""),
     )
     rows = table(spark, d, "part").select("p_partkey", F.inline(tx.pct_rules(made)))
     # the context window of the second rule also reaches the first sentence: keep what follows the last stop
@@ -276,7 +276,7 @@ def budget_items(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
     rows = F.concat(
         F.array(F.array(F.lit("Rubro"), F.lit("Descripcion"))),
-        F.transform(lines, lambda s: F.array(F.substring(s, 1, 12), F.substring(s, 13, 1_000_000))),
+        F.transform(lines, lambda s: F.array(F.substring(s, 1, 12), F.substr(s, F.lit(13)))),
     )
     tables = table(spark, d, "documents").select("doc_id", F.array(rows).alias("cells"))
     return dc.budget_items(tables, "doc_id", "cells")

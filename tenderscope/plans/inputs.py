@@ -17,7 +17,7 @@ CAP = 104_000
 RATIO = 5
 FLOOR = 10_000
 MEGA_QUANTILE = 0.75
-TOP_ROTATION = 20
+TOP_ROTATION = 50
 MIN_PROCESSES = 20
 COMPETITIVE = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 CUT = "2000-01-01"
@@ -26,19 +26,8 @@ ANCHOR = "07$"
 PEER = "[05]$"
 
 
-_SPREAD_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey"}
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df, _SPREAD_KEYS[name]) if name in _SPREAD_KEYS else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Where a few small files would leave cores idle, hash the rows over them by a
-    key later steps group on. A scan with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 _ORDER = {"published_at", "base_price", "method", "state", "buyer", "buyer_name", "buyer_department"}

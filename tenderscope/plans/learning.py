@@ -11,7 +11,6 @@ from tenderscope.plans.registry import query
 from tenderscope.session import cut_lineage
 
 NUM = [*ln.NUMERIC, "buyer_te"]
-FIT_ROUNDS = 10  # boosting rounds of the registered fits; the library default is 200
 
 add_view(
     "model_rows",
@@ -198,9 +197,10 @@ def _binary(rows: DataFrame, kind: str, **params: int) -> DataFrame:
 
 
 def _metrics(test: DataFrame, name: str) -> DataFrame:
-    out = ln.accuracy(test, "y", "pred").withColumn("model", F.lit(name))
+    f1 = ln.class_report(test, "y", "pred").where(F.col("label") == 1).select("f1").scalar()
+    out = ln.accuracy(test, "y", "pred").withColumns({"model": F.lit(name), "f1": f1})
     scores = {"auc_roc": ln.auc(test, "y", "prob").select("auc_roc").scalar(), "auc_pr": ln.average_precision(test, "y", "prob").select("auc_pr").scalar()}
-    return out.withColumns(scores).select("model", "n", "accuracy", "auc_roc", "auc_pr")
+    return out.withColumns(scores).select("model", "n", "accuracy", "f1", "auc_roc", "auc_pr")
 
 
 @query("fit_logistic")
@@ -210,20 +210,23 @@ def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fit_gbt")
 def fit_gbt(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(cut_lineage(_binary(encoded(spark, d), "gbt", maxIter=FIT_ROUNDS).select("y", "pred", "prob")), "gbt")
+    return _metrics(cut_lineage(_binary(encoded(spark, d), "gbt").select("y", "pred", "prob")), "gbt")
 
 
 @query("model_log")
 def model_log(spark: SparkSession, d: str) -> DataFrame:
     rows = encoded(spark, d)
     rule = ln.rate_by(rows, "method", "y").where(~F.col("is_train"))
-    logit = cut_lineage(_binary(rows, "logistic").select("y", "pred", "prob"))
-    return ln.model_log([_metrics(rule, "rule_by_method"), _metrics(logit, "logistic")])
+    fits = {kind: cut_lineage(_binary(rows, kind).select("y", "pred", "prob")) for kind in ("logistic", "gbt")}
+    share = ln.majority(rows, "y")
+    most = rows.where(~F.col("is_train")).select("y", share.alias("pred"), F.lit(0.5).alias("prob"))
+    named = {"majority": cut_lineage(most), "rule_by_method": rule, **fits}
+    return ln.model_log([_metrics(test, name) for name, test in named.items()])
 
 
 def _multiclass(rows: DataFrame, label: str, numeric: list[str]) -> DataFrame:
     train = rows.where("is_train")
-    model = ln.fit_multiclass(train, label, numeric, maxIter=3, maxDepth=4)
+    model = ln.fit_multiclass(train, label, numeric)
     test = ln.with_label(model, model.transform(rows.where(~F.col("is_train")))).select(label, "pred")
     maj = ln.majority(rows, label)
     return ln.accuracy(test, label, "pred").withColumn(

@@ -43,7 +43,7 @@ def call_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
 
 
-_TOK = "regexp_extract_all(lower({c}), '[a-z0-9_ß-öø-ÿ]{{2,}}')"
+_TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 _TERMS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
 add_view(
     "weights",
@@ -260,7 +260,7 @@ def rank_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 # --- evidence -------------------------------------------------------------
 
-_EV = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9_ß-öø-ÿ]+'), lambda x: regexp_matches(x, '^[a-záéíóúñ]{{3,}}$'))"
+_EV = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-záéíóúñ]{{3,}}$'))"
 _STOP_SQL = "[" + ",".join(f"'{w}'" for w in mt.EVIDENCE_STOP) + "]"
 add_view(
     "evidence",

@@ -43,7 +43,7 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("s", _sentences())
     kinds = F.array(*[F.lit(x) for x in ("habilitante", "documental", "tecnico", "otro")])
     needs = F.transform(
-        F.slice("s", 2, 1_000_000),
+        F.slice("s", F.lit(2), F.size("s")),
         lambda x, i: F.struct(
             x.alias("texto"),
             F.get(kinds, (i % 4).cast("int")).alias("tipo"),

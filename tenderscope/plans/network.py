@@ -11,6 +11,8 @@ from tenderscope.plans.inputs import with_views
 from tenderscope.plans.registry import query
 from tenderscope.session import cut_lineage
 
+#: Processes from which a buyer's concentration counts (over its edges).
+NICHE_PROCESSES = 20
 CAPS = nw.SampleCaps(seed_buyers=20, suppliers_per_buyer=5, hub_suppliers=10, buyers_per_hub=3, niches=3, nodes=60, edges=90)
 SUPPLIER = "^Supplier#0*7$"
 BUYER = "^Customer#0*7$"
@@ -34,8 +36,9 @@ inp.add_view(
     "edges",
     f"""marked as (select *, regexp_matches(supplier_name, '{SUPPLIER}') or regexp_matches(buyer, '{BUYER}') as anchor,
         sum(value) over (partition by buyer) as buyer_total, sum(value) over (partition by supplier_id) as supplier_total from edges),
+    niche_ok as (select buyer from edges group by 1 having sum(n_processes) >= {NICHE_PROCESSES}),
     niche as (select buyer from (select buyer, sum(s * s) as h from (select buyer, cast(value as double) / cast(buyer_total as double) as s from marked)
-        group by 1 order by round(h * 10000, 6) desc, buyer limit {CAPS.niches})),
+        group by 1 having buyer in (select buyer from niche_ok) order by round(h * 10000, 6) desc, buyer limit {CAPS.niches})),
     seeds as (select buyer from (select buyer from edges group by 1 order by sum(value) desc, buyer limit {CAPS.seed_buyers})
         union select buyer from edges where regexp_matches(buyer, '{BUYER}') union select buyer from niche),
     hub as (select supplier_id from edges group by 1 order by sum(value) desc, supplier_id limit {CAPS.hub_suppliers}),
@@ -106,7 +109,9 @@ def edge_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def niches(e: DataFrame) -> DataFrame:
-    return e.groupBy("buyer").agg(F.round(hhi(F.col("value")), 6).alias("_h")).orderBy(F.desc("_h"), "buyer").limit(CAPS.niches)
+    """The most concentrated buyers among those with enough processes."""
+    per = e.groupBy("buyer").agg(F.round(hhi(F.col("value")), 6).alias("_h"), F.sum("n_processes").alias("_n"))
+    return per.where(F.col("_n") >= NICHE_PROCESSES).orderBy(F.desc("_h"), "buyer").limit(CAPS.niches)
 
 
 def sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from tenderscope.plans import inputs as inp
 from tenderscope.plans.inputs import table, with_views
 from tenderscope.plans.market import LABEL_SQL, monthly
 from tenderscope.plans.registry import query
+from tenderscope.session import cut_lineage
 
 H = 6
 LABEL_OF = LABEL_SQL.replace("(month)", "({c})")
@@ -185,7 +186,7 @@ def projection(s: DataFrame) -> DataFrame:
     ),
 )
 def fc_summary(spark: SparkSession, d: str) -> DataFrame:
-    proj = projection(series(spark, d))
+    proj = cut_lineage(projection(cut_lineage(series(spark, d))))
     agg = proj.groupBy("key").agg(
         F.min(F.struct((-F.col("pred")).alias("v"), "month")).getField("month").alias("peak"),
         F.min(F.struct("pred", "month")).getField("month").alias("valley"),
@@ -301,8 +302,11 @@ inp.add_view(
 
 
 def segment_panel_long(spark: SparkSession, d: str) -> DataFrame:
+    return panel_shares(cut_lineage(panel(spark, d)))
+
+
+def panel_shares(p: DataFrame) -> DataFrame:
     """Segment counts and shares for the months present in every segment and in the total."""
-    p = panel(spark, d)
     seg = p.where(F.col("key") != "ALL").select(F.col("key").alias("segment"), "month", "y")
     tot = p.where(F.col("key") == "ALL").select("month", F.col("y").alias("total"))
     n = seg.select("segment").distinct().agg(F.count(F.lit(1))).scalar()
@@ -324,8 +328,8 @@ def segment_panel_long(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def segment_panel(spark: SparkSession, d: str) -> DataFrame:
-    names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    long = segment_panel_long(spark, d)
+    long = cut_lineage(segment_panel_long(spark, d))
+    names = [r["segment"] for r in long.select("segment").distinct().orderBy("segment").collect()]  # one row for each segment
     wide = long.groupBy("month", "total").pivot("segment", names).agg(F.max("y"))
     return wide.select("month", "total", *[F.col(n).alias(n.lower()) for n in names]).dropna()
 
@@ -369,8 +373,8 @@ def _topdown_errors(long: DataFrame) -> DataFrame:
     )
 
 
-def topdown_scores(spark: SparkSession, d: str) -> DataFrame:
-    per = _topdown_errors(segment_panel_long(spark, d)).groupBy("segment", "method").agg(
+def topdown_scores(long: DataFrame) -> DataFrame:
+    per = _topdown_errors(long).groupBy("segment", "method").agg(
         F.percentile("mape", 0.5).alias("_med"), F.avg("mape").alias("_avg")  # three windows
     )
     every = per.groupBy("method").agg(F.avg("_med").alias("_med"), F.avg("_avg").alias("_avg")).withColumn("segment", F.lit("*"))
@@ -396,7 +400,7 @@ inp.add_view(
 
 @query("topdown_backtest", with_views("tds", "select * from tds"))
 def topdown_backtest(spark: SparkSession, d: str) -> DataFrame:
-    return topdown_scores(spark, d)
+    return topdown_scores(cut_lineage(segment_panel_long(spark, d)))
 
 
 def choose_topdown(scores: DataFrame) -> Column:
@@ -422,10 +426,10 @@ def choose_topdown(scores: DataFrame) -> Column:
     ),
 )
 def topdown_forecast(spark: SparkSession, d: str) -> DataFrame:
-    s = series(spark, d)
-    proj = projection(s)
-    long = segment_panel_long(spark, d)
-    choice = choose_topdown(topdown_scores(spark, d))
+    p = cut_lineage(panel(spark, d))  # segments x months: everything below reads it many times
+    proj = cut_lineage(projection(cut_lineage(fc.to_series(p, ["key"]))))
+    long = cut_lineage(panel_shares(p))
+    choice = choose_topdown(cut_lineage(topdown_scores(long)))
     shares = fc.share_paths(long.select("segment", "month", "share"), [], "segment", H)
     total = proj.where(F.col("key") == "ALL").select("step", "month", "pred", "lo", "hi")
     down = shares.where(F.col("method") == choice).join(total, "step").select(

@@ -31,22 +31,16 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("stream_dedup", "select count(distinct user_id) as n_users, count(distinct user_id) as n_rows from events")
+@query(
+    "stream_dedup",
+    """select user_id, ts, event_id from (select *, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as r from events)
+    where r = 1 and cast(ts as date) + interval 1 day <= (select max(ts) - interval 1 day from events)""",
+)
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """First event of every user inside the bound (the data spans 30 days)."""
-    e = event_stream(spark, d).select("user_id", "ts")
-    out = st.run_to_table(st.first_seen(e, "ts", ["user_id"], "60 days"), "dedup")
-    return out.agg(F.countDistinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n_rows"))
-
-
-def daily_snapshots(spark: SparkSession, d: str) -> str:
-    """Events split into files by ten-day period: one listing snapshot per file."""
-    folder = scratch_path(spark, "snapshots")
-    part = F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")
-    listing = table(spark, d, "events").select("user_id", "event_id", "event_type", part.alias("period"))
-    for p in range(3):  # written in order: the stream reads files by time
-        listing.where(F.col("period") == p).coalesce(1).write.parquet(f"{folder}/period={p}")
-    return folder
+    """First event of every user and closed day: a user comes back on later days, once on each."""
+    e = event_stream(spark, d).select("user_id", "event_id", "ts").withColumn("day", F.to_date("ts"))
+    out = st.run_to_table(st.first_of_period(e, "ts", ["user_id", "day"], "event_id", "1 day"), "dedup")
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
 
 
 @query(
@@ -54,14 +48,16 @@ def daily_snapshots(spark: SparkSession, d: str) -> str:
     """select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1""",
 )
 def stream_sync(spark: SparkSession, d: str) -> DataFrame:
-    """Three snapshots upserted one per micro-batch; the last version is the inventory."""
-    folder = daily_snapshots(spark, d)
-    s = st.file_stream(spark, folder, "user_id bigint, event_id bigint, event_type string, period int", per_batch=1)
-    inventory, new, state = (scratch_path(spark, f"sync-{x}") for x in ("inventory", "new", "state"))
-    q = st.sync_listing(s.select("user_id", "event_id", "event_type"), inventory, "user_id", "event_id", new, state)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    return spark.read.parquet(f"{inventory}/v={last}").select("user_id", "event_type", "event_id")
+    """Three snapshots of ten days (the last with what is left of the month), upserted one after the other."""
+    folder, out = scratch_path(spark, "snapshots"), {x: scratch_path(spark, f"sync-{x}") for x in ("inventory", "new", "state")}
+    period = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int")
+    listing = table(spark, d, "events").select("user_id", "event_id", "event_type", period.alias("period"))
+    for p in range(3):  # each listing is a job of its own and drained before the next one arrives
+        listing.where(F.col("period") == p).drop("period").write.mode("append").parquet(folder)
+        stream = st.file_stream(spark, folder, "user_id bigint, event_id bigint, event_type string", pattern="*.parquet")
+        q = st.sync_listing(stream, out["inventory"], "user_id", "event_id", out["new"], out["state"])
+        q.awaitTermination()
+    return st.read_inventory(spark, out["inventory"]).select("user_id", "event_type", "event_id")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderscope.operators import tables
-from tenderscope.session import scratch_path
+from tenderscope.session import cut_lineage, scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", pattern: str | None = None, per_batch: int | None = None) -> DataFrame:
@@ -48,28 +48,51 @@ def first_seen(events: DataFrame, time: str, keys: Sequence[str], bound: str) ->
     return events.withWatermark(time, bound).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_of_period(events: DataFrame, time: str, keys: Sequence[str], order: str, bound: str) -> DataFrame:
+    """Earliest row per key (ties by ``order``), given out once the watermark closes the key's day.
+
+    ``keys`` hold a period derived from ``time``, so state is dropped with the period.
+    """
+    day = F.window(F.col(time), "1 day")
+    return (
+        events.withWatermark(time, bound).groupBy(day.alias("w"), *keys).agg(F.min(F.struct(time, order)).alias("r")).select(*keys, f"r.{time}", f"r.{order}")
+    )
+
+
+#: Parts into which an inventory is dealt by key; a batch rewrites only those it touches.
+PARTS = 32
+
+
 def sync_listing(snapshots: DataFrame, inventory_path: str, key: str, seq: str, new_path: str, state: str) -> StreamingQuery:
     """Each micro-batch is a listing snapshot: report unknown ids, then upsert the latest row.
 
-    Versions are written per batch and the newest one is read, so a replayed batch
-    rewrites its own version and leaves the inventory as it was.
+    The inventory lies in parts by key hash. A batch joins and rewrites only the parts
+    that its keys fall in; a replayed batch writes the same rows again.
     """
     spark = snapshots.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         once = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), seq).alias("_r"))
-        rows = once.select(key, "_r.*").select(*batch.columns)
-        if batch_id == 0:
-            old = spark.createDataFrame([], batch.schema)
-        else:
-            old = spark.read.parquet(f"{inventory_path}/v={batch_id - 1}")
-        fresh = tables.pending_keys(rows, old, key)
+        part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")
+        rows = cut_lineage(once.select(key, "_r.*").select(*batch.columns, part))
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # PARTS at most
+        old = read_inventory(spark, inventory_path, rows.schema).where(F.col("part").isin(touched))
+        merged = cut_lineage(tables.upsert_latest(old, rows, [key], [seq]).select(*rows.columns))
+        fresh = tables.pending_keys(rows.drop("part"), old.drop("part"), key)
         fresh.select(key, F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(f"{new_path}/b={batch_id}")
-        tables.upsert_latest(old, rows, [key], [seq]).write.mode("overwrite").parquet(f"{inventory_path}/v={batch_id}")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(inventory_path)
 
     return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
+def read_inventory(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The inventory as it stands; no rows before the first batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
+
+
 def running_leader(events: DataFrame, key: str, member: str, value: str) -> DataFrame:
     """Stream of the member with the largest running total per key.
 
