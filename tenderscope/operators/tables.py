@@ -111,7 +111,7 @@ def histogram(df: DataFrame, column: str, width: int) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """Reproducible sample without replacement: the n smallest seeded hashes."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def prefix_share(df: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:

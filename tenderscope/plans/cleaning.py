@@ -595,6 +595,6 @@ def first_n_calls(spark: SparkSession, d: str) -> DataFrame:
     return tb.first_n_keys(part_docs(spark, d), "call_id", [F.col("pos")], 5).select("call_id", "pos", "name")
 
 
-@query("seeded_sample")
+@query("seeded_sample", "select s_suppkey, s_name from supplier order by md5(s_suppkey || ':42'), s_suppkey limit 20")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return tb.seeded_sample(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 42, 20)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tenderscope.operators import decisions as de
-from tenderscope.plans import inputs as inp
+from tenderscope.plans import inputs as inp, nested_sql
 from tenderscope.plans.inputs import add_view, table, with_views
 from tenderscope.plans.nested import calls
 from tenderscope.plans.registry import query
 
 
-@query("actor_match")
+@query("actor_match", nested_sql.ACTOR_MATCH)
 def actor_match(spark: SparkSession, d: str) -> DataFrame:
     c = calls(spark, d).select("convocatoria", F.explode(de.actor_hits(F.col("actores_elegibles"))).alias("a"))
     return c.select("convocatoria", "a.tipo", "a.rol")
@@ -32,7 +32,7 @@ def eligibility_rules(spark: SparkSession, d: str) -> DataFrame:
     return v.select("convocatoria", "puede_postularse", "modo", "rol_sugerido", "confianza")
 
 
-@query("pending_conditions")
+@query("pending_conditions", nested_sql.PENDING)
 def pending_conditions(spark: SparkSession, d: str) -> DataFrame:
     v = de.rule_verdict(calls(spark, d))
     return v.select("convocatoria", F.inline("pendientes"))

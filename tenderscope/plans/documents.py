@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderscope.functions import text as tx
 from tenderscope.operators import documents as dc, profiles as pr
+from tenderscope.plans import nested_sql
 from tenderscope.plans.inputs import table
 from tenderscope.plans.nested import TITLES, calls, outlined
 from tenderscope.plans.registry import query
@@ -270,7 +271,7 @@ def section_context(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", *[F.length(dc.section_context(F.col("sections"), k)).alias(k) for k in ("objetivo", "requisitos", "rechazo")])
 
 
-@query("budget_items")
+@query("budget_items", nested_sql.BUDGET_ITEMS)
 def budget_items(spark: SparkSession, d: str) -> DataFrame:
     """Table cells from every document: its lines in pairs, under a header row."""
     lines = F.split("text", "\n")
@@ -290,7 +291,7 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
     return calls(spark, d).select("convocatoria", pr.call_text().alias("canonical_text"))
 
 
-@query("repair_items")
+@query("repair_items", nested_sql.REPAIR_ITEMS)
 def repair_items(spark: SparkSession, d: str) -> DataFrame:
     """Damage the requirements (alias, accents, bad types), then repair them."""
     broken = F.transform(
@@ -308,7 +309,7 @@ def repair_items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("merge_partials")
+@query("merge_partials", nested_sql.MERGE_PARTIALS)
 def merge_partials(spark: SparkSession, d: str) -> DataFrame:
     c = calls(spark, d)
     none = F.lit(None)
@@ -335,7 +336,7 @@ def merge_partials(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("requirement_types")
+@query("requirement_types", nested_sql.REQUIREMENT_TYPES)
 def requirement_types(spark: SparkSession, d: str) -> DataFrame:
     items = calls(spark, d).select(F.explode("requisitos").alias("r"))
     return items.groupBy(
@@ -343,7 +344,7 @@ def requirement_types(spark: SparkSession, d: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("panorama_by_type")
+@query("panorama_by_type", nested_sql.PANORAMA)
 def panorama_by_type(spark: SparkSession, d: str) -> DataFrame:
     c = calls(spark, d)
     kind = tx.call_type(F.col("financiacion.fuente_recursos"), F.col("objetivo"))
@@ -354,12 +355,12 @@ def panorama_by_type(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("extraction_quality")
+@query("extraction_quality", nested_sql.QUALITY)
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     return pr.extraction_quality(calls(spark, d))
 
 
-@query("extraction_summary")
+@query("extraction_summary", nested_sql.SUMMARY)
 def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
     from tenderscope.operators import decisions as de
 
