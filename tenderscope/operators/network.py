@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tenderscope.functions.text import node_slug, short_label
 from tenderscope.operators.cleaning import BLANK_TOKENS, norm_tax_id
-from tenderscope.operators.ranks import mode_per, top_n_per
+from tenderscope.operators.ranks import top_n_per
 from tenderscope.session import cut_lineage
 
 
@@ -48,15 +48,13 @@ def build_edges(lines: DataFrame) -> DataFrame:
         _real_text(F.col("segment")).alias("segment"),
         _real_text(F.col("department")).alias("department"),
     ).where(F.col("buyer").isNotNull() & F.col("supplier_id").isNotNull())
-    base = cut_lineage(base)  # three groupings read it: join and clean the lines once
-    pair = ["buyer", "supplier_id"]
-    totals = base.groupBy(*pair).agg(
-        F.coalesce(F.min("supplier_name"), F.col("supplier_id")).alias("supplier_name"),
+    # one grouping: modes are counted per pair in the same pass, equal counts go to the smallest value
+    return base.groupBy("buyer", "supplier_id").agg(
+        F.coalesce(F.min("supplier_name"), F.min("supplier_id")).alias("supplier_name"),
         F.sum("value").alias("value"),
         F.countDistinct("process_id").alias("n_processes"),
-    )
-    return totals.join(mode_per(base, pair, "segment", "segment"), pair, "left").join(
-        mode_per(base, pair, "department", "department"), pair, "left"
+        F.mode("segment", True).alias("segment"),
+        F.mode("department", True).alias("department"),
     )
 
 
