@@ -12,8 +12,8 @@ from tenderscope.session import cut_lineage
 
 __all__ = ["block_count", "block_of", "cut_lineage", "hash_texts", "hash_windows", "hash_words", "mix64", "read_table", "slices", "word_table"]
 
-#: ASCII white space, as bytes.split() has it.
-BLANK = b"\t\n\v\f\r "
+#: Words hashed at a time.
+BATCH = 1 << 16
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,10 +89,15 @@ def hash_words(raw: bytes, table: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     length = end - start
     powers = _POWER if length.max() <= _POWER.size else _powers(int(length.max()))
-    keep = np.flatnonzero(inside)
-    value = _BYTE[b[keep]] * powers[keep - np.repeat(start, length)]
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    return mix64(np.add.reduceat(value, first) ^ length.astype(np.uint64)), start
+    out = np.empty(start.size, dtype=np.uint64)
+    for lo in range(0, start.size, BATCH):  # what is held for each byte stays small
+        hi = min(lo + BATCH, start.size)
+        size = length[lo:hi]
+        keep = np.flatnonzero(inside[start[lo] : end[hi - 1]])
+        value = _BYTE[b[start[lo] : end[hi - 1]][keep]] * powers[keep - np.repeat(start[lo:hi] - start[lo], size)]
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        out[lo:hi] = np.add.reduceat(value, first)
+    return mix64(out ^ length.astype(np.uint64)), start
 
 
 def slices(texts: list[bytes], most: int) -> list[tuple[int, int]]:

@@ -46,7 +46,7 @@ SHARE = 1 / 4096
 FORMS = 1024
 UNSEEN = FORMS  # class numbers: forms, unseen, then the frequent words
 #: Bytes of text in a block; distinct words of all blocks that meet in a bucket.
-BLOCK_BYTES, BUCKET_WORDS = 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_WORDS = 4 << 20, 1 << 20
 END = np.uint64(0x5E7D0CE7D0CE7D0C)  # the end token
 #: Pseudo-counts of an emission and a transition.
 SMOOTH = 0.5
@@ -380,7 +380,7 @@ def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS) -> tuple[M
 def log10_forward(model: Model, cls: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """log10 probability of each whole class sequence."""
     out = np.zeros(length.size)
-    for take, lengths, c in _padded(cls, begin, length, 1 << 22):
+    for take, lengths, c in _padded(cls, begin, length, 1 << 20):
         a, total = model.start * model.emit[c[0]], np.zeros(take.size)
         active = np.searchsorted(-lengths, -np.arange(len(c)), side="left")
         for t in range(len(c)):
