@@ -24,8 +24,7 @@ from tenderscope.llm.q_toxicity import CUT
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("__row", F.struct(*docs.columns)), index, keep=["__row"], evidence=False)
-    return scored.where(F.col("score") < CUT).select("__row.*")
+    return docs.where(toxicity.score_column(spark, index, F.col("text")) < CUT)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +36,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.search(docs.withColumn("__row", F.struct(*docs.columns)), pii.fit(docs), keep=["__row"], outputs=("redacted",))
-    changed = ~F.col("redacted").eqNullSafe(F.col("__row.text"))
-    size = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("__row.n_chars"))
-    new = {"text": F.col("redacted").alias("text"), "n_chars": size.alias("n_chars")}
-    return found.select(*[new.get(c, F.col(f"__row.`{c}`")) for c in docs.columns])
+    found = docs.withColumn("__new", pii.redacted_column(pii.fit(docs), F.col("text")))
+    changed = ~F.col("__new").eqNullSafe(F.col("text"))
+    size = F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col("__new").alias("text"), "n_chars": size.alias("n_chars")}
+    return found.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

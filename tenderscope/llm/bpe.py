@@ -22,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of each memory of a Python worker.
-CACHE = 500_000
+#: Entries of each memory of a Python worker, and the longest chunk or fragment that it keeps.
+CACHE, KEEP = 500_000, 256
+#: Symbols from which a fragment is merged with a heap.
+LONG = 48
 #: Unicode white space, as the file's \s means it.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_BLANKS = regex.compile("[\x1c-\x1f]")
@@ -53,9 +56,11 @@ class _Memory(dict):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= KEEP:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -110,6 +115,8 @@ class Bpe:
         if ends:
             ids[-1] = self.end_id[raw[-1]]
         ids = [i for i in ids if i >= 0]
+        if len(ids) > LONG:
+            return self._long(ids)
         merges = self.merges
         while len(ids) > 1:
             best = None
@@ -130,11 +137,32 @@ class Bpe:
             ids = out
         return tuple(ids)
 
+    def _long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same merges for a long fragment: a heap of pairs by rank and place over linked symbols."""
+        n, merges = len(ids), self.merges
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*merges[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heap = [(rank, i, new, pair) for rank, new, i, pair in heap]
+        heapify(heap)
+        while heap:
+            _rank, i, new, pair = heappop(heap)
+            j = after[i]
+            if ids[i] != pair[0] or j >= n or ids[j] != pair[1]:
+                continue
+            ids[i], ids[j], after[i] = new, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (ids[a], ids[b]) in merges:
+                    rank, made = merges[ids[a], ids[b]]
+                    heappush(heap, (rank, a, made, (ids[a], ids[b])))
+        return tuple(i for i in ids if i >= 0)
+
     def _chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
         for word in self.words.findall(chunk):
             for fragment in self.cut(word.encode()):
-                ids += self.fragments[fragment]
+                ids += self.fragments[fragment] if len(fragment[0]) <= KEEP else self._fragment(fragment)
         return np.array(ids, dtype="<u4").tobytes()
 
     def normal(self, text: str) -> str:

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,9 @@ from tenderscope.llm.common import mix64
 
 KINDS = ("email", "ip", "card", "phone", "model")
 #: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -45,7 +46,7 @@ NUMBER = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9][0-9\x20()./-]{5,}[0-9](?![A-Za-
 GROUP = re.compile(r"(?<![A-Za-z0-9])[0-9]+(?:[.:/-][0-9]+){2,}(?![A-Za-z0-9])")
 COLONS = re.compile(r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])")
 AROUND = re.compile(
-    r"[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]+)+", re.I
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]+)+", re.I
 )
 AROUND_SIGNS = ("(at)", "[at]", " dot ", "(dot)", "[dot]")
 
@@ -69,10 +70,22 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of local part, @ and domain, found from each @ so that long runs of letters cost nothing."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[Span]:
-    out: list[Span] = []
-    if "@" in text:
-        out += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    out: list[Span] = [(*s, "email") for s in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
@@ -287,3 +300,14 @@ def search(df: DataFrame, model: Boosted | None, text_col: str = "text", keep: l
             yield batch
 
     return lead.mapInPandas(run, schema)
+
+
+def redacted_column(model: Boosted | None, text: Column) -> Column:
+    """The redacted text as a column: only texts go to Python and back."""
+
+    @F.pandas_udf(T.StringType())
+    def hide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([t if t is None else redacted(t, find_spans(t, model)) for t in texts], dtype=object)
+
+    return hide(text)

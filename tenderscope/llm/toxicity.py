@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,22 +44,24 @@ NEAREST = 25
 BLOCK = 64
 
 
-def term_hashes(text: str) -> np.ndarray:
-    """Hashes of all terms of a text, with repetitions."""
+def term_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all terms of a text with repetitions, the number of the word of each, and the words' own hashes."""
     raw = (text or "").encode()
     words, start = hash_words(raw, WORDS)
     if not words.size:
-        return words
-    b = np.frombuffer(raw.translate(WORDS) + b" " * max(STEMS), dtype=np.uint8)
-    out, value, alive = [words], np.zeros(words.size, dtype=np.uint64), np.ones(words.size, dtype=bool)
+        return words, start, words
+    b = np.frombuffer(raw.translate(WORDS) + b" " * (max(STEMS) + 1), dtype=np.uint8)
+    out, at = [words], [np.arange(words.size)]
+    value, alive = np.zeros(words.size, dtype=np.uint64), np.ones(words.size, dtype=bool)
     for k in range(max(STEMS)):
         c = b[start + k]
         alive &= c > 0x20
         value = value * np.uint64(0x100000001B3) + c
         if k + 1 in STEMS:
-            longer = alive & (b[np.minimum(start + k + 1, b.size - 1)] > 0x20)  # a word that is its own beginning adds nothing
+            longer = np.flatnonzero(alive & (b[start + k + 1] > 0x20))  # a word that is its own beginning adds nothing
             out.append(mix64(value[longer] ^ np.uint64(0xA5A5_0000 + k)))
-    return np.concatenate(out)
+            at.append(longer)
+    return np.concatenate(out), np.concatenate(at), words
 
 
 class Terms:
@@ -72,12 +74,18 @@ class Terms:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the chosen terms in a text and how often each stands there."""
-        h = term_hashes(text)
-        h = h[self.table[h & np.uint64((1 << 20) - 1)]]
+        return np.unique(self.places(text)[0], return_counts=True)
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every chosen term's every occurrence, and the hash of the word before it (0 at the start)."""
+        h, word, words = term_hashes(text)
         if not h.size or not self.hashes.size:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), self.hashes.size - 1)
-        return np.unique(at[self.hashes[at] == h], return_counts=True)
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        some = np.flatnonzero(self.table[h & np.uint64((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(self.hashes, h[some]), self.hashes.size - 1)
+        good = self.hashes[at] == h[some]
+        word = word[some[good]]
+        return at[good], np.where(word > 0, words[np.maximum(word - 1, 0)], np.uint64(0))
 
 
 class Index:
@@ -153,16 +161,10 @@ class Index:
         total = (weight * every).sum() + missing / 1.05
         return float(((weight * toxic).sum() + missing / 1.05 * self.background) / total), [(self.ids[i], float(c)) for i, c in zip(found[:3], cosines[:3])]
 
-    def calibrate(self, examples: list[tuple[tuple, tuple, int, int, int]]) -> None:
-        """Isotonic fit of the examples' own votes, each without itself (pool adjacent violators)."""
-        place = {i: k for k, i in enumerate(self.ids)}
-        points = []
-        for t, c, toxic, every, who in examples:
-            me = place[who] if t else -1
-            points.append((self.vote(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), me)[0], toxic, every))
-        points.sort()
+    def calibrate(self, points: list[tuple[float, float, float]]) -> None:
+        """Isotonic fit (pool adjacent violators) of (vote, toxic, all) of the examples, each judged without itself."""
         pools: list[list[float]] = []
-        for x, toxic, every in points:
+        for x, toxic, every in sorted(points):
             pools.append([x * every, toxic, every])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 last = pools.pop()
@@ -193,7 +195,7 @@ def _choose(examples: DataFrame) -> np.ndarray:
         terms, share = [], []
         for batch in batches:
             for text, toxic, n in zip(batch["t"], batch["toxic"], batch["n"]):
-                h = np.unique(term_hashes(text))
+                h = np.unique(term_hashes(text)[0])
                 terms.append(h)
                 share.append(np.full(h.size, toxic / n))
         if terms:
@@ -208,10 +210,21 @@ def _choose(examples: DataFrame) -> np.ndarray:
     share = F.col("n") / all_n
     error = F.sqrt(share * (1 - share) * (1 / all_toxic + 1 / clean))
     z = (F.col("toxic") / all_toxic - (F.col("n") - F.col("toxic")) / clean) / error
+    telling = (F.col("n") >= LEAST) & (F.col("n") < all_n) & (F.abs(z) >= LEVEL)
     counts = examples.mapInPandas(count, "h long, n double, toxic double").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    rows = counts.where((F.col("n") >= LEAST) & (F.col("n") < all_n)).where(F.abs(z) >= LEVEL).select("h")
     # a term needs LEAST of at most EXAMPLES texts and the level: few thousand whatever the corpus
-    return np.array([r["h"] for r in rows.toLocalIterator()], dtype=np.int64).astype(np.uint64)
+    first = Terms(np.array([r["h"] for r in counts.where(telling).select("h").toLocalIterator()], dtype=np.int64).astype(np.uint64))
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, toxic, n in zip(batch["t"], batch["toxic"], batch["n"]):
+                term, before = first.places(text)
+                yield pd.DataFrame({"h": first.hashes[term].astype(np.int64), "before": before.astype(np.int64), "toxic": toxic / n}).drop_duplicates()
+
+    # near copies of one text repeat its terms with the same word before them: each such pair counts once
+    pairs = examples.mapInPandas(contexts, "h long, before long, toxic double").groupBy("h", "before").agg(F.avg("toxic").alias("toxic"))
+    seen = pairs.groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("toxic").alias("toxic"))
+    return np.array([r["h"] for r in seen.where(telling).select("h").toLocalIterator()], dtype=np.int64).astype(np.uint64)
 
 
 def _frequencies(docs: DataFrame, text_col: str, terms: Terms) -> tuple[np.ndarray, int]:
@@ -250,10 +263,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
             yield pd.DataFrame({"terms": [f[0] for f in found], "counts": [f[1] for f in found], "toxic": batch["toxic"], "n": batch["n"], "id": batch["id"]})
 
     rows_ = sample.mapInPandas(vectors, "terms array<long>, counts array<long>, toxic long, n long, id long")
-    merged = rows_.groupBy("terms", "counts").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.min("id").alias("id"))
+    merged = cut_lineage(rows_.groupBy("terms", "counts").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.min("id").alias("id")))
     found = [(tuple(r["terms"]), tuple(r["counts"]), r["toxic"], r["n"], r["id"]) for r in merged.toLocalIterator()]  # at most EXAMPLES
     index = Index(terms, idf, found)
-    index.calibrate(found)
+    built = docs.sparkSession.sparkContext.broadcast(index)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = built.value
+        place = {i: k for k, i in enumerate(here.ids)}
+        for batch in batches:
+            votes = [
+                here.vote(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), place[i] if len(t) else -1)[0]
+                for t, c, i in zip(batch["terms"], batch["counts"], batch["id"])
+            ]
+            yield pd.DataFrame({"vote": votes, "toxic": batch["toxic"].astype(float), "n": batch["n"].astype(float)})
+
+    spread = merged.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    index.calibrate([tuple(r) for r in spread.mapInPandas(judge, "vote double, toxic double, n double").toLocalIterator()])
     return index
 
 
@@ -288,3 +314,16 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", keep: list[str]
             yield batch
 
     return lead.mapInPandas(run, schema)
+
+
+def score_column(spark: SparkSession, index: Index, text: Column) -> Column:
+    """The score as a column: only the text goes to Python, and only a number comes back."""
+    sent = spark.sparkContext.broadcast(index)  # bounded by EXAMPLES
+
+    @F.pandas_udf(T.DoubleType())
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        here = sent.value
+        for texts in batches:
+            yield pd.Series([here.score(here.vote(*here.terms.of(t))[0]) for t in texts], dtype=float)
+
+    return judge(text)

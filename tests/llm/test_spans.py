@@ -48,6 +48,12 @@ def test_base_spans_equal_the_plain_rules():
         assert got == naive_secrets(t), t
 
 
+def test_long_runs_take_linear_time():
+    t = "a" * 400_000 + " " + "1" * 400_000 + " x@y.zz " + "@" * 1000 + "b." * 200_000 + " +" + "1 " * 100_000
+    assert ("x@y.zz", "email") in {(t[s:e], k) for s, e, k in pii.base_spans(t)}
+    assert pii.candidates(t)
+
+
 def random_key(r, n=40):
     return "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
 
