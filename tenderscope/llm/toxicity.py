@@ -135,7 +135,9 @@ class Index:
                 j = np.searchsorted(block, b)
                 if j < block.size and block[j] == b:
                     score[at[first[j] : first[j + 1]] - b * BLOCK] += w * weight[first[j] : first[j + 1]]
-            hit = np.flatnonzero(score > 0)
+            hit = np.flatnonzero((score > 0) & (score >= last - 1e-9))
+            if not hit.size:
+                continue
             hit = hit[b * BLOCK + hit != without] if without >= 0 and self.all[without] <= 1 else hit
             found, cosines = np.concatenate((found, b * BLOCK + hit)), np.concatenate((cosines, score[hit]))
             if found.size:
@@ -279,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
             yield pd.DataFrame({"vote": votes, "toxic": batch["toxic"].astype(float), "n": batch["n"].astype(float)})
 
     spread = merged.repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    index.calibrate([tuple(r) for r in spread.mapInPandas(judge, "vote double, toxic double, n double").toLocalIterator()])
+    judged = spread.mapInPandas(judge, "vote double, toxic double, n double").toArrow()  # three numbers for each of at most EXAMPLES
+    index.calibrate(list(zip(*(judged.column(c).to_pylist() for c in ("vote", "toxic", "n")))))
     return index
 
 
