@@ -1,18 +1,20 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all terms.
 
 A text's terms are its words and the beginnings of its longer words, which catch
-inflected and compounded insults. Terms that tell the labels apart are chosen on the
-labelled examples by a significance level, and their document frequencies are counted
-over all rows. Labelled examples (a bounded sample of distinct texts) become TF-IDF
-vectors over these terms; equal vectors are one example with a count. The index lists
-each term's examples block by block with the block's largest weight, so a search
-opens blocks from the largest bound down and stops when no bound can reach the
-nearest ``NEAREST`` examples found: the neighbours are exact. Neighbours vote with the
-inverse of their distance; examples without any chosen term are the background, at
-distance one. An isotonic fit on the examples, each judged without itself, calibrates.
+inflected and compounded insults. Every term of the labelled examples (a bounded sample
+of distinct texts) is in the index; no term is left out for being rare or frequent. Its
+weight is its inverse document frequency over all rows times how far the labels of the
+examples that hold it stray from all examples' (a log odds ratio drawn to zero where
+examples or distinct preceding words are few, and never zero). Equal vectors are one
+example with a count. Lists are opened from the rarest terms on; by Cauchy-Schwarz over
+classes of frequency, a search stops when only few examples can still be among the
+nearest ``NEAREST``, and these are then compared in full: the neighbours are exact.
+Neighbours vote with the inverse of their distance; what is missing votes as the
+examples without any term do, at distance one. An isotonic fit on the examples, each
+judged without itself, calibrates.
 
 Defined cases
-- Null or empty texts, and texts without a chosen term: the calibrated background score.
+- Null or empty texts, and texts without a term of the examples: the calibrated background score.
 - No labelled rows, or labels of one kind: every score is the smoothed share of the label.
 - Null labels are no labels; of several labels of an id the largest counts; null ids have none.
 - Equal cosines are taken all together, so ties do not depend on order. Texts are read whole.
@@ -21,6 +23,7 @@ Defined cases
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +40,19 @@ WORDS = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 STEMS = (4, 5, 6)
 #: Bound of the labelled sample, in distinct texts (those with the smallest hashes).
 EXAMPLES = 20_000
-#: Terms need this z score of their share among toxic and other examples, and this many examples.
-LEVEL, LEAST = 6.0, 5
+#: Weight, in examples, of the share of all examples in a term's own share; and what every term weighs at least.
+PRIOR, FLOOR = 5.0, 0.02
+#: Standard errors taken off the log odds ratio.
+DOUBT = 0.5
+#: Distinct words before a term are told apart up to this many.
+CONTEXTS = 64
 NEAREST = 25
-#: Examples in a block of the index.
-BLOCK = 64
+#: Examples that hold a term, for the classes of frequency in which lists are opened.
+CLASSES = (256, 512, 1024, 2048, 4096)
+#: The class from which lists are added up one by one.
+LOOP = 1
+#: Terms in a packed piece of the document frequencies, and examples whose terms are counted at once.
+PIECE, SLICE = 1 << 14, 256
 
 
 def term_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,94 +76,162 @@ def term_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Terms:
-    """Chosen terms, sorted, with a bit table that drops most other hashes at once."""
+    """The terms of the examples, sorted."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.table = np.zeros(1 << 20, dtype=bool)
-        self.table[self.hashes & np.uint64((1 << 20) - 1)] = True
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the chosen terms in a text and how often each stands there."""
-        return np.unique(self.places(text)[0], return_counts=True)
-
-    def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Number of every chosen term's every occurrence, and the hash of the word before it (0 at the start)."""
-        h, word, words = term_hashes(text)
+        """Numbers of the terms in a text and how often each stands there."""
+        h, n = np.unique(term_hashes(text)[0], return_counts=True)
         if not h.size or not self.hashes.size:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-        some = np.flatnonzero(self.table[h & np.uint64((1 << 20) - 1)])
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), self.hashes.size - 1)
-        good = self.hashes[at] == h[some]
-        word = word[some[good]]
-        return at[good], np.where(word > 0, words[np.maximum(word - 1, 0)], np.uint64(0))
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), self.hashes.size - 1)
+        good = self.hashes[at] == h
+        return at[good], n[good]
+
+
+def significance(n: np.ndarray, toxic: np.ndarray, contexts: np.ndarray, rate: float) -> np.ndarray:
+    """Log odds ratio of the labels of ``n`` examples, which count as ``contexts`` at most, less ``DOUBT``; ``FLOOR`` or more."""
+    counted = np.minimum(n, contexts)
+    bad = toxic / np.maximum(n, 1) * counted + PRIOR * rate
+    good = counted + PRIOR - bad
+    ratio = np.abs(np.log(bad / good) - np.log(rate / (1 - rate)))
+    return FLOOR + np.maximum(ratio - DOUBT * np.sqrt(1 / bad + 1 / good), 0)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of all ranges one after another."""
+    first = np.cumsum(length) - length
+    return np.repeat(start - first, length) + np.arange(length.sum())
 
 
 class Index:
-    """Block-max inverted index of the examples, and their votes."""
+    """Inverted index of the examples, and their votes."""
 
     def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[tuple, tuple, int, int, int]]):
-        """examples: (terms, counts, toxic, all, smallest id) of each distinct vector, the empty one among them."""
+        """idf: the weight of each term; examples: (terms, counts, toxic, all, smallest id) of each distinct vector, the empty one among them."""
         self.terms, self.idf = terms, idf
-        kept = sorted(e for e in examples if e[0])
-        empty = [e for e in examples if not e[0]]
+        kept = sorted((e for e in examples if len(e[0])), key=lambda e: e[4])
+        empty = [e for e in examples if not len(e[0])]
         self.toxic, self.all = np.array([e[2] for e in kept], dtype=float), np.array([e[3] for e in kept], dtype=float)
         self.ids = [e[4] for e in kept]
         everyone = self.toxic.sum() + sum(e[2] for e in empty), self.all.sum() + sum(e[3] for e in empty)
         self.rate = (everyone[0] + 0.5) / (everyone[1] + 1)
         far = sum(e[2] for e in empty), sum(e[3] for e in empty)
-        self.background = (far[0] + self.rate) / (far[1] + 1)  # share of toxic examples without a chosen term
-        rows = [self.vector(np.array(e[0]), np.array(e[1])) for e in kept]
-        self.blocks = -(-len(kept) // BLOCK)
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for i, e in enumerate(kept):
-            for t, w in zip(e[0], rows[i]):
-                by_term.setdefault(t, []).append((i, w))
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, pairs in by_term.items():
-            at, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.lists[t] = at, weight, block, np.append(first, at.size), np.maximum.reduceat(weight, first)
+        self.background = (far[0] + self.rate) / (far[1] + 1)  # share of toxic examples without a term
+        # by example: terms, and the number of their count among the distinct counts
+        length = np.array([len(e[0]) for e in kept], dtype=np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(length)))
+        self.term = np.concatenate([np.asarray(e[0], dtype=np.int32) for e in kept]) if kept else np.empty(0, dtype=np.int32)
+        counts = np.concatenate([np.asarray(e[1], dtype=np.int32) for e in kept]) if kept else np.empty(0, dtype=np.int32)
+        self.counts = np.unique(counts)
+        self.code = np.searchsorted(self.counts, counts).astype(np.min_scalar_type(self.counts.size))
         self.x = self.y = np.array([])
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines: the nearest until ``NEAREST`` labelled texts are covered, ties with the last included."""
-        lists = [(self.lists[t], w) for t, w in zip(terms.tolist(), self.vector(terms, counts)) if t in self.lists] if terms.size else []
-        bound = np.zeros(self.blocks)
-        for (_at, _weight, block, _first, top), w in lists:
-            bound[block] += w * top
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, last = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in order[: np.count_nonzero(bound)].tolist():
-            if bound[b] < last - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for (at, weight, block, first, _top), w in lists:
-                j = np.searchsorted(block, b)
-                if j < block.size and block[j] == b:
-                    score[at[first[j] : first[j + 1]] - b * BLOCK] += w * weight[first[j] : first[j + 1]]
-            hit = np.flatnonzero((score > 0) & (score >= last - 1e-9))
-            if not hit.size:
+        self._lists()
+
+    def _lists(self) -> None:
+        """All that follows from the examples' terms."""
+        idf, length, kept = self.idf, np.diff(self.begin), self.ids
+        self.damped = 1 + np.log(self.counts)
+        # by term: examples
+        order = np.argsort(self.term, kind="stable")
+        self.example = np.repeat(np.arange(len(kept), dtype=np.int32), length)[order]
+        self.share = self.damped[self.code[order]]  # the part of the count and of the vector's length in the cosine
+        self.held = np.bincount(self.term, minlength=idf.size)
+        self.first = np.cumsum(self.held) - self.held
+        self.kind = np.searchsorted(CLASSES, self.held).astype(np.int8)
+        # an example's frequent terms stand last; where those above each class begin
+        self.tail = np.zeros((len(CLASSES) + 1, len(kept)), dtype=np.int64)
+        # lengths of the vectors, and of their parts in each class as shares of them
+        parts = np.zeros((len(CLASSES) + 1, len(kept)))
+        for i in range(len(kept)):
+            at = slice(self.begin[i], self.begin[i + 1])
+            w = self.damped[self.code[at]] * idf[self.term[at]]
+            kind = self.kind[self.term[at]]
+            parts[:, i] = np.bincount(kind, w * w, minlength=len(parts))
+            self.tail[:, i] = self.begin[i] + np.cumsum(np.bincount(kind, minlength=len(parts)))
+            last = np.argsort(kind, kind="stable")
+            self.term[at], self.code[at] = self.term[at][last], self.code[at][last]
+        self.length = np.sqrt(parts.sum(0))
+        self.parts = np.sqrt(parts) / self.length
+        self.share /= self.length[self.example]
+        self.spread = np.zeros(0)
+
+    def __getstate__(self) -> dict:
+        """What is sent: the lists are built again where they arrive."""
+        sent = ("terms", "idf", "toxic", "all", "ids", "rate", "background", "begin", "counts", "code", "x", "y")
+        return {k: self.__dict__[k] for k in sent} | {"code": zlib.compress(self.code.tobytes(), 1), "kind": self.code.dtype.str, "steps": zlib.compress(np.diff(self.term, prepend=np.int32(0)).tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        code, kind, steps = state.pop("code"), state.pop("kind"), state.pop("steps")
+        self.__dict__.update(state)
+        self.code = np.frombuffer(zlib.decompress(code), dtype=kind).copy()
+        self.term = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.int32), dtype=np.int32)
+        self._lists()
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        w = (1 + np.log(counts)) * (self.idf[terms] if weights is None else weights)
+        return w / max(np.sqrt((w * w).sum()), 1e-300)
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines: the nearest until ``NEAREST`` labelled texts are covered, ties with the last included.
+
+        ``weights``: the text's own weights of its terms, where they differ from the index's.
+        """
+        if not terms.size or not self.ids:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        own = self.vector(terms, counts, weights)
+        gain, kind, held = own * self.idf[terms], self.kind[terms], self.held[terms]
+        mine = np.sqrt(np.bincount(kind, own * own, minlength=len(self.parts)))
+        left = np.bincount(kind, held, minlength=len(self.parts))
+        score, some = np.zeros(len(self.ids)), None
+        for k in np.flatnonzero(left).tolist():
+            here = np.flatnonzero(kind == k)
+            if k < LOOP:
+                at = _ranges(self.first[terms[here]], held[here])
+                score += np.bincount(self.example[at], np.repeat(gain[here], held[here]) * self.share[at], minlength=score.size)
+            else:  # an example stands once in a list
+                for a, n, g in zip(self.first[terms[here]].tolist(), held[here].tolist(), gain[here].tolist()):
+                    score[self.example[a : a + n]] += g * self.share[a : a + n]
+            left[k] = 0
+            if left.sum() < 2 * score.size or score.size <= NEAREST + 1:
                 continue
-            hit = hit[b * BLOCK + hit != without] if without >= 0 and self.all[without] <= 1 else hit
-            found, cosines = np.concatenate((found, b * BLOCK + hit)), np.concatenate((cosines, score[hit]))
-            if found.size:
-                rank = np.lexsort((found, -cosines))
-                found, cosines = found[rank], cosines[rank]
-                covered = np.cumsum(self.all[found] - (found == without))
-                if covered[-1] >= NEAREST:
-                    last = cosines[np.searchsorted(covered, NEAREST)]
-                    keep = cosines >= last - 1e-9
-                    found, cosines = found[keep], cosines[keep]
+            # NEAREST besides the text itself reach this already
+            least = np.partition(score, -NEAREST - 1)[-NEAREST - 1] - 1e-9
+            may = np.flatnonzero(score + mine[k + 1 :] @ self.parts[k + 1 :] >= least)
+            if 2 * (self.begin[may + 1] - self.tail[k, may]).sum() < left.sum():
+                some = may
+                break
+        if some is None:
+            found = np.flatnonzero(score)
+            cosines = score[found]
+        else:
+            if self.spread.size != self.idf.size:
+                self.spread = np.zeros(self.idf.size)
+            self.spread[terms] = gain
+            size = self.begin[some + 1] - self.tail[k, some]
+            at = _ranges(self.tail[k, some], size)
+            rest = np.bincount(np.repeat(np.arange(some.size), size), self.spread[self.term[at]] * self.damped[self.code[at]], minlength=some.size)
+            cosines = score[some] + rest / self.length[some]
+            self.spread[terms] = 0
+            found, cosines = some[cosines > 0], cosines[cosines > 0]
+        if without >= 0 and self.all[without] <= 1:
+            found, cosines = found[found != without], cosines[found != without]
+        if found.size > 4 * NEAREST:  # each covers at least one text
+            good = cosines >= np.partition(cosines, -NEAREST - 1)[-NEAREST - 1] - 1e-9
+            found, cosines = found[good], cosines[good]
+        rank = np.lexsort((found, -cosines))
+        found, cosines = found[rank], cosines[rank]
+        covered = np.cumsum(self.all[found] - (found == without))
+        if found.size and covered[-1] >= NEAREST:
+            keep = cosines >= cosines[np.searchsorted(covered, NEAREST)] - 1e-9
+            found, cosines = found[keep], cosines[keep]
         return found, cosines
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, list[tuple[int, float]]]:
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1, weights: np.ndarray | None = None) -> tuple[float, list[tuple[int, float]]]:
         """The distance-weighted share of toxic neighbours, and the neighbours."""
-        found, cosines = self.nearest(terms, counts, without)
+        found, cosines = self.nearest(terms, counts, without, weights)
         toxic, every = self.toxic[found].copy(), self.all[found].copy()
         if without >= 0:
             me = found == without
@@ -190,63 +269,71 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return cut_lineage(found.select("t", "toxic", "n", F.col("__id").cast("long").alias("id")))
 
 
-def _choose(examples: DataFrame) -> np.ndarray:
-    """Terms whose share differs between toxic and other examples by ``LEVEL`` standard errors."""
+def _statistics(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every term of the examples, sorted: its hash, how many examples hold it, their share of toxic labels
+    added up, and how many distinct words stand before it (about, and ``CONTEXTS`` at most)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, share = [], []
-        for batch in batches:
-            for text, toxic, n in zip(batch["t"], batch["toxic"], batch["n"]):
-                h = np.unique(term_hashes(text)[0])
-                terms.append(h)
-                share.append(np.full(h.size, toxic / n))
-        if terms:
-            h, back = np.unique(np.concatenate(terms), return_inverse=True)
-            yield pd.DataFrame({"h": h.astype(np.int64), "n": np.bincount(back).astype(float), "toxic": np.bincount(back, np.concatenate(share))})
-
-    total = examples.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic") / F.col("n")).alias("toxic")).first()
-    all_n, all_toxic = float(total["n"] or 0), float(total["toxic"] or 0)
-    if not 0 < all_toxic < all_n:
-        return np.empty(0, dtype=np.uint64)
-    clean = all_n - all_toxic
-    share = F.col("n") / all_n
-    error = F.sqrt(share * (1 - share) * (1 / all_toxic + 1 / clean))
-    z = (F.col("toxic") / all_toxic - (F.col("n") - F.col("toxic")) / clean) / error
-    telling = (F.col("n") >= LEAST) & (F.col("n") < all_n) & (F.abs(z) >= LEVEL)
-    counts = examples.mapInPandas(count, "h long, n double, toxic double").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    # a term needs LEAST of at most EXAMPLES texts and the level: few thousand whatever the corpus
-    first = Terms(np.array([r["h"] for r in counts.where(telling).select("h").toLocalIterator()], dtype=np.int64).astype(np.uint64))
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, toxic, n in zip(batch["t"], batch["toxic"], batch["n"]):
-                term, before = first.places(text)
-                yield pd.DataFrame({"h": first.hashes[term].astype(np.int64), "before": before.astype(np.int64), "toxic": toxic / n}).drop_duplicates()
-
-    # near copies of one text repeat its terms with the same word before them: each such pair counts once
-    pairs = examples.mapInPandas(contexts, "h long, before long, toxic double").groupBy("h", "before").agg(F.avg("toxic").alias("toxic"))
-    seen = pairs.groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("toxic").alias("toxic"))
-    return np.array([r["h"] for r in seen.where(telling).select("h").toLocalIterator()], dtype=np.int64).astype(np.uint64)
+            for lo in range(0, len(batch), SLICE):
+                part, term, bit, here, toxic = batch[lo : lo + SLICE], [], [], [], []
+                for text, y, n in zip(part["t"], part["toxic"], part["n"]):
+                    h, word, words = term_hashes(text)
+                    before = np.where(word > 0, words[np.maximum(word - 1, 0)], np.uint64(0)) if h.size else h
+                    term.append(h)
+                    bit.append(np.uint64(1) << (before % np.uint64(CONTEXTS)))
+                    once = np.unique(h)
+                    here.append(once)
+                    toxic.append(np.full(once.size, y / n))
+                h = np.concatenate(term)
+                if not h.size:
+                    continue
+                order = np.argsort(h, kind="stable")
+                known, first = np.unique(h[order], return_index=True)
+                at = np.searchsorted(known, np.concatenate(here))
+                yield pd.DataFrame({
+                    "h": known.astype(np.int64),
+                    "n": np.bincount(at, minlength=known.size),
+                    "toxic": np.bincount(at, np.concatenate(toxic), minlength=known.size),
+                    "bits": np.bitwise_or.reduceat(np.concatenate(bit)[order], first).astype(np.int64),
+                })
+
+    each = examples.mapInPandas(count, "h long, n long, toxic double, bits long")
+    # near copies of one text repeat its terms with the same word before them: the distinct words are the evidence
+    found = each.groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("bits")).alias("contexts"))
+    got = found.select("h", F.col("n").cast("int"), F.col("toxic").cast("float"), F.col("contexts").cast("byte")).toArrow()  # the terms of at most EXAMPLES texts
+    h, n, toxic, contexts = (got.column(c).to_numpy() for c in ("h", "n", "toxic", "contexts"))
+    order = np.argsort(h.astype(np.uint64))
+    return h.astype(np.uint64)[order], n[order], toxic[order], contexts[order]
 
 
 def _frequencies(docs: DataFrame, text_col: str, terms: Terms) -> tuple[np.ndarray, int]:
-    """In how many of all rows each chosen term stands, and the number of rows."""
+    """In how many of all rows each term stands, and the number of rows."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
+    size = terms.hashes.size + 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, rows = sent.value, 0
-        n = np.zeros(here.hashes.size + 1, dtype=np.int64)
+        here, n = sent.value, np.zeros(size, dtype=np.int64)
         for batch in batches:
             for text in batch["t"]:
                 n[here.of(text)[0]] += 1
-                rows += 1
-        n[-1] = rows
-        yield pd.DataFrame({"term": np.flatnonzero(n), "n": n[n > 0]})
-
-    counts = docs.select(F.col(f"`{text_col}`").alias("t")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(terms.hashes.size + 1, dtype=np.int64)
-    for r in counts.collect():  # one row for each chosen term
-        out[r["term"]] = r["n"]
+            n[-1] += len(batch)
+        pieces = [(p, n[lo : lo + PIECE]) for p, lo in enumerate(range(0, size, PIECE))]
+        yield pd.DataFrame([(p, x.tobytes()) for p, x in pieces if x.any()], columns=["piece", "n"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, raw in zip(batch["piece"], batch["n"]):
+                x = np.frombuffer(raw, dtype=np.int64)
+                total[p] = total[p] + x if p in total else x
+        yield pd.DataFrame([(p, x.tobytes()) for p, x in total.items()], columns=["piece", "n"])
+
+    counts = docs.select(F.col(f"`{text_col}`").alias("t")).mapInPandas(count, "piece int, n binary")
+    out = np.zeros(size, dtype=np.int64)
+    for r in counts.repartition("piece").mapInPandas(add, "piece int, n binary").toLocalIterator():  # a number for each term
+        x = np.frombuffer(r["n"], dtype=np.int64)
+        out[r["piece"] * PIECE : r["piece"] * PIECE + x.size] = x
     return out[:-1], int(out[-1])
 
 
@@ -254,7 +341,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
     """The index of labelled examples. ``learn``: the rows of ``docs`` whose labels may be used (all by default);
     term statistics always cover all of ``docs``."""
     sample = _examples(learn if learn is not None else docs, labels, id_col, text_col, label_col, examples)
-    terms = Terms(_choose(sample))
+    hashes, held, bad, contexts = _statistics(sample)
+    terms = Terms(hashes)
     n, rows = _frequencies(docs, text_col, terms)
     idf = np.log((1 + rows) / (1 + n)) + 1
     sent = docs.sparkSession.sparkContext.broadcast(terms)
@@ -262,27 +350,46 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [sent.value.of(t) for t in batch["t"]]
-            yield pd.DataFrame({"terms": [f[0] for f in found], "counts": [f[1] for f in found], "toxic": batch["toxic"], "n": batch["n"], "id": batch["id"]})
-
-    rows_ = sample.mapInPandas(vectors, "terms array<long>, counts array<long>, toxic long, n long, id long")
-    merged = cut_lineage(rows_.groupBy("terms", "counts").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.min("id").alias("id")))
-    found = [(tuple(r["terms"]), tuple(r["counts"]), r["toxic"], r["n"], r["id"]) for r in merged.toLocalIterator()]  # at most EXAMPLES
-    index = Index(terms, idf, found)
+            yield pd.DataFrame({
+                "terms": [f[0].astype(np.int32).tobytes() for f in found],
+                "counts": [f[1].astype(np.int32).tobytes() for f in found],
+                "toxic": batch["toxic"], "n": batch["n"], "id": batch["id"],
+            })
+
+    rows_ = sample.mapInPandas(vectors, "terms binary, counts binary, toxic long, n long, id long")
+    merged: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+    for r in rows_.toLocalIterator():  # at most EXAMPLES
+        key = bytes(r["terms"]), bytes(r["counts"])
+        toxic, every, first = merged.get(key, (0, 0, r["id"]))
+        merged[key] = toxic + r["toxic"], every + r["n"], min(first, r["id"])
+    found = [(np.frombuffer(t, dtype=np.int32), np.frombuffer(c, dtype=np.int32), *e) for (t, c), e in merged.items()]
+    del merged
+    total = sum(e[3] for e in found), sum(e[2] for e in found)
+    rate = (total[1] + 0.5) / (total[0] + 1)
+    index = Index(terms, idf * significance(held, bad, contexts, rate), found)
+    bare = [(index.background, float(e[2]), float(e[3])) for e in found if not e[0].size]
+    del found
     built = docs.sparkSession.sparkContext.broadcast(index)
+    counted = docs.sparkSession.sparkContext.broadcast((idf, held, bad, contexts))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = built.value
-        place = {i: k for k, i in enumerate(here.ids)}
+        here, (idf, held, bad, contexts) = built.value, counted.value
         for batch in batches:
-            votes = [
-                here.vote(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64), place[i] if len(t) else -1)[0]
-                for t, c, i in zip(batch["terms"], batch["counts"], batch["id"])
-            ]
-            yield pd.DataFrame({"vote": votes, "toxic": batch["toxic"].astype(float), "n": batch["n"].astype(float)})
-
-    spread = merged.repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    judged = spread.mapInPandas(judge, "vote double, toxic double, n double").toArrow()  # three numbers for each of at most EXAMPLES
-    index.calibrate(list(zip(*(judged.column(c).to_pylist() for c in ("vote", "toxic", "n")))))
+            votes = []
+            for i in batch["id"]:
+                at = slice(here.begin[i], here.begin[i + 1])
+                t, c, y = here.term[at], here.counts[here.code[at]], here.toxic[i] / here.all[i]
+                # the text's own label is no evidence here, and terms that only it holds are unknown
+                others = held[t] > 1
+                t, c = t[others], c[others]
+                less = held[t] - 1
+                weights = idf[t] * significance(less, np.clip(bad[t] - y, 0, less), contexts[t], rate)
+                votes.append(here.vote(t, c, i if len(t) else -1, weights)[0])
+            yield pd.DataFrame({"vote": votes, "toxic": here.toxic[batch["id"]], "n": here.all[batch["id"]]})
+
+    numbers = docs.sparkSession.range(len(index.ids), numPartitions=docs.sparkSession.sparkContext.defaultParallelism)
+    judged = numbers.mapInPandas(judge, "vote double, toxic double, n double").toArrow()  # three numbers for each of at most EXAMPLES
+    index.calibrate(bare + list(zip(*(judged.column(c).to_pylist() for c in ("vote", "toxic", "n")))))
     return index
 
 

@@ -80,3 +80,53 @@ def test_without_labels_or_rows(spark, docs_of):
     assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), none)).collect() == []
     ones = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert {r["score"] > 0.5 for r in toxicity.score(df, toxicity.fit(df, ones)).collect()} == {True}
+
+
+def test_rare_words_same_contexts_and_copies_count(spark, docs_of, prose):
+    r = random.Random(6)
+    docs, labels = [], []
+    for i in range(300):
+        w, bad = prose(i, 60), False
+        if i < 3:  # a toxic word in three examples only
+            w.insert(r.randint(1, 59), "zwackelig")
+            bad = True
+        elif i < 43:  # one that always follows the same word
+            w[30:30] = ["du", "bratzkopf"]
+            bad = True
+        elif i == 43:  # no telling word at all
+            bad = True
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    fresh = [(900, " ".join([*prose(900, 30), "zwackelig", *prose(901, 30)])), (901, " ".join([*prose(902, 30), "du", "bratzkopf", *prose(903, 30)]))]
+    fresh += [(902, docs[43][1]), (903, " ".join(prose(904, 60))), (904, docs[200][1])]
+    df = docs_of(docs + fresh)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    index = toxicity.fit(df, y)
+    got = {x["doc_id"]: x for x in toxicity.score(df.where("doc_id >= 900"), index).collect()}
+    assert got[902]["evidence"][0]["id"] == 43 and abs(got[902]["evidence"][0]["cosine"] - 1) < 1e-9
+    assert got[904]["evidence"][0]["id"] == 200 and abs(got[904]["evidence"][0]["cosine"] - 1) < 1e-9
+    assert {e["id"] for e in got[900]["evidence"]} == {0, 1, 2}
+    assert all(3 <= e["id"] < 43 for e in got[901]["evidence"]) and len(got[901]["evidence"]) == 3
+    clean = got[903]["score"], got[904]["score"]
+    assert got[901]["score"] > 0.3 > max(clean) and got[900]["score"] > max(clean), got
+
+
+def test_pruned_search_is_exact():
+    r = random.Random(8)
+    size = 400
+    terms = toxicity.Terms(np.array(sorted(r.getrandbits(63) for _ in range(size)), dtype=np.uint64))
+    examples = {}
+    for i in range(3000):  # few frequent terms, many rare ones
+        t = tuple(sorted({min(int(size * r.random() ** 4), size - 1) for _ in range(30)}))
+        examples.setdefault(t, (t, tuple(r.randint(1, 4) for _ in t), r.randint(0, 1), r.randint(1, 2), i))
+    examples = list(examples.values())
+    idf = 0.05 + np.linspace(0, 1, size) ** 2 * 9
+    index = toxicity.Index(terms, idf, examples)
+    for _ in range(60):
+        t = np.array(sorted({min(int(size * r.random() ** 4), size - 1) for _ in range(30)}))
+        c = np.array([r.randint(1, 4) for _ in t])
+        found, cosines = index.nearest(t, c)
+        got = {index.ids[i]: s for i, s in zip(found, cosines)}
+        want = brute_nearest(index, t, c, examples)
+        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert index.spread.size  # some searches stopped early
