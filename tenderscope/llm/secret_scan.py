@@ -4,8 +4,10 @@ Two first-order character chains are trained: one on the strings that the fixed
 rules find (labelled random), one on every other run of key characters in the
 corpus (labelled ordinary). Transition counts come from all rows and are added
 up in Spark, so what reaches the driver is one table of characters by characters.
-A run of ``LEAST`` characters or more outside the fixed rules' spans is reported
-as ``random`` if the log-likelihood ratio exceeds the prior odds against a secret.
+Runs are cut at the fixed rules' spans; in what is left, whatever its length, every part
+between separators (or ends) whose log-likelihood ratio exceeds the prior odds against a
+secret is reported as ``random``, as the best-scoring part that holds it. Where the ratio
+falls by the prior odds, a part ends and another may begin.
 
 Defined cases
 - Null or empty text: no spans. Texts of any length are scanned whole.
@@ -36,13 +38,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
-#: Runs shorter than this are never judged by the models.
-LEAST = 20
 #: Prior odds against a run being a secret.
 ODDS = 1e6
 #: Weight, in transitions, of a character's own frequency in its transition probabilities.
 BACK = 1000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: Codes from this on are separators, at which a part of a run may begin or end.
+SEPARATOR = ALPHABET.index("+")
 SIZE = len(ALPHABET) + 1  # and the state before the first character
 _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -94,7 +96,8 @@ def transition_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(df: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-likelihood ratio (random against ordinary) of each transition, from all rows."""
+    """Log-likelihood ratios (random against ordinary) of each transition, from all rows: within a string, and
+    where a random string begins after an ordinary character."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, SIZE * SIZE), dtype=np.int64)
@@ -115,9 +118,31 @@ def fit(df: DataFrame, text_col: str = "text") -> np.ndarray:
     # a transition that is rare in training falls back to how common its character is
     single = (table.sum(1) + 1) / (table.sum((1, 2)) + SIZE - 1)[:, None]
     logs = np.log((table + BACK * single[:, None, :]) / (table.sum(2, keepdims=True) + BACK))
-    out = np.zeros((SIZE, SIZE))
-    out[:, : SIZE - 1] = logs[0] - logs[1]
-    return out.reshape(-1)
+    out = np.zeros((2, SIZE, SIZE))
+    out[0, :, : SIZE - 1] = logs[0] - logs[1]
+    out[1, :, : SIZE - 1] = logs[0, START] - logs[1]
+    return out.reshape(2, -1)
+
+
+def _parts(code: np.ndarray, ratio: np.ndarray, odds: float) -> Iterator[tuple[int, int]]:
+    """The best-scoring parts of a run with a log-likelihood ratio above ``odds``, from left to right."""
+    total = np.concatenate(([0.0], np.cumsum(ratio[0, _pairs(code)])))
+    alone = ratio[1, _pairs(code)]
+    apart = code >= SEPARATOR
+    cuts = [0, *(np.flatnonzero(apart[1:] | apart[:-1]) + 1).tolist(), code.size]
+    best, begin, end, now = 0.0, 0, 0, -np.inf
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        fresh, longer = alone[a] + total[b] - total[a + 1], now + total[b] - total[a]
+        if fresh >= longer or best - longer > odds:
+            if best > odds:
+                yield begin, end
+            best, begin, end, now = fresh, a, b, fresh
+        else:
+            now = longer
+            if now > best:
+                best, end = now, b
+    if best > odds:
+        yield begin, end
 
 
 def find_spans(text: str, ratio: np.ndarray) -> list[Span]:
@@ -125,13 +150,19 @@ def find_spans(text: str, ratio: np.ndarray) -> list[Span]:
     base = base_spans(text)
     spans = [(s, e, k) for s, e, k, _ in base]
     code = _codes(text)
+    for s, e, _ in spans:
+        code[s:e] = -1
     start, end = _runs(code)
-    long = end - start >= LEAST
-    for s, e in zip(start[long].tolist(), end[long].tolist()):
-        if any(s < b and a < e for a, b, _, _ in base):
-            continue
-        if ratio[_pairs(code[s:e])].sum() > np.log(ODDS):
-            spans.append((s, e, "random"))
+    if not start.size or not ratio.any():
+        return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    odds = float(np.log(ODDS))
+    # no part of a run can score more than its characters at their best
+    most = np.maximum(ratio[:, _pairs(code)].max(0), 0)
+    most[code < 0] = 0
+    most = np.concatenate(([0.0], np.cumsum(most)))
+    may = most[end] - most[start] > odds - 1e-6
+    for s, e in zip(start[may].tolist(), end[may].tolist()):
+        spans += [(s + a, s + b, "random") for a, b in _parts(code[s:e], ratio, odds)]
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

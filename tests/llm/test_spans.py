@@ -70,6 +70,22 @@ def test_markov_models_add_random_strings_only(spark, docs_of, prose):
     assert not secret_scan.fit(none).any() and secret_scan.scan(none, secret_scan.fit(none)).collect() == []
 
 
+def test_random_parts_of_longer_runs(spark, docs_of, prose):
+    r = random.Random(7)
+    rows = [(i, " ".join(prose(i, 60)) + f" {'.'.join(prose(i, 3))}/{'_'.join(prose(i + 500, 3))} {'_'.join(prose(i + 900, 2)).upper()}=" + (f' token = "{random_key(r)}"' if i % 2 else "")) for i in range(200)]
+    key = random_key(r)
+    short = random_key(r, 24)
+    path = "https://kana.lope.mirita/tunas/kanata/loperis/", "/renas/tuvo/sopeta_kari/lovota/mirista/kanasta"
+    texts = [f"{path[0]}{key}{path[1]}", f"SONAS_KAPE={key}", f"kana.lopeta.{key}.tunas.rerita", f"so {short} na", f"token={key}:tunas/{short}"]
+    texts.append(f"{path[0]}{key}{path[1]}{path[1]}{path[1]}/{short}{path[1]}")
+    rows += [(900 + i, t) for i, t in enumerate(texts)]
+    df = docs_of(rows)
+    got = {x["doc_id"]: x["found"] for x in secret_scan.scan(df, secret_scan.fit(df)).collect()}
+    found = [[texts[i][s["start"] : s["end"]] for s in got[900 + i] if s["kind"] == "random"] for i in range(len(texts))]
+    assert found == [[key], [key], [key], [short], [short], [key, short]]
+    assert all(s["kind"] == "assign" for i in range(200) for s in got[i])
+
+
 def test_boosting_learns_and_redacts(spark, docs_of, prose):
     r = random.Random(2)
     rows = []
