@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tenderscope.llm import (  # noqa: F401
     q_benchmark,
+    q_conversations,
     q_language,
     q_licenses,
     q_near,
