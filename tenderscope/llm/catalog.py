@@ -14,6 +14,7 @@ from tenderscope.llm import (  # noqa: F401
     q_toxicity,
     q_urls,
     q_vectors,
+    q_whitening,
 )
 from tenderscope.llm.registry import QUERIES, SQL
 
