@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tenderscope.llm.common import cut_lineage
 
 #: Turns of different conversations from which a prefix is too large for one task.
-GROUP_TURNS = 8192
+GROUP_TURNS = 1024
 #: Turns that a task peels at a time.
 CHUNK_TURNS = 65536
 #: Copies of a parent for its children to look up.
