@@ -6,6 +6,7 @@ from tenderscope.llm import (  # noqa: F401
     q_benchmark,
     q_conversations,
     q_language,
+    q_languages,
     q_licenses,
     q_near,
     q_pii,
