@@ -60,19 +60,85 @@ def stream_sync(spark: SparkSession, d: str) -> DataFrame:
     return st.read_inventory(spark, out["inventory"]).select("user_id", "event_type", "event_id")
 
 
+def arrivals(rows: DataFrame, number: str, count: int):
+    """Write a table into one folder, batch after batch; yields the folder each time one has arrived."""
+    folder = scratch_path(rows.sparkSession, "arrivals")
+    for i in range(count):
+        rows.where(F.col(number) == i).drop(number).write.mode("append").parquet(folder)
+        yield folder
+
+
 @query(
     "stream_leader",
     """with t as (select event_type, user_id, sum(cast(value as decimal(18,2))) as total from events group by 1, 2)
     select event_type, arg_max(user_id, (total, -user_id)) as leader, cast(max(total) as double) as total from t group by 1""",
 )
 def stream_leader(spark: SparkSession, d: str) -> DataFrame:
-    e = event_stream(spark, d).withColumn("value", F.col("value").cast("decimal(18,2)"))
-    totals = st.running_leader(e, "event_type", "user_id", "value")
-    spark_out, state = scratch_path(spark, "leader"), scratch_path(spark, "leader-state")
+    """Two triggers, each of half a month; only leaders that change are merged."""
+    cents = (F.col("value").cast("decimal(18,2)") * 100).cast("long").alias("cents")
+    rows = table(spark, d, "events").select("event_type", "user_id", cents, F.when(F.dayofmonth("ts") < 16, 0).otherwise(1).alias("half"))
+    kept, state = scratch_path(spark, "leaders"), scratch_path(spark, "leaders-state")
+    for folder in arrivals(rows, "half", 2):
+        stream = st.file_stream(spark, folder, "event_type string, user_id bigint, cents bigint", pattern="*.parquet")
+        st.keep_leaders(st.running_leader(stream, "event_type", "user_id", "cents"), kept, state).awaitTermination()
+    found = st.leaders_of(st.read_inventory(spark, kept, "key string, share int, leader bigint, total bigint, part int"))
+    return found.select(F.col("key").alias("event_type"), "leader", (F.col("total").cast("decimal(20,0)") / 100).cast("double").alias("total"))
+
+
+#: Days of a snapshot, and how long a listed id is remembered.
+SNAPSHOT_DAYS, REMEMBER = 5, "4 days"
+
+
+@query(
+    "stream_first_seen",
+    """with recursive l as (
+      select distinct user_id, cast(least((day(ts) - 1) // 5, 5) as int) as k from events where event_type = 'purchase'
+    ), first as (
+      -- forgotten once the snapshot before lies twice the bound after the one at which it was kept
+      select user_id, min(k) as k from l group by 1
+      union all
+      select f.user_id, (select min(l.k) from l where l.user_id = f.user_id and 5 * (l.k - 1) >= 5 * f.k + 8) from first f
+      where exists (select 1 from l where l.user_id = f.user_id and 5 * (l.k - 1) >= 5 * f.k + 8)
+    ) select user_id, date '2024-01-01' + 5 * k as seen from first""",
+)
+def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Buyers as six listings show them: kept when first seen, and again once they have been forgotten."""
+    k = F.least(F.floor((F.dayofmonth("ts") - 1) / SNAPSHOT_DAYS), F.lit(5)).cast("int")
+    rows = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", k.alias("k")).distinct()
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("k") * SNAPSHOT_DAYS)
+    rows = rows.withColumn("seen", day.cast("timestamp"))
+    out, state = scratch_path(spark, "seen"), scratch_path(spark, "seen-state")
+    for folder in arrivals(rows, "k", 6):
+        stream = st.file_stream(spark, folder, "user_id bigint, seen timestamp", pattern="*.parquet")
+        st.drain(st.first_seen(stream, "seen", ["user_id"], REMEMBER), out, state)
+    return spark.read.schema("user_id bigint, seen timestamp").parquet(out).select("user_id", F.col("seen").cast("date").alias("seen"))
 
-    def save(batch: DataFrame, _batch_id: int) -> None:
-        st.leaders_of(batch, "event_type", "user_id").write.mode("overwrite").parquet(spark_out)
 
-    q = totals.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(spark_out).select("event_type", "leader", F.col("total").cast("double").alias("total"))
+@query(
+    "stream_late",
+    """with e as (
+      select event_type, cast(cast(value as decimal(18,2)) * 100 as bigint) as cents, ts, date_trunc('day', ts) as start,
+             least((day(ts) - 1) // 10 + case when event_id % 40 = 7 then 1 else 0 end, 2) as b from events
+    ), w as (select k as b, (select max(ts) from e where e.b < k) as seen from range(0, 4) t(k)),
+    m as (
+      select e.*, coalesce(w.seen >= e.start + interval 1 day + interval 6 hours, false) as late from e join w using (b)
+    )
+    select event_type, start, count(*) filter (where not late) as n_in_time, count(*) filter (where late) as n_late,
+           cast(coalesce(sum(cents) filter (where not late), 0) as bigint) as cents_in_time,
+           cast(coalesce(sum(cents) filter (where late), 0) as bigint) as cents_late
+    from m where start + interval 1 day + interval 6 hours <= (select seen from w where b = 3) group by 1, 2""",
+)
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Daily totals as three triggers of ten days see them; one event in forty comes a trigger late."""
+    b = F.least(F.floor((F.dayofmonth("ts") - 1) / 10) + F.when(F.col("event_id") % 40 == 7, 1).otherwise(0), F.lit(2)).cast("int")
+    cents = (F.col("value").cast("decimal(18,2)") * 100).cast("long").alias("cents")
+    rows = table(spark, d, "events").select("event_id", "event_type", cents, F.col("ts").cast("timestamp").alias("ts"), b.alias("b"))
+    out, state = scratch_path(spark, "periods"), scratch_path(spark, "periods-state")
+    for folder in arrivals(rows, "b", 3):
+        stream = st.file_stream(spark, folder, "event_id bigint, event_type string, cents bigint, ts timestamp", pattern="*.parquet")
+        st.drain(st.closing_periods(stream, "ts", "event_type", "event_id", "cents", "day", "6 hours", "40 days"), out, state)
+    marked = spark.read.schema("key string, start timestamp, status string, n bigint, amount bigint").parquet(out)
+    return st.period_totals(marked).select(
+        F.col("key").alias("event_type"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("n_closed").alias("n_in_time"), "n_late",
+        F.col("amount_closed").alias("cents_in_time"), F.col("amount_late").alias("cents_late"),
+    )
