@@ -68,10 +68,10 @@ def supplier_label(tax_id: Column, name: Column) -> Column:
 
 def norm_tax_id(raw: Column) -> Column:
     """``0860.0`` and ``860`` become one key; blanks become the empty string."""
+    # every step uses its argument once: the planner would evaluate it again for each further use
     s = F.trim(F.coalesce(raw, F.lit("")))
-    whole = F.when(s.rlike(r"^\d+\.0+$"), F.regexp_replace(s, r"\.0+$", "")).when(s.rlike(r"^\d+$"), s)
-    digits = F.regexp_replace(whole, r"^0+(?=\d)", "")
-    return F.when(F.lower(s).isin(*BLANK_TOKENS), F.lit("")).otherwise(F.coalesce(digits, s))
+    digits = F.regexp_replace(s, r"^0*(\d+?)(?:\.0+)?$", "$1")
+    return F.regexp_replace(digits, "(?i)^(?:" + "|".join(t for t in BLANK_TOKENS if t) + ")$", "")
 
 
 def segment_code(c: Column) -> Column:

@@ -101,7 +101,7 @@ def _by_score(df: DataFrame, y: str, score: str, keys: Sequence[str]) -> DataFra
 
 def auc(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from counts per distinct score; ties count one half."""
-    run = running_totals(_by_score(df, y, score, keys), "s", [], {"below": "neg"}, keys, descending=False)
+    run = running_totals(_by_score(df, y, score, keys), "s", [], {"below": "neg"}, keys, descending=False, grouped=True)
     wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2.0))
     total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return run.groupBy(*keys).agg(F.round(F.try_divide(wins, total), 6).alias("auc_roc"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
@@ -109,7 +109,7 @@ def auc(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFram
 
 def average_precision(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of precision at each distinct score weighted by the recall it adds."""
-    run = running_totals(_by_score(df, y, score, keys), "s", [], {"tp": "pos", "fp": "neg"}, keys)
+    run = running_totals(_by_score(df, y, score, keys), "s", [], {"tp": "pos", "fp": "neg"}, keys, grouped=True)
     gain = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     return run.groupBy(*keys).agg(F.round(F.try_divide(gain, F.sum("pos").cast("double")), 6).alias("auc_pr"))
 

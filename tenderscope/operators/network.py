@@ -38,7 +38,8 @@ def build_edges(lines: DataFrame) -> DataFrame:
     Suppliers are keyed by normalised tax id, else by name.
     """
     name = _real_text(F.col("supplier_name"))
-    key = F.coalesce(F.nullif(norm_tax_id(F.col("tax_id").cast("string")), F.lit("")), name)
+    # the first that is not blank; a list evaluates both once
+    key = F.get(F.filter(F.array(norm_tax_id(F.col("tax_id").cast("string")), name), lambda k: k != ""), 0)
     base = lines.where(F.col("keep") & (F.coalesce(F.col("value"), F.lit(0)) > 0)).select(
         _real_text(F.col("buyer")).alias("buyer"),
         key.alias("supplier_id"),
@@ -48,13 +49,23 @@ def build_edges(lines: DataFrame) -> DataFrame:
         _real_text(F.col("segment")).alias("segment"),
         _real_text(F.col("department")).alias("department"),
     ).where(F.col("buyer").isNotNull() & F.col("supplier_id").isNotNull())
-    # one grouping: modes are counted per pair in the same pass, equal counts go to the smallest value
-    return base.groupBy("buyer", "supplier_id").agg(
-        F.coalesce(F.min("supplier_name"), F.min("supplier_id")).alias("supplier_name"),
-        F.sum("value").alias("value"),
-        F.countDistinct("process_id").alias("n_processes"),
-        F.mode("segment", True).alias("segment"),
-        F.mode("department", True).alias("department"),
+    # first the counts of each value within a pair, for all four attributes in one pass and combined
+    # before the shuffle, however hot the pair; then one row for each pair
+    pair, attributes = ["buyer", "supplier_id"], ["process_id", "segment", "department", "supplier_name"]
+    counted = base.groupingSets([[*pair, a] for a in attributes], *pair, *attributes).agg(
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"), F.grouping_id(*pair, *attributes).alias("g")
+    )
+    of = {a: F.col("g") == 15 - (8 >> i) for i, a in enumerate(attributes)}  # bit 1: not in the set
+
+    def mode(a: str) -> Column:  # equal counts go to the smallest value
+        return F.min(F.when(of[a] & F.col(a).isNotNull(), F.struct(-F.col("n"), F.col(a).alias("v")))).getField("v").alias(a)
+
+    return counted.groupBy(*pair).agg(
+        F.coalesce(F.min(F.when(of["supplier_name"], F.col("supplier_name"))), F.min("supplier_id")).alias("supplier_name"),
+        F.sum(F.when(of["process_id"], F.col("value"))).alias("value"),
+        F.count(F.when(of["process_id"], F.col("process_id"))).alias("n_processes"),
+        mode("segment"),
+        mode("department"),
     )
 
 

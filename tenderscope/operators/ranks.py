@@ -2,6 +2,7 @@
 
 A value is first mapped to a coarse bucket by a fixed monotone rule (log scale),
 so the number of buckets is bounded by the range of a double, not by the rows.
+A bucket that holds very many rows all the same is cut by sampled bounds.
 Totals per bucket are tiny; the running sum over buckets gives every bucket its
 offset, and the detailed order is only needed inside a bucket.
 """
@@ -13,6 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tenderscope.session import cut_lineage
+
+#: Rows at one bucket of values from which it is cut into ranges.
+RANGE_ROWS = 1 << 18
 BUCKETS_PER_UNIT = 1024  # for each doubling: ~0.07 % relative width
 SMALLEST = 1100 * BUCKETS_PER_UNIT  # lifts the bucket of the smallest double above zero
 
@@ -35,30 +40,26 @@ def running_totals(
     sums: Mapping[str, str],
     keys: Sequence[str] = (),
     descending: bool = True,
+    grouped: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` (output name -> input column).
 
     Rows are ordered by ``order`` and then ``ties`` within ``keys``; the window
-    is partitioned by (keys, bucket), so no task sees a whole key.
+    is partitioned by ranges of that order, so no task sees a whole key, nor all
+    rows of one value.
     """
     keys = list(keys)
-    bucket = log_bucket(F.col(order))
-    tagged = df.withColumn("_b", -bucket if descending else bucket)
-    per_bucket = tagged.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_b").alias("_ob"),
+    part = [*keys, "_b", "_s"]
+    tagged = order_ranges(df, order, ties, keys, descending)
+    per_range = tagged.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *[F.col(k).alias(f"_k_{k}") for k in part],
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
-        F.col("_b") == F.col("_ob"),
-    )
-    first = F.col(order).desc() if descending else F.col(order).asc()
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in part])
     inside = (
-        Window.partitionBy(*keys, "_b").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*part).orderBy(_first(order, descending), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     joined = tagged.join(offsets, match, "left")
     return joined.select(
@@ -67,6 +68,36 @@ def running_totals(
     )
 
 
+def _first(order: str, descending: bool) -> Column:
+    return F.col(order).desc() if descending else F.col(order).asc()
+
+
+def order_ranges(
+    df: DataFrame, order: str, ties: Sequence[str], keys: Sequence[str] = (), descending: bool = True, most: int | None = None
+) -> DataFrame:
+    """``df`` with ``_b, _s``: ranges that follow one another in the order of ``order`` and then ``ties``.
+
+    ``_b`` is the bucket of the value. A bucket of more than ``most`` rows (many rows at one value,
+    say) is cut further, by sampled bounds over value and ties, into ranges ``_s`` of about that size.
+    """
+    most = most or RANGE_ROWS
+    keys = list(keys)
+    bucket = log_bucket(F.col(order))
+    tagged = cut_lineage(df.withColumn("_b", -bucket if descending else bucket))
+    sizes = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    wide = sizes.agg(F.sum("_n")).first()[0]
+    if not wide:
+        return tagged.withColumn("_s", F.lit(0))
+    marks = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_b"]])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_b"]])
+    ranges = -(-int(wide) // most)
+    heavy = tagged.join(marks, match, "left_semi").repartitionByRange(
+        ranges, *[F.col(k).asc() for k in keys], F.col("_b").asc(), _first(order, descending), *[t if isinstance(t, Column) else F.col(t) for t in ties]
+    )
+    # written, so that sampled bounds are drawn once
+    return tagged.join(marks, match, "left_anti").withColumn("_s", F.lit(0)).unionByName(cut_lineage(heavy.withColumn("_s", F.spark_partition_id())))
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -138,7 +169,7 @@ def exact_percentiles(
 
 def average_ranks(freq: DataFrame, value: str, weight: str, name: str = "avg_rank") -> DataFrame:
     """Tie-averaged ranks for a table of distinct values and their counts."""
-    done = running_totals(freq, value, [], {"_upto": weight}, descending=False)
+    done = running_totals(freq, value, [], {"_upto": weight}, descending=False, grouped=True)
     return done.withColumn(name, F.col("_upto") - (F.col(weight) - 1) / 2.0).drop("_upto")
 
 

@@ -80,3 +80,23 @@ def test_shares_sum_to_one(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 0)], "k string, v int")
     got = ranks.shares_within(df, ["k"], "v", "s").groupBy("k").agg(F.sum("s").alias("t")).collect()
     assert {r["k"]: r["t"] for r in got} == {"a": 1.0, "b": None}
+
+
+def test_running_totals_where_a_third_of_the_rows_have_one_value(spark, monkeypatch):
+    import random
+
+    from tenderscope.operators import ranks
+
+    r = random.Random(8)
+    rows = [(f"s{i:04d}", "k" if i % 2 else None, 500 if i % 3 == 0 else r.randint(1, 900)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "name string, k string, v long").repartition(4)
+    ranges = ranks.order_ranges(df, "v", ["name"], ["k"], most=40)
+    sizes = [x["count"] for x in ranges.groupBy("k", "_b", "_s").count().collect()]
+    assert sum(sizes) == 1500 and max(sizes) <= 80  # 250 rows of each key have one value
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40)
+    got = {(x["k"], x["name"]): x["run"] for x in ranks.running_totals(df, "v", ["name"], {"run": "v"}, ["k"]).collect()}
+    for k in (None, "k"):
+        total = 0
+        for name, _, v in sorted((x for x in rows if x[1] == k), key=lambda x: (-x[2], x[0])):
+            total += v
+            assert got[k, name] == total
