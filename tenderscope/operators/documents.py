@@ -73,12 +73,29 @@ def body_headings(lines: Column) -> Column:
 
 
 def longest_chain(items: Column) -> Column:
-    """From every start take each later heading with a higher number and a new title; keep the longest run."""
+    """From every start take each later heading with a higher number and a new title; keep the longest run.
 
-    def run(first: Column, i: Column) -> Column:
+    What a run takes next depends on its last heading alone, so runs that meet in a heading
+    go on as one: the longest of them, the earliest start among equals. One pass keeps the
+    runs by their last headings (about as many as there are different numbers, however many
+    headings); the best start is then followed once.
+    """
+    marked = F.transform(items, lambda h, i: F.struct(i.alias("i"), h["number"].alias("number"), h["title_norm"].alias("title")))
+
+    def takes(last: Column, h: Column) -> Column:
+        return F.coalesce((last["number"] < h["number"]) & (last["title"] != h["title"]), F.lit(False))
+
+    def visit(runs: Column, h: Column) -> Column:
+        met = F.transform(F.filter(runs, lambda r: takes(r, h)), lambda r: F.struct((r["size"] + 1).alias("size"), r["start"].alias("start")))
+        fresh = F.array(F.struct(F.lit(1).alias("size"), (-h["i"]).alias("start")))
+        best = F.array_max(F.concat(fresh, met))
+        last = let(best, lambda b: F.struct(b["size"].alias("size"), b["start"].alias("start"), h["number"].alias("number"), h["title"].alias("title")))
+        return F.concat(F.filter(runs, lambda r: ~takes(r, h)), F.array(last))
+
+    def follow(start: Column) -> Column:
         return F.aggregate(
-            F.slice(items, i + 2, F.size(items)),
-            F.array(first),
+            F.slice(items, start + 2, F.size(items)),
+            F.array(F.get(items, start)),
             lambda seq, h: let(
                 F.element_at(seq, -1),
                 lambda last: F.when(
@@ -87,11 +104,10 @@ def longest_chain(items: Column) -> Column:
             ),
         )
 
-    runs = F.transform(items, run)
-    best = F.aggregate(
-        runs, F.slice(items, F.lit(1), F.lit(0)), lambda a, b: F.when(F.size(b) > F.size(a), b).otherwise(a)
-    )
-    return F.when(F.size(items) > 0, best).otherwise(items)
+    none = F.lit(None).cast("array<struct<size:int,start:int,number:int,title:string>>")
+    runs = F.aggregate(marked, F.coalesce(none, F.array().cast("array<struct<size:int,start:int,number:int,title:string>>")), visit)
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["size"].alias("size"), r["start"].alias("start"))))
+    return F.when(F.size(items) > 0, let(-best["start"], follow)).otherwise(items)
 
 
 def _slice_sections(lines: Column, chain: Column) -> Column:

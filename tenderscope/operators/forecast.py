@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tenderscope.functions.arrays import let
 
@@ -125,42 +123,84 @@ def seasonal_median(y: Column, h: int) -> Column:
     return F.transform(_steps(h), lambda k: F.coalesce(median(at_position(y, (n + k - 1) % SEASON)), _last(y)))
 
 
-def seasonal_ar(y: Column, h: int, min_points: int = 30) -> Column:
-    """Conditional least squares of an AR(1) with constant on log seasonal differences."""
-    n = F.size(y)
+#: Candidates of the regression on log seasonal differences: difference twice, lag of the regressor, with a slope.
+AR_CANDIDATES = ((False, 1, True), (True, 1, True), (False, 1, False), (False, SEASON, True))
+HOLD_BACK = 6
+
+
+def _logs(y: Column) -> Column:
+    return F.transform(y, lambda v: F.log1p(F.greatest(v, F.lit(0.0))))
+
+
+def _less(a: Column, k: int) -> Column:
+    return F.when(F.size(a) > k, F.transform(F.sequence(F.lit(k), F.size(a) - 1), lambda t: F.get(a, t) - F.get(a, t - k)))
 
-    def fit(d: Column) -> Column:
-        m = F.size(d) - 1
-        pairs = F.arrays_zip(F.slice(d, F.lit(1), m).alias("x"), F.slice(d, F.lit(2), m).alias("w"))
-        centre = F.struct(mean(F.slice(d, F.lit(1), m)).alias("x"), mean(F.slice(d, F.lit(2), m)).alias("w"))
 
-        def line(c: Column) -> Column:
-            sxy = total(F.transform(pairs, lambda p: (p["x"] - c["x"]) * (p["w"] - c["w"])))
-            sxx = total(F.transform(pairs, lambda p: (p["x"] - c["x"]) * (p["x"] - c["x"])))
-            slope = F.coalesce(F.try_divide(sxy, sxx), F.lit(0.0))
-            return let(slope, lambda b: F.struct(b.alias("b"), (c["w"] - b * c["x"]).alias("a")))
+def _ar_path(z: Column, h: int, c: Column) -> Column:
+    """Conditional least squares of the differences on their own lag, carried ``h`` steps on; null with too few points.
+
+    ``c`` is a candidate; what it says is data, so all candidates share one expression.
+    """
+    skip = F.when(c["slope"], c["lag"]).otherwise(0)
+
+    def fit(d: Column) -> Column:
+        m = F.size(d) - skip
+        pairs = F.arrays_zip(F.slice(d, F.lit(1), m).alias("x"), F.slice(d, skip + 1, m).alias("w"))
+        centre = F.struct(mean(F.transform(pairs, lambda p: p["x"])).alias("x"), mean(F.transform(pairs, lambda p: p["w"])).alias("w"))
+
+        def line(o: Column) -> Column:
+            zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"))
+            sums = F.aggregate(
+                pairs,
+                zero,
+                lambda s, p: F.struct(
+                    (s["xy"] + (p["x"] - o["x"]) * (p["w"] - o["w"])).alias("xy"), (s["xx"] + (p["x"] - o["x"]) * (p["x"] - o["x"])).alias("xx")
+                ),
+                lambda s: F.when(c["slope"], F.coalesce(F.try_divide(s["xy"], s["xx"]), F.lit(0.0))).otherwise(F.lit(0.0)),
+            )
+            return let(sums, lambda b: F.struct(b.alias("b"), (o["w"] - b * o["x"]).alias("a")))
 
         return let(centre, line)
 
     def step(s: Column, ab: Column) -> Column:
-        move = ab["a"] + ab["b"] * s["d"]
-        nxt = F.get(s["z"], F.size(s["z"]) - SEASON) + move
-        return F.struct(move.alias("d"), F.concat(s["z"], F.array(nxt)).alias("z"))
-
-    def path(z: Column, d: Column, ab: Column) -> Column:
-        return F.aggregate(
-            _steps(h),
-            F.struct(F.element_at(d, -1).alias("d"), z.alias("z")),
-            lambda s, _k: step(s, ab),
-            lambda s: F.slice(s["z"], n + 1, F.lit(h)),
-        )
+        move = ab["a"] + ab["b"] * F.get(s["d"], F.size(s["d"]) - c["lag"])
+        season = F.when(c["twice"], s["s"]).otherwise(0.0) + move
+        nxt = F.get(s["z"], F.size(s["z"]) - SEASON) + season
+        return F.struct(F.concat(s["d"], F.array(move)).alias("d"), season.alias("s"), F.concat(s["z"], F.array(nxt)).alias("z"))
+
+    def path(d: Column, seasonal: Column, ab: Column) -> Column:
+        start = F.struct(d.alias("d"), F.element_at(seasonal, -1).alias("s"), z.alias("z"))
+        out = F.aggregate(_steps(h), start, lambda s, _k: step(s, ab), lambda s: F.slice(s["z"], F.size(z) + 1, F.lit(h)))
+        return F.when(ab["a"].isNotNull(), out)
 
-    def differences(z: Column) -> Column:
-        return F.transform(F.sequence(F.lit(SEASON), n - 1), lambda t: F.get(z, t) - F.get(z, t - SEASON))
+    def of(seasonal: Column) -> Column:
+        d = F.when(c["twice"], _less(seasonal, 1)).otherwise(seasonal)
+        return let(d, lambda x: F.when(F.size(x) > skip, let(fit(x), lambda ab: path(x, seasonal, ab))))
 
-    logs = F.transform(y, lambda v: F.log1p(F.greatest(v, F.lit(0.0))))
-    out = let(logs, lambda z: let(differences(z), lambda d: let(fit(d), lambda ab: path(z, d, ab))))
-    return F.when(n >= min_points, F.transform(out, lambda v: F.greatest(F.expm1(v), F.lit(0.0))))
+    return let(_less(z, SEASON), of)
+
+
+def seasonal_ar(y: Column, h: int, min_points: int = 30) -> Column:
+    """The candidate that foretold the last ``HOLD_BACK`` months best (in logs), fitted anew on all months.
+
+    Equal errors go to the earlier candidate; one without enough points takes no part.
+    """
+    candidates = F.array(*[F.struct(F.lit(t).alias("twice"), F.lit(lag).alias("lag"), F.lit(s).alias("slope")) for t, lag, s in AR_CANDIDATES])
+    steps = max(h, HOLD_BACK)
+
+    def error(path: Column, z: Column) -> Column:
+        actual = F.slice(z, F.size(z) - HOLD_BACK + 1, F.lit(HOLD_BACK))
+        gaps = mean(F.zip_with(F.slice(path, F.lit(1), F.lit(HOLD_BACK)), actual, lambda p, v: (p - v) * (p - v)))
+        return F.coalesce(gaps, F.lit(float("inf")))
+
+    def choose(z: Column) -> Column:
+        ends = F.array(F.slice(z, F.lit(1), F.size(z) - HOLD_BACK), z)
+        paths = F.transform(candidates, lambda c: F.transform(ends, lambda part: _ar_path(part, steps, c)))
+        scored = F.transform(paths, lambda p, i: F.struct(error(F.get(p, F.lit(0)), z).alias("e"), i.alias("i"), F.get(p, F.lit(1)).alias("path")))
+        return F.slice(F.array_min(scored)["path"], F.lit(1), F.lit(h))
+
+    out = F.transform(let(_logs(y), choose), lambda v: F.greatest(F.expm1(v), F.lit(0.0)))
+    return F.when(F.size(y) >= min_points, out)
 
 
 SEASONAL_MODELS: dict[str, Model] = {
@@ -193,42 +233,66 @@ def bands(pred: Column, sigma: Column) -> Column:
     return F.transform(pred, one)
 
 
-_PATH = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pred", "lo", "hi")])
-
-
-@F.pandas_udf(_PATH)
-def _holt_winters(series: pd.Series, horizon: pd.Series) -> pd.DataFrame:
-    """Additive trend and season on log1p; smoothing weights from a grid, all at once."""
-    grid = np.array(np.meshgrid([0.05, 0.1, 0.2, 0.3, 0.5, 0.8], [0.0, 0.02, 0.05, 0.1, 0.2, 0.4], [0.02, 0.05, 0.1, 0.2, 0.4, 0.7]))
-    alpha, beta, gamma = grid.reshape(3, -1)
-    rows = []
-    for y, h in zip(series, horizon):
-        z = np.log1p(np.maximum(np.asarray(y, dtype=float), 0))
-        if len(z) < 2 * SEASON:
-            rows.append((None, None, None))
-            continue
-        first, second = z[:SEASON].mean(), z[SEASON : 2 * SEASON].mean()
-        lev = np.full(alpha.shape, first)
-        trend = np.full(alpha.shape, (second - first) / SEASON)
-        season = np.tile(z[:SEASON] - first, (len(alpha), 1))
-        resid = np.empty((len(alpha), len(z)))
-        for t, v in enumerate(z):
-            p = t % SEASON
-            resid[:, t] = v - (lev + trend + season[:, p])
-            new = alpha * (v - season[:, p]) + (1 - alpha) * (lev + trend)
-            trend = beta * (new - lev) + (1 - beta) * trend
-            season[:, p] = gamma * (v - new) + (1 - gamma) * season[:, p]
-            lev = new
-        best = int(np.argmin((resid**2).sum(axis=1)))
-        k = np.arange(1, h + 1)
-        path = lev[best] + k * trend[best] + season[best][(len(z) + k - 1) % SEASON]
-        width = Z80 * resid[best].std() * np.sqrt(1 + k / 12)
-        rows.append(tuple(np.maximum(np.expm1(x), 0).tolist() for x in (path, path - width, path + width)))
-    return pd.DataFrame(rows, columns=["pred", "lo", "hi"])
+#: Smoothing weights that Holt-Winters tries: of the level, the trend and the season.
+HW_LEVEL, HW_TREND, HW_SEASON = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8), (0.0, 0.02, 0.05, 0.1, 0.2, 0.4), (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
 def holt_winters(y: Column, h: int) -> Column:
-    return _holt_winters(y, F.lit(h))
+    """``pred, lo, hi``: additive trend and season on log1p, the weights of least squared one-step error.
+
+    One fold of the series for each triple of weights; the season is a queue whose head is the
+    current month. Null with fewer than two seasons.
+    """
+    grid = F.flatten(F.transform(_numbers(HW_LEVEL), lambda a: F.flatten(F.transform(_numbers(HW_TREND), lambda b: F.transform(_numbers(HW_SEASON), lambda g: F.struct(a.alias("a"), b.alias("b"), g.alias("g")))))))
+
+    def advance(s: Column, v: Column, w: Column) -> Column:
+        head, ahead = F.get(s["season"], F.lit(0)), s["level"] + s["trend"]
+
+        def moved(level_: Column) -> Column:
+            gap = v - (ahead + head)
+            season = w["g"] * (v - level_) + (1 - w["g"]) * head
+            return F.struct(
+                (s["error"] + gap * gap).alias("error"), (s["gaps"] + gap).alias("gaps"), level_.alias("level"),
+                (w["b"] * (level_ - s["level"]) + (1 - w["b"]) * s["trend"]).alias("trend"),
+                F.concat(F.slice(s["season"], F.lit(2), F.lit(SEASON - 1)), F.array(season)).alias("season"),
+            )
+
+        return let(w["a"] * (v - head) + (1 - w["a"]) * ahead, moved)
+
+    def best(z: Column, first: Column) -> Column:
+        second = mean(F.slice(z, F.lit(SEASON + 1), F.lit(SEASON)))
+        start = F.struct(
+            F.lit(0.0).alias("error"), F.lit(0.0).alias("gaps"), first.alias("level"), ((second - first) / SEASON).alias("trend"),
+            F.transform(F.slice(z, F.lit(1), F.lit(SEASON)), lambda v: v - first).alias("season"),
+        )
+
+        def tried(w: Column, i: Column) -> Column:
+            end = F.aggregate(z, start, lambda s, v: advance(s, v, w))
+            return let(end, lambda s: F.struct(s["error"].alias("error"), i.alias("i"), s["gaps"].alias("gaps"), s["level"].alias("level"), s["trend"].alias("trend"), s["season"].alias("season")))
+
+        return F.array_min(F.transform(grid, tried))
+
+    def path(s: Column, n: Column) -> Column:
+        spread = F.sqrt(F.greatest(s["error"] / n - (s["gaps"] / n) * (s["gaps"] / n), F.lit(0.0)))
+
+        def one(k: Column) -> Column:
+            p = s["level"] + k * s["trend"] + F.get(s["season"], (k - 1) % SEASON)
+            width = Z80 * spread * F.sqrt(1 + k / 12.0)
+            return F.struct(*[F.greatest(F.expm1(x), F.lit(0.0)).alias(c) for c, x in (("pred", p), ("lo", p - width), ("hi", p + width))])
+
+        return F.transform(_steps(h), one)
+
+    out = let(_logs(y), lambda z: let(mean(F.slice(z, F.lit(1), F.lit(SEASON))), lambda m: let(best(z, m), lambda s: path(s, F.size(z)))))
+    return let(
+        F.when(F.size(y) >= 2 * SEASON, out),
+        lambda p: F.struct(
+            F.transform(p, lambda x: x["pred"]).alias("pred"), F.transform(p, lambda x: x["lo"]).alias("lo"), F.transform(p, lambda x: x["hi"]).alias("hi")
+        ),
+    )
 
 
 def forecast(series: DataFrame, keys: Sequence[str], h: int, models: dict[str, Model] | None = None) -> DataFrame:

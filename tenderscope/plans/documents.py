@@ -225,7 +225,15 @@ def sectioned(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "sections", F.transform("sections", lambda s: s["title_norm"]).alias("titles"))
 
 
-@query("split_sections")
+_BODY_SQL = f"""{nested_sql.SENTENCES}, {_OUT_SQL}, body as (
+      select o.doc_id, i, len(titles) as n, titles[i] as title, case when i < len(titles) then coalesce(s.s[i], '') else array_to_string(s.s[i:], chr(10)) end as text
+      from o join s on s.k = o.doc_id, range(1, len(titles) + 1) t(i))"""
+
+
+@query(
+    "split_sections",
+    f"""with {_BODY_SQL} select doc_id, cast(i - 1 as int) as pos, cast(i as int) as number, title, title as title_norm, text, cast(length(text) as int) as n_chars from body""",
+)
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
     return dc.section_rows(sectioned(spark, d), "doc_id")
 
@@ -265,7 +273,21 @@ def frequent_titles(spark: SparkSession, d: str) -> DataFrame:
     return dc.frequent_titles(sectioned(spark, d), "titles")
 
 
-@query("section_context")
+def _context_sql(own: str, related: str) -> str:
+    def joined(where: str) -> str:
+        return f"string_agg('Sección: ' || title || chr(10) || trim(text), chr(10) || chr(10) order by i) filter (where trim(text) <> '' and {where})"
+
+    is_related = f"regexp_matches(title, '{related}')"
+    return f"""cast(length(coalesce(nullif(trim(max(text) filter (where title = '{own}')), ''),
+      case when bool_or({is_related}) then coalesce({joined(is_related)}, '') end, {joined("true")}, '')) as int)"""
+
+
+@query(
+    "section_context",
+    f"""with {_BODY_SQL} select doc_id, {_context_sql("OBJETIVO", "OBJETIVO|PRESENTACION")} as objetivo,
+      {_context_sql("REQUISITOS HABILITANTES", "REQUISITO|HABILITANTE|DOCUMENTO")} as requisitos, {_context_sql("", "RECHAZO|INHABIL|CAUSAL|CONDICION")} as rechazo
+    from body group by 1""",
+)
 def section_context(spark: SparkSession, d: str) -> DataFrame:
     s = sectioned(spark, d)
     return s.select("doc_id", *[F.length(dc.section_context(F.col("sections"), k)).alias(k) for k in ("objetivo", "requisitos", "rechazo")])

@@ -659,17 +659,21 @@ def segment_value_month(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Most frequent methods shown by year.
+TOP_METHODS = 6
+
+
 @query(
     "method_year",
     with_views(
         "processes",
-        """select year(published_at) as year, method, count(*) as n from processes where method in (
-          select method from processes group by 1 order by count(*) desc, method limit 3) group by 1, 2""",
+        f"""select year(published_at) as year, method, count(*) as n from processes where method in (
+          select method from processes group by 1 order by count(*) desc, method limit {TOP_METHODS}) group by 1, 2""",
     ),
 )
 def method_year(spark: SparkSession, d: str) -> DataFrame:
     p = inp.processes(spark, d, "process_id", "method", "published_at")
-    top = p.groupBy("method").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "method").limit(3).select("method")
+    top = p.groupBy("method").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "method").limit(TOP_METHODS).select("method")
     return (
         p.join(F.broadcast(top), "method", "left_semi")
         .groupBy(F.year("published_at").cast("long").alias("year"), "method")

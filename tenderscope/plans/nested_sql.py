@@ -4,6 +4,8 @@ from __future__ import annotations
 
 _S = r"""s as (select doc_id as k, n_chars, source, text, list_filter(list_transform(regexp_split_to_array(text, '[.\n]+'), lambda x: trim(x)), lambda x: x <> '') as s from documents),
 need as (select k, unnest(range(0, greatest(len(s) - 1, 0))) as i from s)"""
+#: Documents as lists of sentences.
+SENTENCES = _S.split(",\nneed as")[0]
 _KINDS = "(['habilitante', 'documental', 'tecnico', 'otro'])[1 + i % 4]"
 _ACTOR = "case k % 3 when 0 then 'Instituciones de Educación Superior (IES)' when 1 then 'Centros de investigación' else 'Universidades públicas' end"
 _ALLIANCE = "case k % 3 when 0 then true when 1 then false end"

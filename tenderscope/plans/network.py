@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderscope.functions.measures import hhi
+from tenderscope.functions.text import node_slug
 from tenderscope.operators import cleaning as cl, network as nw
 from tenderscope.plans import inputs as inp
 from tenderscope.plans.inputs import with_views
@@ -13,7 +14,7 @@ from tenderscope.session import cut_lineage
 
 #: Processes from which a buyer's concentration counts (over its edges).
 NICHE_PROCESSES = 20
-CAPS = nw.SampleCaps(seed_buyers=20, suppliers_per_buyer=5, hub_suppliers=10, buyers_per_hub=3, niches=3, nodes=60, edges=90)
+CAPS = nw.SampleCaps()
 SUPPLIER = "^Supplier#0*7$"
 BUYER = "^Customer#0*7$"
 
@@ -152,6 +153,24 @@ def largest_component(spark: SparkSession, d: str) -> DataFrame:
     return nw.largest_component(sample(spark, d)[1])
 
 
+@query(
+    "network_components",
+    with_views(
+        "edges",
+        f""", arcs as (select {_E} as a, {_P} as b from edges), near as (select distinct x.b as a, y.b as b from arcs x join arcs y using (a)),
+        reach(a, b) as (select a, b from near union select r.a, n.b from reach r join near n on n.a = r.b),
+        parts as (select a, min(b) as p from reach group by 1),
+        ids as (select b as id, p from arcs join parts on parts.a = arcs.b union select arcs.a, p from arcs join parts on parts.a = arcs.b),
+        least as (select p, min(id) as component from ids group by 1)
+        select id, component from ids join least using (p)""",
+    ).replace("with ", "with recursive ", 1),
+)
+def network_components(spark: SparkSession, d: str) -> DataFrame:
+    """The component of every node of the whole network."""
+    ids = edges(spark, d).select(node_slug("e", F.col("buyer")).alias("source"), node_slug("p", F.col("supplier_id")).alias("target"))
+    return nw.components(ids)
+
+
 @query(
     "neighborhood",
     with_views(

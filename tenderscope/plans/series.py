@@ -35,20 +35,36 @@ inp.add_view(
     pos as (select key, origin, i, ys[i] as v, (i - 1) % 12 as p from org, range(1, origin + 1) t(i)),
     fac as (select key, origin, p, avg(v) as a, median(v) as med from pos group by 1, 2, 3),
     ctr as (select key, origin, avg(a) as c from fac group by 1, 2),
-    dif as (select key, origin, i, ln(1 + v) - lag(ln(1 + v), 12) over (partition by key, origin order by i) as d from pos),
-    dl as (select *, lag(d) over (partition by key, origin order by i) as dp from dif),
-    reg as (select key, origin, regr_slope(d, dp) as b, avg(d) - regr_slope(d, dp) * avg(dp) as a, arg_max(d, i) as dn from dl where dp is not null group by 1, 2),
+    lgs as (select key, i, ln(1 + greatest(ys[i], 0)) as z from ser, range(1, n + 1) t(i)),
+    dif as (select *, z - lag(z, 12) over (partition by key order by i) as d from lgs),
+    dif2 as (select *, lag(d) over (partition by key order by i) as d1, lag(d, 12) over (partition by key order by i) as d12,
+      d - lag(d) over (partition by key order by i) as e from dif),
+    dl as (select *, lag(e) over (partition by key order by i) as e1 from dif2),
+    cut as (select distinct key, origin as m from org union select key, origin - 6 from org),
+    -- four candidates: differences on the month before, twice differenced, their mean, on the season before
+    reg as (
+      select key, m, 0 as c, coalesce(regr_slope(d, d1), 0) as b, avg(d) - coalesce(regr_slope(d, d1), 0) * avg(d1) as a from cut join dl using (key) where i <= m and d1 is not null group by 1, 2
+      union all select key, m, 1, coalesce(regr_slope(e, e1), 0), avg(e) - coalesce(regr_slope(e, e1), 0) * avg(e1) from cut join dl using (key) where i <= m and e1 is not null group by 1, 2
+      union all select key, m, 2, 0, avg(d) from cut join dl using (key) where i <= m and d is not null group by 1, 2
+      union all select key, m, 3, coalesce(regr_slope(d, d12), 0), avg(d) - coalesce(regr_slope(d, d12), 0) * avg(d12) from cut join dl using (key) where i <= m and d12 is not null group by 1, 2),
+    arp as (
+      select r.key, r.m, r.c, k, y.z + case r.c when 2 then r.a when 3 then r.a + r.b * y.d
+        when 0 then x.d * pow(r.b, k) + r.a * list_sum(list_transform(range(0, k), lambda j: pow(r.b, j)))
+        else x.d + list_sum(list_transform(range(1, k + 1), lambda q: x.e * pow(r.b, q) + r.a * list_sum(list_transform(range(0, q), lambda j: pow(r.b, j))))) end as p
+      from reg r, range(1, 7) t(k), dl x, dl y where x.key = r.key and x.i = r.m and y.key = r.key and y.i = r.m - 12 + k),
+    are as (select p.key, p.m + 6 as origin, p.c, avg((p.p - l.z) * (p.p - l.z)) as e from arp p join lgs l on l.key = p.key and l.i = p.m + p.k group by 1, 2, 3 having count(*) = 6),
+    arc as (select key, origin, arg_min(c, (e, c)) as c from are group by 1, 2),
     bas as (select o.*, list_avg(ys[greatest(origin - 11, 1):origin]) as lvl, ys[origin] as lst from org o),
     prd as (select b.key, b.origin, b.last_month, k, lst,
         case when b.origin >= 12 then ys[b.origin - 12 + (k - 1) % 12 + 1] else lst end as naive,
-        case when b.origin >= 12 then lvl * (f.a / c) else lst end as level,
-        case when lst <= 0 then lvl * (f.a / c) else lst * (f.a / fl.a) end as anchored,
+        case when b.origin >= 12 then lvl * (f.a / ctr.c) else lst end as level,
+        case when lst <= 0 then lvl * (f.a / ctr.c) else lst * (f.a / fl.a) end as anchored,
         coalesce(f.med, lst) as median,
-        case when b.origin >= 30 then greatest(exp(ln(1 + ys[b.origin - 12 + k]) + (dn * pow(r.b, k) + r.a * (1 - pow(r.b, k)) / (1 - r.b))) - 1, 0) end as ar
+        case when b.origin >= 30 then greatest(exp(arp.p) - 1, 0) end as ar
       from bas b, range(1, 7) t(k)
       left join fac f on f.key = b.key and f.origin = b.origin and f.p = (b.origin + k - 1) % 12
       left join fac fl on fl.key = b.key and fl.origin = b.origin and fl.p = (b.origin - 1) % 12
-      left join ctr on ctr.key = b.key and ctr.origin = b.origin left join reg r on r.key = b.key and r.origin = b.origin),
+      left join ctr on ctr.key = b.key and ctr.origin = b.origin left join arc on arc.key = b.key and arc.origin = b.origin left join (select key, m, k as kk, c, p from arp) arp on arp.key = b.key and arp.m = b.origin and arp.kk = t.k and arp.c = arc.c),
     lng as (
       select key, origin, last_month, k, lst, 'estacional_naive' as model, 0 as pos, naive as pred from prd union all
       select key, origin, last_month, k, lst, 'estacional_nivel', 1, level from prd union all
@@ -105,7 +121,38 @@ _model_query("fc_median", "estacional_mediana")
 _model_query("fc_seasonal_ar", "seasonal_ar")
 
 
-@query("fc_holt_winters")
+inp.add_view(
+    "hw",
+    "ser",
+    f"""hw_in as (select key, origin, list_transform(ys, lambda v: ln(1 + greatest(v, 0))) as z from org where origin >= 24),
+    hw(key, origin, z, a, b, g, t, lev, tr, se, err, gaps) as (
+      select key, origin, z, a, b, g, 0, list_avg(z[1:12]), (list_avg(z[13:24]) - list_avg(z[1:12])) / 12, list_transform(z[1:12], lambda v: v - list_avg(z[1:12])), 0::double, 0::double
+      from hw_in, unnest({list(fc.HW_LEVEL)}::double[]) x(a), unnest({list(fc.HW_TREND)}::double[]) y(b), unnest({list(fc.HW_SEASON)}::double[]) w(g)
+      union all
+      select key, origin, z, a, b, g, t + 1, nw, b * (nw - lev) + (1 - b) * tr, list_append(se[2:12], g * (v - nw) + (1 - g) * s0),
+        err + (v - (lev + tr + s0)) * (v - (lev + tr + s0)), gaps + (v - (lev + tr + s0))
+      from (select *, z[t + 1] as v, se[1] as s0, a * (z[t + 1] - se[1]) + (1 - a) * (lev + tr) as nw from hw where t < origin)),
+    hw_best as (select *, row_number() over (partition by key, origin order by err, a, b, g) as r from hw where t = origin),
+    hwp as (select key, origin, k, lev + k * tr + se[1 + (k - 1) % 12] as p,
+        1.64::double * sqrt(greatest(err / origin - (gaps / origin) * (gaps / origin), 0)) * sqrt(1 + k / 12.0::double) as w
+      from hw_best, range(1, 7) t(k) where r = 1)""",
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query(
+    "fc_holt_winters",
+    _recursive(
+        with_views(
+            "hw",
+            """select h.key, k::int as step, cast(last_month + to_months(cast(k as int)) as date) as month, round(greatest(exp(p) - 1, 0), 6) as pred,
+              round(greatest(exp(p - w) - 1, 0), 6) as lo, round(greatest(exp(p + w) - 1, 0), 6) as hi from hwp h join ser s on s.key = h.key and s.n = h.origin""",
+        )
+    ),
+)
 def fc_holt_winters(spark: SparkSession, d: str) -> DataFrame:
     s = series(spark, d).withColumn("_f", fc.holt_winters(F.col("y"), H))
     path = F.arrays_zip(F.col("_f.pred"), F.col("_f.lo"), F.col("_f.hi"))
@@ -113,9 +160,7 @@ def fc_holt_winters(spark: SparkSession, d: str) -> DataFrame:
         "key",
         (F.col("i") + 1).alias("step"),
         F.add_months("last_month", F.col("i") + 1).alias("month"),
-        "p.pred",
-        "p.lo",
-        "p.hi",
+        *[F.round(f"p.{c}", 6).alias(c) for c in ("pred", "lo", "hi")],
     )
 
 
@@ -136,7 +181,19 @@ def backtest(spark: SparkSession, d: str) -> DataFrame:
     return fc.backtest(series(spark, d), ["key"], H)
 
 
-@query("backtest_holt_winters")
+@query(
+    "backtest_holt_winters",
+    _recursive(
+        with_views(
+            "hw",
+            """, race as (select key, origin, k, model, pos, pred from lng union all select key, origin, k, 'holt_winters', 5, greatest(exp(p) - 1, 0) from hwp),
+            win6 as (select l.key, l.model, l.pos, l.origin, avg(abs((t.v - pred) / t.v)) filter (where t.v > 0) * 100 as mape, sqrt(avg((t.v - pred) * (t.v - pred))) as rmse
+              from race l join (select key, i, ys[i] as v from ser, range(1, n + 1) t(i)) t on t.key = l.key and t.i = l.origin + l.k where pred is not null group by 1, 2, 3, 4),
+            bt6 as (select key, model, pos, round(avg(mape), 2) as mape_pct, round(quantile_cont(mape, 0.5), 2) as mape_median_pct, round(avg(rmse), 1) as rmse, count(*) as n_windows from win6 group by 1, 2, 3)
+            select key, model, mape_pct, mape_median_pct, rmse, n_windows, row_number() over (partition by key order by mape_median_pct, mape_pct, rmse, pos) as rank from bt6""",
+        )
+    ),
+)
 def backtest_holt_winters(spark: SparkSession, d: str) -> DataFrame:
     """The full race of six, with the smoothing model."""
     race = {**fc.MODELS, "holt_winters": lambda y, h: fc.holt_winters(y, h)["pred"]}

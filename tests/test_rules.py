@@ -210,3 +210,27 @@ def test_profiles_take_the_file_stem(spark, tmp_path):
     got = readers.load_profiles(spark, str(tmp_path)).collect()
     assert [r["id"] for r in got] == ["ana-ruiz"]
     assert "Investigador Senior" in got[0]["canonical_text"]
+
+
+def test_longest_chain_of_thousands_of_headings(spark):
+    import random
+
+    from tenderscope.operators.documents import longest_chain
+
+    def plain(items):
+        best = []
+        for i, first in enumerate(items):
+            run = [first]
+            for h in items[i + 1 :]:
+                if h[1] is not None and run[-1][1] is not None and h[1] > run[-1][1] and h[3] != run[-1][3]:
+                    run.append(h)
+            best = run if len(run) > len(best) else best
+        return best
+
+    r = random.Random(7)
+    docs = [[(i, r.randint(1, 12), "T", r.choice("ABC")) for i in range(r.randint(0, 25))] for _ in range(150)]
+    docs.append([(i, r.choice([None, *range(1, 99)]), "T", r.choice("ABCDE")) for i in range(2000)])
+    docs.append([(i, 99 - i % 99, "T", "A") for i in range(2000)])
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, h array<struct<line:int,number:int,title:string,title_norm:string>>")
+    got = {x["id"]: [tuple(h) for h in x["c"]] for x in df.select("id", longest_chain(F.col("h")).alias("c")).collect()}
+    assert all(got[i] == plain(d) for i, d in enumerate(docs))
