@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tenderscope.functions import dates, text
 from tenderscope.operators import cleaning as cl, tables as tb
@@ -72,6 +72,40 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_LISTING_BASE = "https://calls.example.org"
+
+
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """A listing page made of each page's own links: some rows without number or link, the sixth too short."""
+    pattern = F.lit(r'<a href="([^"]*)">([^<]*)</a>')
+    links = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("h"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("t"))
+
+    def row(x: Column, i: Column) -> Column:
+        n = (F.col("page_id") * 10 + i).cast("string")
+        by_link = F.concat(F.lit("<td><a class='t' href=\""), x["h"], F.when(i % 3 == 0, F.concat(F.lit("/node/"), n)).otherwise(""), F.lit('">'), x["t"], F.lit("</a></td>"))
+        title = F.when(i % 3 == 2, F.concat(F.lit("<TD>\n <b>"), x["t"], F.lit("</b>"))).otherwise(by_link)
+        number = F.concat(F.lit("<td> "), F.when(i % 3 == 0, "").otherwise(n), F.lit(" </td>"))
+        rest = F.concat(F.lit("<td>"), F.col("url"), F.lit("<td>$ "), n, F.lit("</td>"), F.when(i == 5, "").otherwise(F.concat(F.lit("<td>day "), i.cast("string"), F.lit("</td>"))))
+        return F.concat(F.lit("<tr>"), number, title, rest, F.when(i % 2 == 0, "</tr>").otherwise(""))
+
+    body = F.array_join(F.transform(links, row), "<!-- <tr><td>no row -->")
+    head = F.lit("<p>x</p><table id=\"l\"><tr><th>No.</th><th>Title</th></tr>")
+    return table(spark, d, "pages").select("page_id", F.concat(head, body, F.lit("</table><table><tr></tr><tr><td>1<td>2<td>3<td>4<td>5</table>")).alias("html"))
+
+
+@query(
+    "listing_rows",
+    rf"""with found as (
+      select page_id, url as page, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as t from pages),
+    r as (select page_id, page, i, page_id * 10 + i as n, h[i + 1] as h, trim(regexp_replace(replace(t[i + 1], '&amp;', '&'), '\s+', ' ', 'g')) as title from found, range(0, len(h)) x(i) where i <> 5),
+    u as (select *, case i % 3 when 0 then '{_LISTING_BASE}' || h || '/node/' || n when 1 then '{_LISTING_BASE}' || h end as url from r)
+    select case i % 3 when 0 then 'node_' || n else cast(n as varchar) end as number, title, url, replace(page, '&amp;', '&') as description, '$ ' || n as resources, 'day ' || i as opening
+    from (select *, row_number() over (partition by url order by page_id, i) as k from u) where k = 1""",
+)
+def listing_rows(spark: SparkSession, d: str) -> DataFrame:
+    return readers.listing_rows(listings(spark, d), "page_id", "html", _LISTING_BASE, text.LISTING_ID_RULES)
+
+
 @query(
     "upsert_latest",
     f"""select cust as customer, o_orderkey as process_id, load from (

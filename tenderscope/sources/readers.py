@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tenderscope.functions import text
+from tenderscope.functions.arrays import let
 from tenderscope.operators import cleaning, profiles
 from tenderscope.sources import schemas
 
@@ -95,3 +96,50 @@ def page_rows(
     return rows.select(key, "call_id", F.posexplode("_cells").alias("pos", "_c")).select(
         key, F.col("pos").cast("long").alias("pos"), F.col("_c.href").alias("href"), F.trim("_c.title").alias("title"), "call_id"
     )
+
+
+def plain_text(html: Column) -> Column:
+    """Text of a piece of markup: tags out, the usual entities decoded, white space collapsed."""
+    t = F.regexp_replace(html, "<[^>]*>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def table_cells(html: Column) -> Column:
+    """Rows of the first table as arrays of cells (inner markup); the header row is left out.
+
+    Rows are those of the body where one is marked, else all but the first. Cells and rows
+    end where the next begins, so closing tags may be missing; comments do not count.
+    """
+    shown = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract(shown, r"(?is)<table\b[^>]*>(.*?)(?:</table\s*>|\z)", 1)
+
+    def rows(inner: Column) -> Column:
+        body = F.regexp_extract(inner, r"(?is)<tbody\b[^>]*>(.*?)(?:</tbody\s*>|\z)", 1)
+        marked = inner.rlike(r"(?i)<tbody\b")
+        parts = F.split(F.when(marked, body).otherwise(inner), r"(?i)<tr\b[^>]*>")
+        return F.slice(parts, F.when(marked, F.lit(2)).otherwise(3), F.size(parts))
+
+    return let(found, lambda t: F.transform(rows(t), lambda r: let(F.split(r, r"(?i)<td\b[^>]*>"), lambda c: F.slice(c, F.lit(2), F.size(c)))))
+
+
+def listing_rows(pages: DataFrame, key: str, html: str, base_url: str, id_rules: Sequence[tuple[str, str]], min_cells: int = 5) -> DataFrame:
+    """Calls of listing pages: ``number, title, url, description, resources, opening``, one row for each url.
+
+    A row needs ``min_cells`` cells. Its link is that of the second cell, relative ones hung on
+    ``base_url``; a missing number is taken from it. Of rows with one url (or none) the first
+    stays, by page and place; it is reduced before the shuffle, however often a url is listed.
+    """
+    cells = pages.select(key, F.posexplode(table_cells(F.col(html))).alias("pos", "c")).where(F.size("c") >= min_cells)
+    link = F.regexp_extract("href_cell", r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)""", 1)
+    anchor = F.regexp_extract("href_cell", r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|\z)", 1)
+    linked = F.col("href_cell").rlike(r"(?i)<a\b[^>]*\bhref")
+    wide = cells.select(key, "pos", F.get("c", F.lit(1)).alias("href_cell"), *[plain_text(F.get("c", F.lit(i))).alias(f"t{i}") for i in (0, 2, 3, 4)])
+    href = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    full = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("/"), F.concat(F.lit(base_url), href)).otherwise(F.concat(F.lit(base_url + "/"), href))
+    rows = wide.withColumn("url", F.when(linked, full)).withColumn("title", plain_text(F.when(linked, anchor).otherwise(F.col("href_cell"))))
+    number = F.coalesce(F.nullif(F.col("t0"), F.lit("")), text.id_from_url(F.col("url"), id_rules), F.lit(""))
+    fields = [number.alias("number"), "title", F.col("t2").alias("description"), F.col("t3").alias("resources"), F.col("t4").alias("opening")]
+    first = rows.groupBy("url").agg(F.min_by(F.struct(*fields), F.struct(key, "pos")).alias("r"))
+    return first.select("r.number", "r.title", "url", "r.description", "r.resources", "r.opening")

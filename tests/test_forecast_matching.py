@@ -110,3 +110,55 @@ def test_mark_incomplete(spark):
     df = spark.sql("select timestamp_ntz'2024-01-02 00:00:00' as end union all select timestamp_ntz'2024-01-03 00:00:00'")
     got = [r["complete"] for r in streams.mark_incomplete(df, "2024-01-02 12:00:00").orderBy("end").collect()]
     assert got == [True, False]
+
+
+def _plain_path(z, h, twice, lag, slope):
+    import numpy as np
+
+    s = [b - a for a, b in zip(z, z[12:])]
+    d = [b - a for a, b in zip(s, s[1:])] if twice else list(s)
+    x, w = (d[:-lag], d[lag:]) if slope else ([], d)
+    if not w:
+        return None
+    b = 0.0
+    if slope:
+        sxx = sum((v - np.mean(x)) ** 2 for v in x)
+        b = sum((v - np.mean(x)) * (u - np.mean(w)) for v, u in zip(x, w)) / sxx if sxx else 0.0
+    a = np.mean(w) - b * (np.mean(x) if slope else 0.0)
+    z, last = list(z), s[-1]
+    for _ in range(h):
+        d.append(a + b * d[-lag])
+        last = last + d[-1] if twice else d[-1]
+        z.append(z[-12] + last)
+    return z[-h:]
+
+
+def test_the_candidate_with_the_least_error_on_the_held_months_is_used(spark):
+    import numpy as np
+
+    from tenderscope.operators import forecast as fc
+
+    r = np.random.default_rng(3)
+    rows, want, winners = [], {}, set()
+    for i in range(40):
+        n = int(r.integers(26, 70))
+        kind = i % 4
+        gaps = np.cumsum(r.normal(0, 0.1, n)) if kind == 1 else r.normal(0.1, 0.2, n)
+        z = list(3 + r.normal(0, 0.3, 12))
+        for t in range(12, n):
+            z.append(z[t - 12] + (gaps[t] if kind != 3 else -0.9 * (z[t - 12] - z[t - 24] if t >= 24 else gaps[t])))
+        y = [float(max(np.expm1(v), 0)) for v in z]
+        z = [float(np.log1p(v)) for v in y]
+        rows.append((i, y))
+        if n >= 30:
+            errors = []
+            for c in fc.AR_CANDIDATES:
+                p = _plain_path(z[:-6], 6, *c)
+                errors.append(np.inf if p is None else np.mean([(u - v) ** 2 for u, v in zip(p, z[-6:])]))
+            best = int(np.argmin(errors))
+            winners.add(best)
+            want[i] = [max(np.expm1(v), 0) for v in _plain_path(z, 8, *fc.AR_CANDIDATES[best])]
+    got = {x["i"]: x["p"] for x in spark.createDataFrame(rows, "i int, y array<double>").select("i", fc.seasonal_ar(F.col("y"), 8).alias("p")).collect()}
+    assert len(winners) >= 3
+    for i, _ in rows:
+        assert got[i] is None if i not in want else np.allclose(got[i], want[i], rtol=1e-6)

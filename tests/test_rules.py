@@ -234,3 +234,25 @@ def test_longest_chain_of_thousands_of_headings(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, h array<struct<line:int,number:int,title:string,title_norm:string>>")
     got = {x["id"]: [tuple(h) for h in x["c"]] for x in df.select("id", longest_chain(F.col("h")).alias("c")).collect()}
     assert all(got[i] == plain(d) for i, d in enumerate(docs))
+
+
+def test_listing_rows_of_odd_markup(spark):
+    page = (
+        "<p><TABLE class=x><thead><tr><th>n</th></tr></thead><tbody><!-- <tr><td>1<td>2<td>3<td>4<td>5 -->"
+        "<TR><td> </td><td><a title='a' href='/node/7?x=1&amp;y=2'>One &amp; <b>two</b></a><td>d<br>e</td><td>$ 1&nbsp;000</td><td>May</td></TR>"
+        "<tr><td>9<td><a href='https://else.org/c'>Nine</a><td>d<td>r<td>o<td>more"
+        "<tr><td>8<td>short<td>x<td>y</tr>"
+        "<tr><td>5<td>no link<td>d<td>r<td>o</tr><tr><td>6<td>no link either<td>d<td>r<td>o</tr></tbody></table>"
+    )
+    twice = "<table><tr><td>head<td>h<td>h<td>h<td>h</tr><tr><td>10<td><a href='c/1'>Later</a><td>d<td>r<td>o</tr><tr><td>11<td><a href='https://else.org/c'>Again</a><td>d<td>r<td>o"
+    df = spark.createDataFrame([(1, page), (2, twice), (3, "no table"), (4, None), (5, "<table></table>")], "id int, html string")
+    got = readers.listing_rows(df, "id", "html", "https://b.org", text.LISTING_ID_RULES).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(
+        [
+            ("node_7", "One & two", "https://b.org/node/7?x=1&y=2", "d e", "$ 1 000", "May"),
+            ("9", "Nine", "https://else.org/c", "d", "r", "o"),
+            ("5", "no link", None, "d", "r", "o"),
+            ("10", "Later", "https://b.org/c/1", "d", "r", "o"),
+        ],
+        key=repr,
+    )
