@@ -176,15 +176,14 @@ def coerce_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_TOKENS = ("Si", " no ", "TRUE", "yes", None, "nan", "sí", "0")
-_TOKENS_SQL = "(['Si', ' no ', 'TRUE', 'yes', NULL, 'nan', 'sí', '0'])[1 + (l_orderkey + l_linenumber) % 8]"
+#: How the flag of a line is spelt: by its return flag and status, its tax and its quantity (one text for both engines).
+_TOKENS_SQL = """case when l_tax > 0.065 then null when l_discount > 0.085 then (case when l_linestatus = 'F' then 'nan' else ' ' end)
+  when l_returnflag = 'R' then (case when l_linestatus = 'F' then 'Si' else ' SÍ ' end) when l_returnflag = 'A' then (case when l_linestatus = 'F' then 'No' else 'yes' end)
+  when l_quantity > 25 then cast(cast(l_quantity as int) % 3 as varchar(9)) else l_returnflag || l_linestatus end"""
 
 
 def _flag_lines(spark: SparkSession, d: str) -> DataFrame:
-    tokens = F.array(*[F.lit(t) for t in _TOKENS])
-    return table(spark, d, "lineitem").select(
-        F.element_at(tokens, (F.lit(1) + (F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int")).alias("raw")
-    )
+    return table(spark, d, "lineitem").select(F.expr(_TOKENS_SQL).alias("raw"))
 
 
 @query(

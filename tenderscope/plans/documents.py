@@ -76,105 +76,171 @@ def node_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", tx.node_slug("p", n).alias("slug"))
 
 
-def _cases(name: str, inputs: Sequence[str | None], build: Callable[[Column], dict[str, Column]], expected: dict[str, Sequence]) -> None:
-    """A text rule applied to phrases spread over the parts, against stated results."""
+def _ruled(name: str, source: str, key: str, subject: str, build: Callable[[Column], dict[str, Column]], rules: dict[str, str]) -> None:
+    """A text rule over every row of a table: ``subject`` is put together from its columns (one text for
+    both engines), ``rules`` state the outcome over it (``s``) in SQL."""
+    cols = ", ".join(f"{sql} as {c}" for c, sql in rules.items())
 
-    def lit(v: object) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    @query(name, f"select {key}, s, {cols} from (select *, {subject} as s from {source})")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = table(spark, d, source).withColumn("s", F.expr(subject))
+        return rows.select(key, "s", *[c.alias(k) for k, c in build(F.col("s")).items()])
 
-    n = len(inputs)
-    cols = ", ".join(f"([{', '.join(lit(v) for v in vals)}])[1 + p_partkey % {n}] as {c}" for c, vals in expected.items())
 
-    @query(name, f"select p_partkey, {cols} from part")
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        phrases = F.array(*[F.lit(x) for x in inputs])
-        subject = F.get(phrases, (F.col("p_partkey") % n).cast("int"))
-        out = build(F.col("_s"))
-        return table(spark, d, "part").select("p_partkey", subject.alias("_s")).select("p_partkey", *[c.alias(k) for k, c in out.items()])
+def _first_sql(subject: str, rules: Sequence[tuple[str, str]], default: str) -> str:
+    """The first rule that matches, as SQL; ``(?U)`` marks are Java's."""
+    whens = " ".join(f"when regexp_matches({subject}, '{pattern.replace('(?U)', '')}') then '{label}'" for label, pattern in rules)
+    return f"case {whens} else '{default}' end"
+
+
+def _words(*choices: str) -> str:
+    """One of several words by the size of the part."""
+    whens = " ".join(f"when {i} then '{w}'" for i, w in enumerate(choices[:-1]))
+    return f"case p_size % {len(choices)} {whens} else '{choices[-1]}' end"
+
 
+def _title_sql(c: str) -> str:
+    return f"array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
 
-_cases(
+
+# what is left of a name without identifiers, links and loose ends
+_NAME_SQL = "s"
+for _p in (
+    r"(?i)https?://(www\.)?orcid\.org/\S+", r"(?i)\s*[|/]\s*orcid\.org/\S+", r"(?i)\borcid\.org/\S+",
+    r"(?i)\bORCID\s*[:=]?\s*\d{4}-\d{4}-\d{4}-\d{3}[\dXx]\b", r"\b\d{4}-\d{4}-\d{4}-\d{3}[\dXx]\b", r"\s*[|/]\s*$",
+):
+    _NAME_SQL = f"regexp_replace({_NAME_SQL}, '{_p}', '', 'g')"
+_NAME_SQL = rf"regexp_replace(regexp_replace(trim({_NAME_SQL}), '\s{{2,}}', ' ', 'g'), '^[ \-|/]+|[ \-|/]+$', '', 'g')"
+_ruled(
     "clean_person_name",
-    ["luis-antonio-orozco", "Ana Ruiz | orcid.org/0000-0002-1825-0097", "Javier-Leonardo Gómez", " nan ", "ORCID: 0000-0002-1825-009X", "María  Peña https://orcid.org/0000"],
-    lambda s: {"clean": tx.clean_person_name(s, F.lit("rosa-diaz"))},
-    {"clean": ["Luis Antonio Orozco", "Ana Ruiz", "Javier Leonardo Gómez", "Rosa Diaz", "Rosa Diaz", "María Peña"]},
+    "part",
+    "p_partkey",
+    """case p_size % 6 when 0 then replace(p_name, ' ', '-') when 1 then p_name || ' | orcid.org/0000-0002-1825-009' || (p_size % 10)
+      when 2 then ' nan ' when 3 then p_name || '  ' || p_type || ' https://orcid.org/' || p_partkey when 4 then 'ORCID: 0000-0002-1825-00' || (10 + p_size) else p_brand || '-' || p_name end""",
+    lambda s: {"clean": tx.clean_person_name(s, F.concat_ws("-", F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit("-"))))},
+    {
+        "clean": rf"""(select case when n = '' then {_title_sql("replace(lower(p_type) || '-' || replace(p_name, ' ', '-'), '-', ' ')")}
+          when regexp_matches(n, '^[a-z0-9]+(-[a-z0-9]+)+$') then {_title_sql("replace(n, '-', ' ')")}
+          else regexp_replace(n, '([A-Za-zÁÉÍÓÚáéíóúÑñ])-([A-Za-zÁÉÍÓÚáéíóúÑñ])', '\1 \2', 'g') end
+          from (select case when lower(trim(s)) in ('', 'nan', 'none') then lower(p_type) || '-' || replace(p_name, ' ', '-') else {_NAME_SQL} end as n))"""
+    },
 )
-_cases(
+_DOC_NAME = _words("Resolución ", "Terminos de  referencia ", "ANEXO_", "Adenda ", "Anexo 7 presupuesto ", "Listado de ", "Carta ", "Respuesta a observaciones ") + " || p_size || ' ' || p_name"
+_IS_ANNEX = f"({_first_sql('s', tx.DOCUMENT_RULES, 'otro')}) = 'anexo'"
+_ruled(
     "classify_document",
-    ["Resolución 12 términos de referencia", "Terminos de Referencia", "Adenda No 1", "Resultados preliminares", "Respuesta a observaciones", "Anexo 3 presupuesto", "ANEXO_12 carta", "Cartilla"],
+    "part",
+    "p_partkey",
+    _DOC_NAME,
     lambda s: {"kind": tx.document_type(s), "annex": tx.annex_number(s), "subtype": tx.annex_subtype(s)},
     {
-        "kind": ["resolucion", "terminos_referencia", "modificacion", "resultado", "comunicado", "anexo", "anexo", "otro"],
-        "annex": [None, None, None, None, None, "3", "12", None],
-        "subtype": [None, None, None, None, None, "finanzas", "otro", None],
+        "kind": _first_sql("s", tx.DOCUMENT_RULES, "otro"),
+        "annex": rf"case when {_IS_ANNEX} then regexp_extract(s, '(?i)anexo[\s_]*(\d+)', 1) end",
+        "subtype": f"case when {_IS_ANNEX} then {_first_sql('s', tx.ANNEX_RULES, 'otro')} end",
     },
 )
-_cases(
+_ruled(
     "classify_call",
-    ["Fondo de Regalías", "Becas de doctorado", "Índice Publindex", "Movilidad docente", "Ministerio de Ciencia", "Otra cosa", ""],
+    "part",
+    "p_partkey",
+    _words("Fondo de Regalías ", "Becas de ", "Índice PUBLINDEX ", "movilidad ", "Ministerio de Ciencia ", "SGR ", "") + " || case when p_size % 14 = 6 then '' else p_name end",
     lambda s: {"kind": tx.call_type(s)},
-    {"kind": ["SGR (regalias)", "Becas / formacion", "Publindex", "Movilidad academica", "Convocatoria (regular)", "sin_clasificar", "sin_dato"]},
+    {"kind": f"case when trim(s) = '' then 'sin_dato' else {_first_sql('lower(s)', tx.CALL_RULES, 'sin_clasificar')} end"},
 )
-_cases(
+_PDF = "'http://x.org/' || p_brand || '/' || case p_size % 4 when 0 then 'tdr_' when 1 then 'terminos_referencia-' else 'doc-' end || p_partkey || '.pdf'"
+_ruled(
     "pick_reference_doc",
-    ["Términos de Referencia 2024", "tdr final", "Guía", "Anexo"],
+    "part",
+    "p_partkey",
+    _words("Términos de Referencia ", "tdr ", "TDRs ", "Guía ", "Anexo ") + " || p_name",
     lambda s: {
-        "is_reference": tx.is_reference_document(F.lit("otro"), s, F.when(s == "Guía", F.lit("http://x.org/a/tdr_v2.pdf"))),
-        "url": tx.preferred_url(F.when(s != "Guía", F.lit(" http://x.org/a.pdf ")), F.lit("http://x.org/a.docx")),
+        "is_reference": tx.is_reference_document(F.col("p_type"), s, F.expr(_PDF)),
+        "url": tx.preferred_url(F.when(F.col("p_size") % 3 != 0, F.concat(F.lit(" "), F.expr(_PDF))), F.concat(F.lit("http://x.org/"), "p_partkey", F.lit(".docx"))),
+    },
+    {
+        "is_reference": rf"p_type = 'terminos_referencia' or regexp_matches(s, '(?i)t[eé]rminos?\s+de\s+referencia|\btdr\b') or regexp_matches({_PDF}, '(?i)(^|/)(tdr[_-]|terminos?(_de)?_referencia)')",
+        "url": f"case when p_size % 3 <> 0 then {_PDF} else 'http://x.org/' || p_partkey || '.docx' end",
     },
-    {"is_reference": [True, True, True, False], "url": ["http://x.org/a.pdf", "http://x.org/a.pdf", "http://x.org/a.docx", "http://x.org/a.pdf"]},
 )
-_cases(
+_LINK = """case length(url) % 5 when 0 then 'http://old.example.org/view?cod_rh=' || page_id when 1 then 'https://old.example.org/' || page_id
+  when 2 then replace(url, '#', '') || '&cod_rh=' || page_id when 3 then 'No' else url end"""
+_ruled(
     "link_usable",
-    ["http://old.example.org/view?cod_rh=77", "http://old.example.org/view", "https://new.example.org/cv?cod_rh=5", "No", "https://new.example.org/query", None],
-    lambda s: {"url": tx.usable_link(s, "old.example.org", "https://new.example.org/cv")},
-    {"url": ["https://new.example.org/cv?cod_rh=77", "", "https://new.example.org/cv?cod_rh=5", "", "", ""]},
+    "pages",
+    "page_id",
+    _LINK,
+    lambda s: {"usable": tx.usable_link(s, "old.example.org", "https://new.example.org/cv")},
+    {
+        "usable": r"""case when not starts_with(lower(s), 'http') then '' when contains(s, 'old.example.org') then
+          (case when regexp_matches(s, 'cod_rh=\d') then 'https://new.example.org/cv?cod_rh=' || regexp_extract(s, 'cod_rh=(\d+)', 1) else '' end)
+          when contains(s, 'cod_rh=') then s else '' end"""
+    },
 )
-_cases(
+_ruled(
     "link_kind",
-    ["https://x.org/cvlac/1", "https://orcid.org/0000", "https://scholar.example.com/a", "https://www.scopus.com/b", "https://linkedin.com/in/c", "https://other.org"],
+    "pages",
+    "page_id",
+    """replace(url, '://', '://' || case length(html) % 8 when 0 then 'CvLAC.' when 1 then 'orcid.' when 2 then 'scholar.' when 3 then 'www.scopus.' when 4 then 'pure.' when 5 then 'linkedin.' else '' end)""",
     lambda s: {"kind": tx.link_kind(s)},
-    {"kind": ["cvlac", "orcid", "google_scholar", "scopus", "linkedin", "otros"]},
+    {"kind": _first_sql("lower(s)", tx.LINK_RULES, "otros")},
 )
-_cases(
+_ruled(
     "norm_call_id",
-    ["978.0", " 12 ", "", "conv 5/2024", None, "--"],
+    "part",
+    "p_partkey",
+    "case p_size % 6 when 0 then ' ' || p_partkey || '.0 ' when 1 then p_name || '/' || p_size when 2 then '' when 3 then cast(null as varchar(9)) when 4 then '--' || p_brand else cast(p_retailprice as varchar(20)) end",
     lambda s: {"call_id": tx.norm_call_id(s)},
-    {"call_id": ["978", "12", "sin_numero", "conv_5_2024", "sin_numero", "--"]},
+    {
+        "call_id": r"""coalesce(case when trim(s) <> '' then coalesce(cast(cast(trunc(try_cast(trim(s) as double)) as bigint) as varchar),
+          nullif(regexp_replace(regexp_replace(trim(s), '[^\p{L}\p{N}_\-]+', '_', 'g'), '^_+|_+$', '', 'g'), '')) end, 'sin_numero')"""
+    },
 )
-_cases(
+_ruled(
     "parse_money",
-    ["$749.982.430.291", "COP 1,200", "sin dato", None],
+    "part",
+    "p_partkey",
+    _words("$", "COP ", "valor: ", "sin dato") + " || case when p_size % 4 = 3 then '' else cast(cast(p_retailprice * 1000 as bigint) as varchar(20)) || case when p_size % 2 = 0 then '.000' else ',500' end end",
     lambda s: {"amount": tx.parse_money(s)},
-    {"amount": [749982430291.0, 1200.0, None, None]},
+    {"amount": "try_cast(nullif(regexp_replace(s, '[^0-9]', '', 'g'), '') as double)"},
 )
-_cases(
+_ruled(
     "article_meta",
-    ['"Redes y mercados", 1999. DOI: 10.1/ab.c., 2015', "sin metadatos", 'A "B" 18 2024'],
+    "part",
+    "p_partkey",
+    """case when p_size % 4 = 0 then p_name else '"' || p_name || ' ' || p_type || '", ' || (1975 + p_size) || case when p_size % 3 = 0 then '. doi: 10.1/' || p_partkey || '.c., ' || (2000 + p_size % 30) else '' end end""",
     lambda s: {"title": tx.article_title(s), "doi": tx.article_doi(s), "year": tx.article_year(s)},
-    {"title": ["Redes y mercados", None, "B"], "doi": ["10.1/ab.c", None, None], "year": ["2015", None, "2024"]},
+    {
+        "title": """nullif(regexp_extract(s, '"([^"]+)"', 1), '')""",
+        "doi": r"nullif(rtrim(regexp_extract(s, '(?i)DOI:\s*([^\s,]+)', 1), '.'), '')",
+        "year": r"list_last(regexp_extract_all(s, '\b(?:19|20)\d{2}\b'))",
+    },
 )
-_cases(
+_ruled(
     "simplify_category",
-    ["Investigador Senior (IS) hasta 2025", "Categoría Investigador   Emérito", "Sin categoría reconocida por la convocatoria 2021", "Junior"],
+    "part",
+    "p_partkey",
+    "p_type || ' Investigador ' || " + _words(" Junior", "Asociado", "Senior (IS)", "Emérito", "sin categoría reconocida", " ") + " || ' ' || p_name || ' hasta ' || (2000 + p_size)",
     lambda s: {"category": tx.simplify_category(s)},
-    {"category": ["Investigador Senior", "Investigador   Emérito", "Sin categoría reconocida por la convocat", "Junior"]},
+    {"category": r"coalesce(nullif(regexp_extract(s, 'Investigador\s+(?:Junior|Asociado|Senior|Em[eé]rito)'), ''), substr(s, 1, 40))"},
 )
-_cases(
+_ruled(
     "split_name",
-    ["Pérez Gil, Ana María", "Ruiz,Juan, PhD", "Sola"],
+    "part",
+    "p_partkey",
+    "case p_size % 4 when 0 then p_name when 1 then p_brand || ',' || p_name || ', ' || p_type else p_type || ' ' || p_brand || ' ,  ' || p_name end",
     lambda s: {"surname": tx.surname(s), "given": tx.given_name(s)},
-    {"surname": ["Pérez Gil", "Ruiz", "Sola"], "given": ["Ana María", "Juan, PhD", ""]},
+    {"surname": "trim(split_part(s, ',', 1))", "given": "case when contains(s, ',') then trim(substr(s, strpos(s, ',') + 1)) else '' end"},
 )
-_cases(
+_ruled(
     "label_numbers",
-    ["Hay 1.250 Laboratorios y 12,300 Publicaciones", "3 Laboratorios", "ninguno"],
+    "part",
+    "p_partkey",
+    "p_name || ': ' || case when p_size % 3 = 0 then '' else p_size || '.' || (100 + p_size) || ' Laboratorios y ' end || case when p_size % 5 = 0 then p_type else p_partkey || ',000  Publicaciones' end",
     lambda s: {"labs": tx.label_number(s, "Laboratorios"), "papers": tx.label_number(s, "Publicaciones")},
-    {"labs": [1250, 3, None], "papers": [12300, None, None]},
+    {
+        "labs": r"try_cast(nullif(regexp_replace(regexp_extract(s, '([\d.,]+)\s+Laboratorios', 1), '[.,]', '', 'g'), '') as bigint)",
+        "papers": r"try_cast(nullif(regexp_replace(regexp_extract(s, '([\d.,]+)\s+Publicaciones', 1), '[.,]', '', 'g'), '') as bigint)",
+    },
 )
 
 
