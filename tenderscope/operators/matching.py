@@ -321,6 +321,7 @@ def term_evidence(pairs: DataFrame, n: int = 7) -> DataFrame:
     TF-IDF is fitted on the two texts of a pair alone, so a term is either shared
     (idf 1) or not (one constant); the norms follow from sums over each text and
     over the shared terms. Joins are keyed by (pair, term), never by a term alone.
+    Pairs without any term fall back to ``overlap_evidence``.
     """
 
     q_terms = _pair_terms(pairs, "call_text")
@@ -347,7 +348,25 @@ def term_evidence(pairs: DataFrame, n: int = 7) -> DataFrame:
         F.round(F.col("_wq") / F.col("_nq"), 5).alias("call_weight"),
         F.round(F.col("_wd") / F.col("_nd"), 5).alias("person_weight"),
     )
-    return top_n_per(scored, ["q", "id"], [F.desc("weight"), F.asc("term")], n)
+    told_ = top_n_per(scored, ["q", "id"], [F.desc("weight"), F.asc("term")], n)
+    return told_.unionByName(overlap_evidence(pairs, n))
+
+
+def overlap_evidence(pairs: DataFrame, n: int = 7) -> DataFrame:
+    """Shared runs of four letters or more, by how often the call holds them (then by place), for the
+    pairs whose two texts hold no term at all."""
+    runs = r"[a-záéíóúñ]{4,}"
+
+    def found(c: str) -> Column:
+        return F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(runs), F.lit(0))
+
+    bare = pairs.where((F.size(evidence_tokens(F.col("call_text"))) == 0) & (F.size(evidence_tokens(F.col("person_text"))) == 0))
+    stop = F.array(*[F.lit(w) for w in EVIDENCE_STOP])
+    both = bare.select("q", "id", F.posexplode(found("call_text")).alias("pos", "term"), found("person_text").alias("_p"))
+    kept = both.where(F.array_contains("_p", F.col("term")) & ~F.array_contains(stop, F.col("term")))
+    counts = kept.groupBy("q", "id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("pos").alias("_pos"))
+    ranked = top_n_per(counts, ["q", "id"], [F.desc("weight"), F.asc("_pos")], n)
+    return ranked.select("q", "id", "term", "weight", F.col("weight").alias("call_weight"), F.col("weight").alias("person_weight"), "rank")
 
 
 def _pair_terms(pairs: DataFrame, text: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tenderscope.operators import matching as mt
 from tenderscope.operators.ranks import top_n_per
 from tenderscope.plans.inputs import add_view, table, with_views
 from tenderscope.plans.registry import query
+from tenderscope.session import cut_lineage
 
 CATEGORIES = ("Investigador Emérito", "Investigador Senior", "Investigador Asociado", "Investigador Junior", None)
 _CAT_SQL = "(['Investigador Emérito', 'Investigador Senior', 'Investigador Asociado', 'Investigador Junior', NULL])"
@@ -112,20 +113,21 @@ def ranking(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
     return mt.grid_top_k(calls, pool, k)
 
 
-@query(
-    "hybrid_rank",
-    with_views(
-        "weights",
-        """, v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+add_view(
+    "hybrid",
+    "weights",
+    """v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings),
         u as (select id, list_transform(e, lambda x: x / n) as e from (select *, coalesce(nullif(sqrt(list_dot_product(e, e)), 0), 1) as n from v)),
         pairs as (select b.item_id as q, p.id, bonus, a.e is not null as has, coalesce(list_dot_product(a.e, c.e), 0) as emb, coalesce(t, 0) as t from benchmark b cross join people p
           left join u a on a.id = b.item_id left join u c on c.id = p.id left join tsim on tsim.q = b.item_id and tsim.id = p.id),
         raw as (select *, greatest(0, least(1, case when has then 0.85::double * emb + 0.15::double * t else t end)) as raw from pairs),
-        fin as (select *, greatest(0, least(1, raw + bonus)) as f from raw)
-        select q, id, round(emb, 6) as score_emb, round(t, 6) as score_tfidf, round(raw, 6) as score_raw, round(bonus, 6) as boost, round(f, 6) as score_final, rank
-        from (select *, row_number() over (partition by q order by round(f, 6) desc, id) as rank from fin) where rank <= 15""",
-    ),
+        fin as (select *, greatest(0, least(1, raw + bonus)) as f from raw),
+    hybrid as (select q, id, round(emb, 6) as score_emb, round(t, 6) as score_tfidf, round(raw, 6) as score_raw, round(bonus, 6) as boost, round(f, 6) as score_final, rank
+        from (select *, row_number() over (partition by q order by round(f, 6) desc, id) as rank from fin) where rank <= 15)""",
 )
+
+
+@query("hybrid_rank", with_views("hybrid", "select * from hybrid"))
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     r = ranking(spark, d)
     cols = ("score_emb", "score_tfidf", "score_raw", "boost", "score_final")
@@ -262,10 +264,15 @@ def rank_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 _EV = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-záéíóúñ]{{3,}}$'))"
 _STOP_SQL = "[" + ",".join(f"'{w}'" for w in mt.EVIDENCE_STOP) + "]"
+_RUNS = "regexp_extract_all(lower({c}), '[a-záéíóúñ]{{4,}}')"
 add_view(
     "evidence",
-    "",
-    f"""epairs as (select item_id as q, doc_id as id, b.text as ct, d.text as pt from benchmark b join documents d on doc_id = item_id),
+    "hybrid",
+    f"""epairs as (select h.q, h.id, b.text as ct, d.text as pt from hybrid h join benchmark b on b.item_id = h.q join documents d on d.doc_id = h.id),
+    ebare as (select q, id, unnest({_RUNS.format(c='ct')}) as term, generate_subscripts({_RUNS.format(c='ct')}, 1) as pos, {_RUNS.format(c='pt')} as pr from epairs
+      where len({_EV.format(c='ct')}) = 0 and len({_EV.format(c='pt')}) = 0),
+    eback as (select q, id, term, n as weight, n as call_weight, n as person_weight, row_number() over (partition by q, id order by n desc, pos) as rank from (
+      select q, id, term, count(*)::double as n, min(pos) as pos from ebare where list_contains(pr, term) and not list_contains({_STOP_SQL}, term) group by 1, 2, 3)),
     eq as (select q, id, term, 1 + ln(count(*)) as w from (select q, id, {_TERMS} as term from (select q, id, {_EV.format(c='ct')} as w from epairs)) group by 1, 2, 3),
     ed as (select q, id, term, 1 + ln(count(*)) as w from (select q, id, {_TERMS} as term from (select q, id, {_EV.format(c='pt')} as w from epairs)) group by 1, 2, 3),
     ew as (select coalesce(eq.q, ed.q) as q, coalesce(eq.id, ed.id) as id, coalesce(eq.term, ed.term) as term,
@@ -273,37 +280,55 @@ add_view(
     en as (select *, wq / sqrt(sum(wq * wq) over (partition by q, id)) as nq, wd / sqrt(sum(wd * wd) over (partition by q, id)) as nd from ew),
     evidence as (select * from (select q, id, term, round(nq * nd, 5) as weight, round(nq, 5) as call_weight, round(nd, 5) as person_weight,
         row_number() over (partition by q, id order by round(nq * nd, 5) desc, term) as rank
-      from en where nq * nd > 0 and not list_has_all({_STOP_SQL}, string_split(term, ' '))) where rank <= 7)""",
+      from en where nq * nd > 0 and not list_has_all({_STOP_SQL}, string_split(term, ' '))) where rank <= 7
+      union all select * from eback where rank <= 7)""",
 )
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each call with the person of the same id."""
+def pairs(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
+    """The texts of each call and of the people ranked for it."""
     c = call_texts(spark, d).withColumnRenamed("text", "call_text")
     p = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("person_text"))
-    return c.join(p, F.col("q") == F.col("id"))
+    return ranked.select("q", "id").join(c, "q").join(p, "id")
 
 
 @query("term_evidence", with_views("evidence", "select * from evidence"))
 def term_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return mt.term_evidence(pairs(spark, d))
+    """What ties each call to each of the people ranked for it."""
+    return mt.term_evidence(cut_lineage(pairs(spark, d, ranking(spark, d))))
+
 
+def _snippet_sql(text: str) -> str:
+    """110 characters around the first hit of a term, or of its first word that occurs."""
+    hit = f"(case when contains(lower({text}), term) then term else list_filter(string_split(term, ' '), lambda w: w <> '' and contains(lower({text}), w))[1] end)"
+    at = f"instr(lower({text}), {hit})"
+    first, last = f"greatest(0, {at} - 37)", f"least(length({text}), {at} - 1 + length({hit}) + 110)"
+    return f"""case when {hit} is not null then (case when {first} > 0 then '…' else '' end) || replace(trim(substr({text}, {first} + 1, {last} - {first})), chr(10), ' ')
+      || (case when {last} < length({text}) then '…' else '' end) end"""
 
-@query("term_evidence_snippets")
+
+@query(
+    "term_evidence_snippets",
+    with_views("evidence", f"select q, id, term, {_snippet_sql('pt')} as in_person, {_snippet_sql('ct')} as in_call from evidence join epairs using (q, id)"),
+)
 def term_evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
+    p = cut_lineage(pairs(spark, d, ranking(spark, d)))
     return mt.term_evidence(p).join(p, ["q", "id"]).select(
         "q", "id", "term", tx.term_snippet(F.col("person_text"), F.col("term")).alias("in_person"),
         tx.term_snippet(F.col("call_text"), F.col("term")).alias("in_call"),
     )
 
 
+#: Terms of each pair that the graph shows.
+GRAPH_TERMS = 6
+
+
 @query(
     "match_graph",
     with_views(
         "evidence people",
-        """, rk as (select q, p.id, round(least(1, 0.5 + bonus), 6) as score_final, has_cv, category, n_areas from (select distinct q, id from epairs) e join people p on p.id = e.id),
-        sl as (select *, 'term::' || substr(regexp_replace(lower(term), '[^a-z0-9]+', '_', 'g'), 1, 40) as tid from evidence),
+        f""", rk as (select q, p.id, score_final, has_cv, category, n_areas from hybrid h join people p on p.id = h.id),
+        sl as (select *, 'term::' || substr(regexp_replace(lower(term), '[^a-z0-9]+', '_', 'g'), 1, 40) as tid from evidence where rank <= {GRAPH_TERMS}),
         cb as (select *, case when lower(category) like '%emérito%' then 0.18 when lower(category) like '%senior%' then 0.16 when lower(category) like '%asociado%' then 0.13 when lower(category) like '%junior%' then 0.09 else 0.0 end as cat,
           case when n_areas >= 5 then 0.08 when n_areas >= 2 then 0.05 when n_areas >= 1 then 0.03 else 0.0 end as ar from rk)
         select q, 'call::' || q as source, cast(id as varchar) as target, 'match' as kind, score_final as score, round(40 + round(greatest(0.05::double, least(1, 1 - score_final)), 4) * 160, 1) as length from rk
@@ -315,11 +340,12 @@ def term_evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def match_graph(spark: SparkSession, d: str) -> DataFrame:
-    pr = pairs(spark, d)
-    meta = people(spark, d).select("id", "bonus", "has_cv", "category", "n_areas")
-    rk = pr.select("q", "id").join(meta, "id").withColumn("score_final", F.round(F.least(F.lit(1.0), 0.5 + F.col("bonus")), 6))
-    full = rk.withColumns({"score_emb": F.lit(0.0), "score_tfidf": F.lit(0.0), "faculty": F.lit("")})
-    return mt.match_graph_links(rk, mt.term_evidence(pr), mt.score_breakdown(full))
+    """The star of each call: the people ranked for it, what ties them to it, and what adds to their scores."""
+    rk = ranking(spark, d).withColumn("score_final", F.round("score_final", 6))
+    meta = people(spark, d).select("id", "has_cv", "category", "n_areas", "faculty")
+    rk = cut_lineage(rk.join(meta, "id"))
+    terms = mt.term_evidence(cut_lineage(pairs(spark, d, rk))).where(F.col("rank") <= GRAPH_TERMS)
+    return mt.match_graph_links(rk, terms, mt.score_breakdown(rk))
 
 
 @query(
