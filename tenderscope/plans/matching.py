@@ -82,19 +82,28 @@ def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     return top.select("q", "id", F.round("score_tfidf", 6).alias("score_tfidf"), "rank")
 
 
-@query(
-    "vector_cosine",
-    """with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+_COSINE_SQL = """with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings),
     u as (select id, list_transform(e, lambda x: x / n) as e from (select *, coalesce(nullif(sqrt(list_dot_product(e, e)), 0), 1) as n from v))
     select q, id, round(s, 6) as cosine, rank from (select *, row_number() over (partition by q order by round(s, 6) desc, id) as rank from (
-      select a.id as q, b.id, list_dot_product(a.e, b.e) as s from u a join u b on a.id <> b.id)) where rank <= 5""",
-)
-def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
+      select a.id as q, b.id, list_dot_product(a.e, b.e) as s from u a join u b on a.id <> b.id)) where rank <= 5"""
+
+
+def _unit_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     unit = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), mt.l2_normalise(F.col("embedding")).alias("vector"))
     none_t, none_w = F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<double>").alias("weights")
-    pool = unit.select("id", none_t, none_w, "vector", F.lit(0.0).alias("bonus"))
-    asked = unit.select(F.col("id").alias("q"), none_t, none_w, "vector")
-    top = mt.grid_top_k(asked, pool, 5, w_vector=1.0, w_terms=0.0, clip=False, skip_same=True)
+    return unit.select(F.col("id").alias("q"), none_t, none_w, "vector"), unit.select("id", none_t, none_w, "vector", F.lit(0.0).alias("bonus"))
+
+
+@query("vector_cosine", _COSINE_SQL)
+def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
+    top = mt.grid_top_k(*_unit_vectors(spark, d), 5, w_vector=1.0, w_terms=0.0, clip=False, skip_same=True)
+    return top.select("q", "id", F.round("score_emb", 6).alias("cosine"), "rank")
+
+
+@query("vector_cosine_pruned", _COSINE_SQL)
+def vector_cosine_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours by bounds over pivots: cells that cannot hold one stay shut."""
+    top, _cells = mt.pruned_top_k(*_unit_vectors(spark, d), 5, w_vector=1.0, w_terms=0.0, clip=False, skip_same=True)
     return top.select("q", "id", F.round("score_emb", 6).alias("cosine"), "rank")
 
 

@@ -162,3 +162,37 @@ def test_the_candidate_with_the_least_error_on_the_held_months_is_used(spark):
     assert len(winners) >= 3
     for i, _ in rows:
         assert got[i] is None if i not in want else np.allclose(got[i], want[i], rtol=1e-6)
+
+
+def test_pruned_search_finds_the_same_and_leaves_cells_shut(spark):
+    r = np.random.default_rng(5)
+    heads = r.standard_normal((12, 16))
+
+    def rows(n, seed, names):
+        g = np.random.default_rng(seed)
+        out = []
+        for i in range(n):
+            v = heads[i % 12] + 0.15 * g.standard_normal(16)
+            v = None if i % 41 == 7 else (v / np.linalg.norm(v)).tolist()
+            t = sorted(g.choice(["a", "b", "c", "d", "e"], 2, replace=False).tolist()) if i % 5 else None
+            row = (i, t, None if t is None else [0.6, 0.8], v)
+            out.append(row + (float(g.choice([0.0, 0.05, 0.1])),) if "bonus" in names else row)
+        return spark.createDataFrame(out, names)
+
+    pool = rows(600, 1, "id bigint, terms array<string>, weights array<double>, vector array<double>, bonus double")
+    queries = rows(60, 2, "q bigint, terms array<string>, weights array<double>, vector array<double>")
+    for options in ({}, {"clip": False, "skip_same": True, "w_terms": 0.0}, {"need_overlap": True}):
+        want = mt.grid_top_k(queries, pool, 6, **options).collect()
+        got, cells = mt.pruned_top_k(queries, pool, 6, pivots=24, block_rows=5, shard_rows=30, **options)
+        key = lambda x: (x["q"], x["rank"], x["id"], round(x["score_final"], 6))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want))
+        if not options.get("need_overlap"):
+            assert cells["first"] <= cells["opened"] < 0.6 * cells["cells"], cells
+        print(options, cells)
+
+
+def test_evidence_falls_back_to_shared_runs_where_no_term_survives(spark):
+    rows = [(1, 1, "größen1 übermut größen2 übermut", "übermut größen3"), (1, 2, "red green", "green"), (2, 1, "x1", None)]
+    got = mt.term_evidence(spark.createDataFrame(rows, "q long, id long, call_text string, person_text string")).collect()
+    found = {(x["q"], x["id"], x["term"]): (x["weight"], x["rank"]) for x in got}
+    assert found[1, 1, "bermut"] == (2.0, 1) and {k[:2] for k in found} == {(1, 1), (1, 2)} and (1, 2, "green") in found
