@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderscope.session import cut_lineage
 
-__all__ = ["block_count", "block_of", "cut_lineage", "hash_texts", "hash_windows", "hash_words", "mix64", "read_table", "slices", "word_table"]
+__all__ = ["block_count", "block_of", "cut_lineage", "free_name", "hash_texts", "hash_windows", "hash_words", "mix64", "read_table", "slices", "word_table"]
 
 #: Words hashed at a time.
 BATCH = 1 << 16
@@ -20,6 +20,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column's (case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def block_count(df: DataFrame, rows: int, least: int = 1) -> int:
     """Blocks of about ``rows`` rows for a table (counting reads only file footers)."""
     return max(least, math.ceil(df.count() / rows))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderscope.llm.common import cut_lineage, hash_texts, slices, word_table
+from tenderscope.llm.common import cut_lineage, free_name, hash_texts, slices, word_table
 
 #: ASCII but letters and digits parts words.
 WORDS = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -260,6 +260,9 @@ def find(
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item; rows are told apart by id."""
-    hit = find(build_index(docs, id_col, text_col), items, window=window).where(F.col("n_hit") > 0).select(F.col("id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`").cast("string") == F.col("__hit"), "left_anti")
+    """The rows of ``docs`` that hold no window of an item; rows are told apart by id, those without one by their text."""
+    key, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")
+    name = F.coalesce(key, F.concat(F.lit("\0"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    found = find(build_index(docs.select(name.alias("name"), text.alias("text")), "name", "text"), items, window=window)
+    free = free_name(docs.columns, "hit__")
+    return docs.join(found.where(F.col("n_hit") > 0).select(F.col("id").alias(free)).distinct(), name == F.col(free), "left_anti")

@@ -21,8 +21,10 @@ Defined cases
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -258,15 +260,21 @@ def find_spans(text: str, model: Boosted | None, choose: float = CHOOSE) -> list
     base = base_spans(text)
     if model is None:
         return base
-    open_ = [s for s in candidates(text) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    # spans by start, and how far those up to each reach: what begins before an end and reaches beyond a start overlaps
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
+    open_ = [(s, e) for s, e in candidates(text) if not (at := bisect_left(starts, e)) or reach[at - 1] <= s]
     if not open_:
         return base
     p = model.probability(np.array([features(text, *s) for s in open_]))
     added: list[Span] = []
     for i in np.lexsort(([s[0] for s in open_], -p)):
+        if p[i] < choose:
+            break
         s, e = open_[i]
-        if p[i] >= choose and not any(a < e and s < b for a, b, _ in added):
-            added.append((s, e, "model"))
+        at = bisect_left(added, (s,))  # spans taken so far, in order; they do not overlap
+        if (at == len(added) or e <= added[at][0]) and (not at or added[at - 1][1] <= s):
+            added.insert(at, (s, e, "model"))
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

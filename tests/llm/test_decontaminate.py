@@ -60,3 +60,15 @@ def test_empty_tables(spark, docs_of):
     assert [r["n_hit"] for r in find(build_index(docs), none).collect()] == [0]
     assert find(build_index(docs.limit(0)), none).collect() == []
     assert clean(docs, none).count() == 1
+
+
+def test_clean_rows_without_id_and_columns_of_any_name(spark, prose):
+    from tenderscope.llm.decontaminate import clean
+
+    item = " ".join(prose(70, 14))
+    bad = " ".join([*prose(71, 20), item, *prose(72, 20)])
+    rows = [(None, bad, "a", "n", 1), (None, " ".join(prose(73, 40)), "b", "n", 1), (4, bad, "c", "n", 1), (5, " ".join(prose(74, 40)), "d", "n", 1), (None, None, "e", "n", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hit__ string, name string, id int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = clean(df, items)
+    assert got.columns == df.columns and sorted(r["hit__"] for r in got.collect()) == ["b", "d", "e"]

@@ -113,3 +113,24 @@ def test_calibration_orders_by_label():
     p = model.probability(x[1500:])
     assert ((p > 0.5) == (y[1500:] > 0.5)).mean() > 0.9
     assert abs(p.mean() - y[1500:].mean()) < 0.05
+
+
+def test_many_candidates_in_one_text_take_near_linear_time():
+    import time
+
+    class Every:
+        def probability(self, x):
+            return np.linspace(0.96, 0.99, len(x))
+
+    def took(n):
+        t = " ".join(f"{i % 97:03d}-{i:07d} a{i}@b.co" for i in range(n))
+        start = time.perf_counter()
+        spans = pii.find_spans(t, Every())
+        return time.perf_counter() - start, spans
+
+    took(500)
+    (small, _), (large, spans) = took(2000), took(16_000)
+    assert large < 20 * small  # eight times as many
+    assert sum(k == "email" for *_, k in spans) == 16_000
+    own = sorted((s, e) for s, e, k in spans if k == "model")
+    assert own and all(a[1] <= b[0] for a, b in zip(own, own[1:]))

@@ -51,3 +51,39 @@ def test_chains_hubs_and_empty(spark):
     assert {r["verdict"] for r in out} == {"block"}
     assert {r["n_aliases"] for r in out} == {42, 302}
     assert judge(pages.limit(0), RULES).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    names = "_said string, _node string, node__ string, made__ int, Passed__ string, `a b` string, host string, n_aliases int"
+    rows = [("http://x.net/a", moved("http://www.b.com/de/1"), "s", "n", "k", 1, "p", "ab", "own", 7), ("http://www.b.com/de/1", None, "t", "m", "l", 2, "q", "cd", "own", 8)]
+    df = spark.createDataFrame(rows, "`the url` string, `the html` string, " + names)
+    got = {r["the url"]: r for r in judge(df, RULES, "the url", "the html").collect()}
+    first = got["http://x.net/a"]
+    assert first["verdict"] == "block" and first["n_aliases"] == 2 and first["host"] == "x.net"
+    assert [first[c] for c in ("_said", "_node", "node__", "made__", "Passed__", "a b")] == ["s", "n", "k", 1, "p", "ab"]
+
+
+def test_dots_entities_comments_and_rel_words(spark):
+    rows = [
+        (1, "http://m.com/x/y/1", link("../../de/./2")),  # m.com/de/2
+        (2, "http://n.net/1", f"<!-- {link('http://www.b.com/de/1')} --><p>"),
+        (3, "http://o.net/1", '<link rel="alternate canonical" href="http://www.b.com/de/1">'),
+        (4, "http://p.net/q?a=1&b=2", None),
+        (5, "http://q.net/1", link("http://p.net/q?a=1&amp;b=2")),
+        (6, "http://r.net/1", link("http://com/de/x/../../fr/9/..")),  # com/fr/
+        (7, "http://s.net/1", '<link rel="noncanonical" href="http://www.b.com/de/1">'),
+    ]
+    got = {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert got[1]["verdict"] == "block" and got[3]["verdict"] == "block"
+    assert got[2]["verdict"] == "allow" and got[2]["n_aliases"] == 1 and got[7]["n_aliases"] == 1
+    assert got[4]["n_aliases"] == got[5]["n_aliases"] == 2
+    assert got[6]["verdict"] == "allow" and got[6]["n_aliases"] == 2
+
+
+def test_groups_of_a_long_path_and_a_hub(spark):
+    from tenderscope.llm.aliases import alias_groups
+
+    rows = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(130)] + [("hub", f"x{i}") for i in range(200)] + [("z", "z"), (None, "y"), ("p000", "p001")]
+    got = {r["id"]: r["component"] for r in alias_groups(spark.createDataFrame(rows, "source string, target string")).collect()}
+    assert len(got) == 131 + 201 + 1
+    assert {v for k, v in got.items() if k[0] == "p"} == {"p000"} and {v for k, v in got.items() if k[0] in "xh"} == {"hub"} and got["z"] == "z"
