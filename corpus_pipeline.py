@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderscope.llm import bpe, decontaminate, near_dup, pii, toxicity
-from tenderscope.llm.common import cut_lineage, read_table
+from tenderscope.llm.common import cut_lineage, free_name, read_table
 from tenderscope.llm.q_toxicity import CUT
 
 
@@ -36,10 +36,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("__new", pii.redacted_column(pii.fit(docs), F.col("text")))
-    changed = ~F.col("__new").eqNullSafe(F.col("text"))
-    size = F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars"))
-    new = {"text": F.col("__new").alias("text"), "n_chars": size.alias("n_chars")}
+    hidden = free_name(docs.columns, "hidden__")
+    found = docs.withColumn(hidden, pii.redacted_column(pii.fit(docs), F.col("text")))
+    changed = ~F.col(hidden).eqNullSafe(F.col("text"))
+    size = F.when(changed, F.length(hidden).cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col(hidden).alias("text"), "n_chars": size.alias("n_chars")}
     return found.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
@@ -60,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next."""
+    """All stages over ``documents``, each written to the shared folder before the next.
+
+    The stage tables stay until ``session.clear_scratch`` is called, which may be done once the result has been stored.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for _name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
