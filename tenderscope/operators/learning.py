@@ -39,11 +39,13 @@ def temporal_split(df: DataFrame, date: str, cut: str) -> DataFrame:
 
 def impute_train_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact medians of the training rows fill gaps on both sides."""
-    train = df.where("is_train")
-    for c in columns:
-        med = exact_percentiles(train, c, {"m": 0.5}).select("m").scalar()
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), med))
-    return df
+    # all columns in one pass: a row for each column and value
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.where("is_train").select(F.inline(pairs))
+    medians = exact_percentiles(long, "x", {"m": 0.5}, ["column"])
+    # a row for each column
+    found = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "m")))).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at(found, F.lit(c))) for c in columns})
 
 
 def target_encode(df: DataFrame, key: str, y: str, alpha: float = 20.0, out: str = "buyer_te") -> DataFrame:
@@ -72,12 +74,11 @@ def majority(df: DataFrame, y: str) -> Column:
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Zero mean and unit population deviation, measured on training rows."""
-    train = df.where("is_train")
-    for c in columns:
-        x = F.col(c).cast("double")
-        fit = train.agg(F.struct(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"))).scalar()
-        df = df.withColumn(f"{c}_z", (x - fit["mu"]) / F.when(fit["sd"] == 0, 1.0).otherwise(fit["sd"]))
-    return df
+    measures = [F.struct(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd")).alias(c) for c in columns for x in (F.col(c).cast("double"),)]
+    fit = df.where("is_train").agg(F.struct(*measures)).scalar()  # all columns in one pass
+    return df.withColumns(
+        {f"{c}_z": (F.col(c).cast("double") - fit[c]["mu"]) / F.when(fit[c]["sd"] == 0, 1.0).otherwise(fit[c]["sd"]) for c in columns}
+    )
 
 
 def budget_bins(df: DataFrame, price: str) -> DataFrame:
@@ -118,8 +119,7 @@ def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_report(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """Precision, recall, F1 and support per class."""
+def _class_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     cells = confusion(df, y, pred)  # classes squared
     rows = F.array(F.struct(F.col("actual").alias("c"), F.lit(1).alias("a")), F.struct(F.col("predicted").alias("c"), F.lit(0).alias("a")))
     flat = cells.select(F.inline(rows), "n", (F.col("actual") == F.col("predicted")).alias("hit"))
@@ -130,7 +130,22 @@ def class_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     )
     p, r = F.coalesce(F.try_divide("tp", "said"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return tot.select("label", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"), "support")
+    return tot.select("label", p.alias("precision"), r.alias("recall"), f1.alias("f1"), "support", "tp")
+
+
+def class_report(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """Precision, recall, F1 and support per class."""
+    return _class_scores(df, y, pred).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def f1_summary(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """Macro F1 (classes count alike, those only predicted too), F1 weighted by support, and accuracy."""
+    return _class_scores(df, y, pred).agg(
+        F.round(F.avg("f1"), 6).alias("macro_f1"),
+        F.round(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), 6).alias("weighted_f1"),
+        F.round(F.try_divide(F.sum("tp"), F.sum("support")), 6).alias("accuracy"),
+        F.count(F.lit(1)).alias("n_classes"),
+    )
 
 
 def accuracy(df: DataFrame, y: str, pred: str) -> DataFrame:

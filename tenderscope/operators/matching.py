@@ -26,8 +26,10 @@ STRONG = "senior|asociado"
 # --- terms ----------------------------------------------------------------
 
 
-def tokens(c: Column, pattern: str = r"[\p{L}\p{N}_]{2,}") -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0))
+def tokens(c: Column, least: int = 2) -> Column:
+    """Runs of letters, digits and underscores of any script, lower case, of ``least`` characters or more."""
+    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    return F.filter(parts, lambda w: F.length(w) >= least)
 
 
 def with_bigrams(words: Column) -> Column:
@@ -439,7 +441,7 @@ _ONLY_HERE = math.log(1.5) + 1.0  # idf of a term found in one of two texts; a s
 
 def evidence_tokens(c: Column) -> Column:
     """Whole words of at least three plain or Spanish letters, lower case."""
-    return F.filter(tokens(c, r"[\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-záéíóúñ]{3,}$"))
+    return F.filter(tokens(c, 1), lambda w: w.rlike("^[a-záéíóúñ]{3,}$"))
 
 
 def term_evidence(pairs: DataFrame, n: int = 7) -> DataFrame:
