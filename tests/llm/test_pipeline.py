@@ -68,4 +68,4 @@ def test_run_equals_the_stages_and_empty_tables(spark, folder, tmp_path):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
