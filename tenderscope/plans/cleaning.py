@@ -38,7 +38,20 @@ def monthly_segment_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("load_profiles")
+def clip_sql(text: str, n: int) -> str:
+    """White space collapsed, and an ellipsis in the last place of what is longer than ``n``."""
+    flat = rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    return f"case when length({flat}) > {n} then substr({flat}, 1, {n - 1}) || '…' else {flat} end"
+
+
+_PROFILE_SQL = f"""concat_ws(chr(10), 'Docente: Person ' || doc_id || '. Facultad: ' || coalesce(source, '') || '. Cargo: .', 'Áreas: ' || lang,
+  case when text <> '' then 'Perfil: ' || {clip_sql("text", 600)} end)"""
+
+
+@query(
+    "load_profiles",
+    f"""select id, length(t) as n_chars from (select cast(doc_id as varchar) as id, {clip_sql(_PROFILE_SQL, 3500)} as t from documents) where length(t) >= 40""",
+)
 def load_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Write the documents as nested profile JSON, then read the folder back."""
     folder = scratch_path(spark, "profiles")

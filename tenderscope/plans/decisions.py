@@ -108,26 +108,48 @@ def portfolio_plan(spark: SparkSession, d: str) -> DataFrame:
     return de.portfolio(full, "call_id", 20).select("call_id", "priority", "in_plan")
 
 
-@query("plan_actions")
+#: Balance from which a supplier stands for a senior; below zero it has no profile.
+SENIOR_BALANCE = 8000
+
+_PLAN_STATE_SQL = f"""state as (
+      select q, count(*) as n_team, count(distinct s_nationkey) as n_fac, count(*) filter (where score_final >= {de.TEAM_SCORE}) as n_strong,
+        count(*) filter (where s_acctbal < 0) as n_none, coalesce(bool_or(s_acctbal > {SENIOR_BALANCE}), false) as senior
+      from team join supplier on s_suppkey = id group by 1),
+    lined as (select l_orderkey as q, count(*) filter (where l_returnflag = 'A') as n_lines, case when count(*) > 1 then avg((l_linestatus = 'F')::int) end as p from lineitem group by 1),
+    plans as (select state.*, n_lines, p, case o_orderstatus when 'F' then true when 'P' then false end as ally
+      from state join lined using (q) join orders on o_orderkey = q)"""
+
+
+@query(
+    "plan_actions",
+    with_views(
+        "team",
+        f""", {_PLAN_STATE_SQL} select q, array_to_string(list_filter([case when n_team > 0 then 'contact_lead' end, 'confirm_availability', 'cross_check_lines',
+          case when ally then 'find_partner' end, case when not ally then 'consider_partner' end, case when n_fac >= 2 then 'use_several_faculties' end,
+          case when n_lines > 0 then 'justify_fit' end, case when p < 0.45 then 'review_low_signal' end, case when p >= 0.55 then 'prioritise_high_signal' end, 'update_evidence'],
+          lambda x: x is not null), ';') as actions,
+        coalesce(nullif(array_to_string(list_filter([case when n_strong < 2 then 'few_strong_people' end, case when n_none > 0 then 'profiles_without_cv' end,
+          case when ally then 'depends_on_partner' end, case when not senior then 'no_senior' end], lambda x: x is not null), ';'), ''), 'residual') as risks from plans""",
+    ),
+)
 def plan_actions(spark: SparkSession, d: str) -> DataFrame:
-    team = de.pick_team(call_ranking(spark, d))
-    i = F.col("id")
+    """Actions and risks of every call from its team, its suppliers' places and balances, its lines and its state."""
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", "s_acctbal")
+    team = de.pick_team(call_ranking(spark, d)).join(suppliers, "id")
     state = team.groupBy("q").agg(
         F.count(F.lit(1)).alias("n_team"),
-        F.countDistinct(i % 4).alias("n_faculties"),
+        F.countDistinct("s_nationkey").alias("n_faculties"),
         F.count_if(F.col("score_final") >= de.TEAM_SCORE).alias("n_strong"),
-        F.count_if(i % 3 != 0).alias("n_without_cv"),
-        F.bool_or(i % 5 == 1).alias("has_senior"),
+        F.count_if(F.col("s_acctbal") < 0).alias("n_without_cv"),
+        F.coalesce(F.bool_or(F.col("s_acctbal") > SENIOR_BALANCE), F.lit(False)).alias("has_senior"),
     )
-    k = F.col("q")
-    extra = state.withColumns(
-        {
-            "alliance": F.when(k % 3 == 0, True).when(k % 3 == 1, False),
-            "n_lines": (k % 4).cast("int"),
-            "p": F.when(k % 5 != 0, (k % 100) / 100.0),
-        }
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(
+        F.count_if(F.col("l_returnflag") == "A").alias("n_lines"),
+        F.when(F.count(F.lit(1)) > 1, F.avg((F.col("l_linestatus") == "F").cast("int"))).alias("p"),
     )
-    out = de.actions_and_risks(extra)
+    status = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False)
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("q"), status.alias("alliance"))
+    out = de.actions_and_risks(state.join(lines, "q").join(orders, "q"))
     return out.select("q", F.array_join("actions", ";").alias("actions"), F.array_join("risks", ";").alias("risks"))
 
 

@@ -374,7 +374,7 @@ def budget_items(spark: SparkSession, d: str) -> DataFrame:
 # --- nested extractions ---------------------------------------------------
 
 
-@query("canonical_text")
+@query("canonical_text", nested_sql.CANONICAL_TEXT)
 def canonical_text(spark: SparkSession, d: str) -> DataFrame:
     return calls(spark, d).select("convocatoria", pr.call_text().alias("canonical_text"))
 

@@ -43,3 +43,13 @@ SUMMARY = f"""with {_S}, st as (select *, case when k % 11 = 0 then 0 when k % 3
     case when st = 2 then case when only_ally and not ex then 'aliado' when ex or k % 4 = 2 then 'ejecutora' else 'aliado' end end as rol_sugerido from st"""
 
 PANORAMA = f"""with {_S} select case when k % 4 = 0 then 'SGR (regalias)' else 'sin_clasificar' end as kind, count(*) as n_calls, avg({_AMOUNT}) as avg_amount, avg(({_ALLIANCE})::int) as alliance_share from s group by 1"""
+
+_CALL = """concat_ws(chr(10), 'Objetivo: ' || nullif(s[1], ''),
+  case when len(s) > 0 then 'Líneas temáticas: ' || array_to_string(s[1:3], '; ') end,
+  case when len(s) > 1 then 'Requisitos: ' || array_to_string(list_transform(s[2:9], lambda x: substr(x, 1, 180)), '; ') end,
+  case when len(s) > 0 then 'Criterios: ' || array_to_string(list_transform(s[1:4], lambda x, i: x || ' (' || (i - 1) * 10 || '.0)'), '; ') end,
+  case k % 3 when 0 then 'Alianza obligatoria: sí' when 1 then 'Alianza obligatoria: no' end)"""
+_FLAT = rf"trim(regexp_replace({_CALL}, '\s+', ' ', 'g'))"
+
+CANONICAL_TEXT = f"""with {SENTENCES}, c as (select 'convocatoria_' || k as convocatoria, {_FLAT} as t from s)
+  select convocatoria, case when t = '' then 'Convocatoria sin texto NLP estructurado' when length(t) > 3500 then substr(t, 1, 3499) || '…' else t end as canonical_text from c"""
