@@ -112,6 +112,34 @@ def priority(match: Column, p: Column, eligible: Column) -> Column:
     return F.round(0.45 * F.coalesce(match, F.lit(0.0)) + 0.40 * F.coalesce(p, F.lit(0.0)) + 0.15 * e, 4)
 
 
+#: Priority from which a call is pursued first.
+PURSUE = 0.6
+
+
+def decision_table(calls: DataFrame, team: DataFrame, rates: DataFrame, extractions: DataFrame) -> DataFrame:
+    """One row per call with all that decides on it.
+
+    ``calls(call_id, opened, eligible)``, ``team`` as ``pick_team`` gives it, ``rates(call_id, p)`` and
+    ``extractions(call_id, n_chars)``; the last three may lack calls. Everything is joined on the call,
+    with at most one row a side, so no join multiplies rows.
+    """
+    lead = team.groupBy(F.col("q").alias("call_id")).agg(
+        F.count(F.lit(1)).alias("n_team"), F.max("score_final").alias("match"), F.min_by("id", "rank").alias("lead")
+    )
+    texts = extractions.groupBy("call_id").agg(F.max("n_chars").alias("n_chars"))
+    chance = rates.groupBy("call_id").agg(F.max("p").alias("p"))
+    every = calls.join(lead, "call_id", "left").join(chance, "call_id", "left").join(texts, "call_id", "left")
+    every = every.withColumn("priority", priority(F.col("match"), F.col("p"), F.col("eligible")))
+    decision = (
+        F.when(~F.col("eligible"), "discard").when(F.col("match").isNull(), "unranked").when(F.col("n_chars").isNull(), "unread")
+        .when(F.col("priority") >= PURSUE, "pursue").otherwise("review")
+    )
+    return every.select(
+        "call_id", "opened", "eligible", "lead", F.coalesce("n_team", F.lit(0)).alias("n_team"), "match", "p", F.col("n_chars").isNotNull().alias("read"),
+        "priority", decision.alias("decision"),
+    )
+
+
 def portfolio(opportunities: DataFrame, key: str, top: int) -> DataFrame:
     """Priority of every opportunity; the ``top`` first are in the plan."""
     scored = opportunities.withColumn("priority", priority(F.col("match"), F.col("p"), F.col("eligible")))

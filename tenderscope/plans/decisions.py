@@ -153,6 +153,29 @@ def plan_actions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q", F.array_join("actions", ";").alias("actions"), F.array_join("risks", ";").alias("risks"))
 
 
+@query(
+    "call_decisions",
+    with_views(
+        "team",
+        f""", lead as (select q, count(*) as n_team, max(score_final) as match, arg_min(id, rank) as lead from team group by 1),
+        rated as (select l_orderkey as q, avg((l_linestatus = 'F')::int) as p from lineitem group by 1),
+        every as (select o_orderkey as call_id, cast(o_orderdate as date) as opened, case o_orderstatus when 'F' then true when 'P' then false end as eligible,
+            lead, coalesce(n_team, 0) as n_team, match, p, d.doc_id is not null as read
+          from orders left join lead on lead.q = o_orderkey left join rated on rated.q = o_orderkey left join documents d on d.doc_id = o_orderkey),
+        told as (select *, round(0.45::double * coalesce(match, 0) + 0.40::double * coalesce(p, 0) + 0.15::double * case when eligible then 1 when eligible is null then 0.35::double else 0 end, 4) as priority from every)
+        select *, case when not eligible then 'discard' when match is null then 'unranked' when not read then 'unread' when priority >= {de.PURSUE} then 'pursue' else 'review' end as decision from told""",
+    ),
+)
+def call_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every process as a call: state, team, chance, text and what follows from them."""
+    status = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False)
+    opened = F.col("o_orderdate").cast("date").alias("opened")
+    calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("call_id"), opened, status.alias("eligible"))
+    rates = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.avg((F.col("l_linestatus") == "F").cast("int")).alias("p"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("call_id"), "n_chars")
+    return de.decision_table(calls, de.pick_team(call_ranking(spark, d)), rates, texts)
+
+
 @query(
     "proxy_features",
     """select o_orderkey as call_id, case when o_orderkey % 4 = 0 then 5e8 else o_totalprice end as base_price,
@@ -206,14 +229,23 @@ def project_counters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Characters that a fetched page has at least.
+FETCHED = 2000
+
+
 @query(
     "link_audit",
-    """select outcome, count(*) as n from (select case when c_custkey % 10 = 0 then 'not_found' when c_custkey % 7 = 0 then 'unreachable' when c_custkey % 3 = 0 then 'discrepancy' else 'confirmed' end as outcome from customer) group by 1""",
+    rf"""select case when page_id is null then 'not_found' when length(html) < {FETCHED} then 'unreachable'
+      when d.lang <> regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{{2}})/', 1) then 'discrepancy' else 'confirmed' end as outcome, count(*) as n
+    from documents d left join pages on page_id = doc_id group by 1""",
 )
 def link_audit(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    c = table(spark, d, "customer")
-    sample = c.select(k.alias("id"))
-    links = c.where(k % 10 != 0).select(k.alias("id"))
-    checks = c.select(k.alias("id"), F.when(k % 7 == 0, "timeout").alias("error"), F.when(k % 3 == 0, "http://x.org?cod_rh=1").alias("found_url"))
+    """Every document against the page of its id: missing, cut short, in another language, or as it should be."""
+    sample = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    links = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", "html")
+    spoken = F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]{2})/", 1)
+    checks = links.join(sample, "id").select(
+        "id", F.when(F.length("html") < FETCHED, "short").alias("error"), F.when(F.col("lang") != spoken, F.col("url")).alias("found_url")
+    )
+    sample, links = sample.select("id"), links.select("id")
     return de.link_audit(sample, links, checks).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
