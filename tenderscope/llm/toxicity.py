@@ -1,17 +1,21 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all terms.
-
-A text's terms are its words and the beginnings of its longer words, which catch
-inflected and compounded insults. Every term of the labelled examples (a bounded sample
-of distinct texts) is in the index; no term is left out for being rare or frequent. Its
-weight is its inverse document frequency over all rows times how far the labels of the
-examples that hold it stray from all examples' (a log odds ratio drawn to zero where
-examples or distinct preceding words are few, and never zero). Equal vectors are one
-example with a count. Lists are opened from the rarest terms on; by Cauchy-Schwarz over
-classes of frequency, a search stops when only few examples can still be among the
-nearest ``NEAREST``, and these are then compared in full: the neighbours are exact.
-Neighbours vote with the inverse of their distance; what is missing votes as the
-examples without any term do, at distance one. An isotonic fit on the examples, each
-judged without itself, calibrates.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Terms are words; a term weighs its damped count times its inverse document frequency over
+all rows, and all terms of the labelled examples (a bounded sample of distinct texts) are
+in the index. Equal vectors are one example with a count. Examples lie in blocks of
+``BLOCK``, those that share frequent terms and are of like length next to each other. The
+lists of the ``LONG`` most held terms are laid out by block, with the largest weight of each
+block. Searches go in chunks: the short lists are added up, then the blocks of the texts'
+own group are opened for all of a chunk in one product; another block is opened only if
+what it holds plus its block maxima can reach the nearest ``NEAREST`` of some text of the
+chunk. What may be among the nearest is summed again in double precision: the neighbours
+are exact.
+
+Neighbours vote with the inverse of their distance, times how far the labels of the terms
+they share with the text stray from all examples' (a log odds ratio drawn to zero where
+examples or distinct preceding words are few, and never zero). What is missing votes as the
+examples without any term do, at distance one. An isotonic fit on the examples, each judged
+without itself, calibrates.
 
 Defined cases
 - Null or empty texts, and texts without a term of the examples: the calibrated background score.
@@ -25,54 +29,38 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderscope.llm.common import cut_lineage, hash_words, mix64, word_table
+from tenderscope.llm.common import cut_lineage, hash_words, word_table
 
 #: ASCII but letters and digits parts words; a sign stays a part of neither.
 WORDS = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
-#: Lengths, in bytes, of the word beginnings that are terms.
-STEMS = (4, 5, 6)
-#: Bound of the labelled sample, in distinct texts (those with the smallest hashes).
-EXAMPLES = 20_000
+#: Bounds of the labelled sample: distinct texts (those with the smallest hashes), and their characters together.
+EXAMPLES, CHARACTERS = 20_000, 1 << 27
 #: Weight, in examples, of the share of all examples in a term's own share; and what every term weighs at least.
 PRIOR, FLOOR = 5.0, 0.02
 #: Standard errors taken off the log odds ratio.
-DOUBT = 0.5
+DOUBT = 1.5
 #: Distinct words before a term are told apart up to this many.
 CONTEXTS = 64
-NEAREST = 25
-#: Examples that hold a term, for the classes of frequency in which lists are opened.
-CLASSES = (256, 512, 1024, 2048, 4096)
-#: The class from which lists are added up one by one.
-LOOP = 1
+NEAREST = 64
+#: Examples in a block, terms with lists by block, texts searched at once, and terms by which examples are laid next to each other.
+BLOCK, LONG, CHUNK, COVER = 64, 256, 32, 16
+#: More than single precision can be off by in a cosine.
+NEAR = 2e-5
 #: Terms in a packed piece of the document frequencies, and examples whose terms are counted at once.
-PIECE, SLICE = 1 << 14, 256
-
-
-def term_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all terms of a text with repetitions, the number of the word of each, and the words' own hashes."""
-    raw = (text or "").encode()
-    words, start = hash_words(raw, WORDS)
-    if not words.size:
-        return words, start, words
-    b = np.frombuffer(raw.translate(WORDS) + b" " * (max(STEMS) + 1), dtype=np.uint8)
-    out, at = [words], [np.arange(words.size)]
-    value, alive = np.zeros(words.size, dtype=np.uint64), np.ones(words.size, dtype=bool)
-    for k in range(max(STEMS)):
-        c = b[start + k]
-        alive &= c > 0x20
-        value = value * np.uint64(0x100000001B3) + c
-        if k + 1 in STEMS:
-            longer = np.flatnonzero(alive & (b[start + k + 1] > 0x20))  # a word that is its own beginning adds nothing
-            out.append(mix64(value[longer] ^ np.uint64(0xA5A5_0000 + k)))
-            at.append(longer)
-    return np.concatenate(out), np.concatenate(at), words
+PIECE, SLICE = 1 << 14, 512
+
+
+def term_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text in order."""
+    return hash_words((text or "").encode(), WORDS)[0]
 
 
 class Terms:
@@ -83,7 +71,7 @@ class Terms:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms in a text and how often each stands there."""
-        h, n = np.unique(term_hashes(text)[0], return_counts=True)
+        h, n = np.unique(term_hashes(text), return_counts=True)
         if not h.size or not self.hashes.size:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), self.hashes.size - 1)
@@ -106,25 +94,43 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - first, length) + np.arange(length.sum())
 
 
+def _groups(terms: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each example, by the first of ``COVER`` terms that each hold the most of what is left; and these terms."""
+    length = np.array([len(t) for t in terms], dtype=np.int64)
+    group, cover = np.full(length.size, COVER), []
+    if length.size:
+        flat, owner = np.concatenate([np.asarray(t) for t in terms]), np.repeat(np.arange(length.size), length)
+        for k in range(COVER):
+            left = group[owner] == COVER
+            if not left.any():
+                break
+            cover.append(int(np.bincount(flat[left], minlength=size).argmax()))
+            group[owner[left & (flat == cover[-1])]] = k
+    return group, np.array(cover, dtype=np.int64)
+
+
 class Index:
-    """Inverted index of the examples, and their votes."""
+    """Block-max inverted index of the examples, and their votes."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[tuple, tuple, int, int, int]]):
-        """idf: the weight of each term; examples: (terms, counts, toxic, all, smallest id) of each distinct vector, the empty one among them."""
+    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[tuple, tuple, int, int, int]], strength: np.ndarray | None = None):
+        """idf, strength: of each term; examples: (terms, counts, toxic, all, smallest id) of each distinct vector, the empty one among them."""
         self.terms, self.idf = terms, idf
+        self.strength = np.ones(idf.size) if strength is None else strength
         kept = sorted((e for e in examples if len(e[0])), key=lambda e: e[4])
         empty = [e for e in examples if not len(e[0])]
-        self.toxic, self.all = np.array([e[2] for e in kept], dtype=float), np.array([e[3] for e in kept], dtype=float)
-        self.ids = [e[4] for e in kept]
-        everyone = self.toxic.sum() + sum(e[2] for e in empty), self.all.sum() + sum(e[3] for e in empty)
+        everyone = sum(e[2] for e in examples), sum(e[3] for e in examples)
         self.rate = (everyone[0] + 0.5) / (everyone[1] + 1)
         far = sum(e[2] for e in empty), sum(e[3] for e in empty)
         self.background = (far[0] + self.rate) / (far[1] + 1)  # share of toxic examples without a term
+        group, self.cover = _groups([e[0] for e in kept], idf.size)
+        order = np.lexsort(([len(e[0]) for e in kept], group)) if kept else []
+        kept, self.group = [kept[i] for i in order], group[order] if kept else group
+        self.toxic, self.all = np.array([e[2] for e in kept], dtype=float), np.array([e[3] for e in kept], dtype=float)
+        self.ids = [e[4] for e in kept]
         # by example: terms, and the number of their count among the distinct counts
-        length = np.array([len(e[0]) for e in kept], dtype=np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(length)))
-        self.term = np.concatenate([np.asarray(e[0], dtype=np.int32) for e in kept]) if kept else np.empty(0, dtype=np.int32)
-        counts = np.concatenate([np.asarray(e[1], dtype=np.int32) for e in kept]) if kept else np.empty(0, dtype=np.int32)
+        self.begin = np.cumsum([0] + [len(e[0]) for e in kept])
+        self.term = np.concatenate([np.empty(0, dtype=np.int32)] + [np.asarray(e[0], dtype=np.int32) for e in kept])
+        counts = np.concatenate([np.empty(0, dtype=np.int32)] + [np.asarray(e[1], dtype=np.int32) for e in kept])
         self.counts = np.unique(counts)
         self.code = np.searchsorted(self.counts, counts).astype(np.min_scalar_type(self.counts.size))
         self.x = self.y = np.array([])
@@ -132,115 +138,149 @@ class Index:
 
     def _lists(self) -> None:
         """All that follows from the examples' terms."""
-        idf, length, kept = self.idf, np.diff(self.begin), self.ids
+        n = len(self.ids)
         self.damped = 1 + np.log(self.counts)
-        # by term: examples
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
+        weight = self.damped[self.code] * self.idf[self.term]
+        self.length = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
+        weight /= self.length[owner]
+        # by term: examples in order, and the term's part in each unit vector
         order = np.argsort(self.term, kind="stable")
-        self.example = np.repeat(np.arange(len(kept), dtype=np.int32), length)[order]
-        self.share = self.damped[self.code[order]]  # the part of the count and of the vector's length in the cosine
-        self.held = np.bincount(self.term, minlength=idf.size)
+        self.example, self.share = owner[order], weight[order]
+        self.held = np.bincount(self.term, minlength=self.idf.size)
         self.first = np.cumsum(self.held) - self.held
-        self.kind = np.searchsorted(CLASSES, self.held).astype(np.int8)
-        # an example's frequent terms stand last; where those above each class begin
-        self.tail = np.zeros((len(CLASSES) + 1, len(kept)), dtype=np.int64)
-        # lengths of the vectors, and of their parts in each class as shares of them
-        parts = np.zeros((len(CLASSES) + 1, len(kept)))
-        for i in range(len(kept)):
-            at = slice(self.begin[i], self.begin[i + 1])
-            w = self.damped[self.code[at]] * idf[self.term[at]]
-            kind = self.kind[self.term[at]]
-            parts[:, i] = np.bincount(kind, w * w, minlength=len(parts))
-            self.tail[:, i] = self.begin[i] + np.cumsum(np.bincount(kind, minlength=len(parts)))
-            last = np.argsort(kind, kind="stable")
-            self.term[at], self.code[at] = self.term[at][last], self.code[at][last]
-        self.length = np.sqrt(parts.sum(0))
-        self.parts = np.sqrt(parts) / self.length
-        self.share /= self.length[self.example]
-        self.spread = np.zeros(0)
+        del order, owner, weight
+        # the longest lists by block: a column for each example, and the largest weight in each block
+        self.blocks = -(-n // BLOCK)
+        long = np.argsort(-self.held, kind="stable")[:LONG]
+        long = long[self.held[long] > BLOCK]
+        self.row = np.full(self.idf.size, -1, dtype=np.int32)
+        self.row[long] = np.arange(long.size)
+        self.rows = np.zeros((self.blocks * BLOCK, long.size))
+        for i, t in enumerate(long.tolist()):
+            at = slice(self.first[t], self.first[t] + self.held[t])
+            self.rows[self.example[at], i] = self.share[at]
+        self.columns = np.ascontiguousarray(self.rows.T, dtype=np.float32)
+        self.most = self.columns.reshape(long.size, self.blocks, BLOCK).max(2, initial=0)
+        self.looked = self.opened = 0  # blocks of searches, and blocks opened
 
     def __getstate__(self) -> dict:
         """What is sent: the lists are built again where they arrive."""
-        sent = ("terms", "idf", "toxic", "all", "ids", "rate", "background", "begin", "counts", "code", "x", "y")
+        sent = ("terms", "idf", "strength", "toxic", "all", "ids", "rate", "background", "begin", "counts", "code", "cover", "group", "x", "y")
         return {k: self.__dict__[k] for k in sent} | {"code": zlib.compress(self.code.tobytes(), 1), "kind": self.code.dtype.str, "steps": zlib.compress(np.diff(self.term, prepend=np.int32(0)).tobytes(), 1)}
 
     def __setstate__(self, state: dict) -> None:
         code, kind, steps = state.pop("code"), state.pop("kind"), state.pop("steps")
         self.__dict__.update(state)
-        self.code = np.frombuffer(zlib.decompress(code), dtype=kind).copy()
+        self.code = np.frombuffer(zlib.decompress(code), dtype=kind)
         self.term = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.int32), dtype=np.int32)
         self._lists()
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        w = (1 + np.log(counts)) * (self.idf[terms] if weights is None else weights)
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[terms]
         return w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines: the nearest until ``NEAREST`` labelled texts are covered, ties with the last included.
-
-        ``weights``: the text's own weights of its terms, where they differ from the index's.
-        """
-        if not terms.size or not self.ids:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        own = self.vector(terms, counts, weights)
-        gain, kind, held = own * self.idf[terms], self.kind[terms], self.held[terms]
-        mine = np.sqrt(np.bincount(kind, own * own, minlength=len(self.parts)))
-        left = np.bincount(kind, held, minlength=len(self.parts))
-        score, some = np.zeros(len(self.ids)), None
-        for k in np.flatnonzero(left).tolist():
-            here = np.flatnonzero(kind == k)
-            if k < LOOP:
-                at = _ranges(self.first[terms[here]], held[here])
-                score += np.bincount(self.example[at], np.repeat(gain[here], held[here]) * self.share[at], minlength=score.size)
-            else:  # an example stands once in a list
-                for a, n, g in zip(self.first[terms[here]].tolist(), held[here].tolist(), gain[here].tolist()):
-                    score[self.example[a : a + n]] += g * self.share[a : a + n]
-            left[k] = 0
-            if left.sum() < 2 * score.size or score.size <= NEAREST + 1:
-                continue
-            # NEAREST besides the text itself reach this already
-            least = np.partition(score, -NEAREST - 1)[-NEAREST - 1] - 1e-9
-            may = np.flatnonzero(score + mine[k + 1 :] @ self.parts[k + 1 :] >= least)
-            if 2 * (self.begin[may + 1] - self.tail[k, may]).sum() < left.sum():
-                some = may
-                break
-        if some is None:
-            found = np.flatnonzero(score)
-            cosines = score[found]
-        else:
-            if self.spread.size != self.idf.size:
-                self.spread = np.zeros(self.idf.size)
-            self.spread[terms] = gain
-            size = self.begin[some + 1] - self.tail[k, some]
-            at = _ranges(self.tail[k, some], size)
-            rest = np.bincount(np.repeat(np.arange(some.size), size), self.spread[self.term[at]] * self.damped[self.code[at]], minlength=some.size)
-            cosines = score[some] + rest / self.length[some]
-            self.spread[terms] = 0
-            found, cosines = some[cosines > 0], cosines[cosines > 0]
-        if without >= 0 and self.all[without] <= 1:
-            found, cosines = found[found != without], cosines[found != without]
-        if found.size > 4 * NEAREST:  # each covers at least one text
-            good = cosines >= np.partition(cosines, -NEAREST - 1)[-NEAREST - 1] - 1e-9
-            found, cosines = found[good], cosines[good]
-        rank = np.lexsort((found, -cosines))
-        found, cosines = found[rank], cosines[rank]
-        covered = np.cumsum(self.all[found] - (found == without))
-        if found.size and covered[-1] >= NEAREST:
-            keep = cosines >= cosines[np.searchsorted(covered, NEAREST)] - 1e-9
-            found, cosines = found[keep], cosines[keep]
-        return found, cosines
-
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1, weights: np.ndarray | None = None) -> tuple[float, list[tuple[int, float]]]:
-        """The distance-weighted share of toxic neighbours, and the neighbours."""
-        found, cosines = self.nearest(terms, counts, without, weights)
-        toxic, every = self.toxic[found].copy(), self.all[found].copy()
-        if without >= 0:
-            me = found == without
-            toxic[me] -= toxic[me] / np.maximum(every[me], 1)
-            every[me] -= 1
-        weight = 1 / (1 - np.minimum(cosines, 1) + 0.05)
-        missing = max(NEAREST - every.sum(), 1)  # what is missing votes as the background does, from distance one
-        total = (weight * every).sum() + missing / 1.05
-        return float(((weight * toxic).sum() + missing / 1.05 * self.background) / total), [(self.ids[i], float(c)) for i, c in zip(found[:3], cosines[:3])]
+    def _home(self, terms: np.ndarray) -> int:
+        has = np.flatnonzero(np.isin(self.cover, terms))
+        return int(has[0]) if has.size else COVER
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines: the nearest until ``NEAREST`` labelled texts are covered, ties with the last included."""
+        return self.search([(terms, counts)], [without])[0]
+
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of many texts; ``without``: an example each that is not to count once (-1: none)."""
+        out: list = [(np.empty(0, dtype=np.int64), np.empty(0))] * len(texts)
+        if not self.ids:
+            return out
+        home = [self._home(t) for t, _ in texts]
+        order = sorted((i for i in range(len(texts)) if texts[i][0].size), key=home.__getitem__)
+        for group, members in groupby(order, key=home.__getitem__):
+            members = list(members)
+            for lo in range(0, len(members), CHUNK):
+                part = members[lo : lo + CHUNK]
+                found = self._chunk([texts[i] for i in part], [without[i] if without else -1 for i in part], group)
+                for i, f in zip(part, found):
+                    out[i] = f
+        return out
+
+    def _chunk(self, texts: list, without: list[int], home: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, width = len(self.ids), self.blocks * BLOCK
+        short, gains = np.empty((len(texts), width)), np.zeros((len(texts), self.columns.shape[0]))
+        for q, (terms, counts) in enumerate(texts):
+            gain, row = self.vector(terms, counts), self.row[terms]
+            long = row >= 0
+            gains[q, row[long]] = gain[long]
+            terms, gain = terms[~long], gain[~long]
+            at = _ranges(self.first[terms], self.held[terms])
+            short[q] = np.bincount(self.example[at], np.repeat(gain, self.held[terms]) * self.share[at], minlength=width)
+        score, single = short.astype(np.float32), gains.astype(np.float32)
+        used = np.flatnonzero(single.any(0))
+        # the blocks of the texts' own group
+        a, b = np.searchsorted(self.group, home) // BLOCK, -(-np.searchsorted(self.group, home, "right") // BLOCK)
+        opened = np.zeros(self.blocks, dtype=bool)
+        opened[a:b] = True
+        score[:, a * BLOCK : b * BLOCK] += single[:, used] @ self.columns[used, a * BLOCK : b * BLOCK]
+        # NEAREST besides the text itself reach this already
+        rank = min(NEAREST + 1, n)
+        least = np.partition(score[:, :n], n - rank, axis=1)[:, n - rank] - NEAR
+        may = score.reshape(len(texts), self.blocks, BLOCK).max(2) + single[:, used] @ self.most[used] >= least[:, None]
+        more = np.flatnonzero(may.any(0) & ~opened)
+        if more.size:
+            opened[more] = True
+            at = (more[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score[:, at] += single[:, used] @ self.columns[np.ix_(used, at)]
+            least = np.partition(score[:, :n], n - rank, axis=1)[:, n - rank] - NEAR
+        self.looked, self.opened = self.looked + self.blocks * len(texts), self.opened + int(opened.sum()) * len(texts)
+        out = []
+        for q, me in enumerate(without):
+            found = np.flatnonzero(score[q, :n] >= max(least[q], 0))
+            cosines = short[q, found] + self.rows[found] @ gains[q]
+            found, cosines = found[cosines > 0], cosines[cosines > 0]
+            if me >= 0 and self.all[me] <= 1:
+                found, cosines = found[found != me], cosines[found != me]
+            best = np.lexsort((found, -cosines))
+            found, cosines = found[best], cosines[best]
+            covered = np.cumsum(self.all[found] - (found == me))
+            if found.size and covered[-1] >= NEAREST:
+                keep = cosines >= cosines[np.searchsorted(covered, NEAREST)] - 1e-9
+                found, cosines = found[keep], cosines[keep]
+            out.append((found, cosines))
+        return out
+
+    def _telling(self, found: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Of some examples, the sum of ``values`` of these terms times their parts in the unit vector."""
+        row = self.row[terms]
+        long = row >= 0
+        out = self.rows[found[:, None], row[long]] @ values[long]
+        terms, values = terms[~long], values[~long]
+        held = self.held[terms]
+        at = _ranges(self.first[terms], held)
+        place = np.full(len(self.ids), found.size)
+        place[found] = np.arange(found.size)
+        return out + np.bincount(place[self.example[at]], np.repeat(values, held) * self.share[at], minlength=found.size + 1)[:-1]
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None, strengths: list[np.ndarray] | None = None) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Of each text the weighted share of toxic neighbours, and the three that share the most telling terms. ``strengths``: of the texts' terms, where they differ from the index's."""
+        out = []
+        for q, (found, cosines) in enumerate(self.search(texts, without)):
+            (terms, counts), me = texts[q], without[q] if without else -1
+            toxic, every = self.toxic[found].copy(), self.all[found].copy()
+            if me >= 0:
+                self_ = found == me
+                toxic[self_] -= toxic[self_] / np.maximum(every[self_], 1)
+                every[self_] -= 1
+            told = weight = 1 / (1 - np.minimum(cosines, 1) + 0.05)
+            if found.size:
+                more = (self.strength[terms] if strengths is None else strengths[q]) - FLOOR
+                some = more > 0
+                told = FLOOR * cosines + self._telling(found, terms[some], self.vector(terms, counts)[some] * more[some])
+                weight = weight * told / cosines
+            missing = max(NEAREST - every.sum(), 1) * FLOOR / 1.05  # what is missing votes as the background does, from distance one
+            total = (weight * every).sum() + missing
+            heaviest = np.argsort(-told, kind="stable")[:3]  # of equal ones the nearer
+            out.append((float(((weight * toxic).sum() + missing * self.background) / total), [(self.ids[found[i]], float(cosines[i])) for i in heaviest]))
+        return out
 
     def calibrate(self, points: list[tuple[float, float, float]]) -> None:
         """Isotonic fit (pool adjacent violators) of (vote, toxic, all) of the examples, each judged without itself."""
@@ -256,14 +296,27 @@ class Index:
     def score(self, vote: float) -> float:
         return float(np.interp(vote, self.x, self.y)) if self.x.size else self.rate
 
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and evidence of each text; equal texts are searched once in every ``SLICE``."""
+        out = []
+        for lo in range(0, len(texts), SLICE):
+            part = texts[lo : lo + SLICE]
+            once = {t or "": 0 for t in part}
+            for t, (vote, near) in zip(once, self.votes([self.terms.of(t) for t in once])):
+                once[t] = (self.score(vote), near)
+            out += [once[t or ""] for t in part]
+        return out
+
 
 def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """``t, toxic, n, id``: the sample of distinct labelled texts."""
     y = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("y"))
     d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    hashed = d.select("__id", F.xxhash64("t").alias("h")).join(y, "__id")
-    per = hashed.groupBy("h").agg(F.sum("y").cast("long").alias("toxic"), F.count(F.lit(1)).alias("n"), F.min("__id").alias("__id"))
+    hashed = d.select("__id", F.xxhash64("t").alias("h"), F.length("t").cast("long").alias("size")).join(y, "__id")
+    per = hashed.groupBy("h").agg(F.sum("y").cast("long").alias("toxic"), F.count(F.lit(1)).alias("n"), F.min("__id").alias("__id"), F.max("size").alias("size"))
     chosen = per.orderBy("h").limit(most)
+    running = F.sum("size").over(Window.orderBy("h"))  # over ``most`` rows
+    chosen = chosen.withColumn("upto", running).where((F.col("upto") <= CHARACTERS) | (F.col("upto") == F.col("size"))).drop("size", "upto")
     # EXAMPLES rows at most; a repeated id brings the text of that hash only
     found = d.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["__id", "h"]).dropDuplicates(["h"])
     return cut_lineage(found.select("t", "toxic", "n", F.col("__id").cast("long").alias("id")))
@@ -278,8 +331,8 @@ def _statistics(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
             for lo in range(0, len(batch), SLICE):
                 part, term, bit, here, toxic = batch[lo : lo + SLICE], [], [], [], []
                 for text, y, n in zip(part["t"], part["toxic"], part["n"]):
-                    h, word, words = term_hashes(text)
-                    before = np.where(word > 0, words[np.maximum(word - 1, 0)], np.uint64(0)) if h.size else h
+                    h = term_hashes(text)
+                    before = np.concatenate((np.zeros(min(h.size, 1), dtype=np.uint64), h[:-1]))
                     term.append(h)
                     bit.append(np.uint64(1) << (before % np.uint64(CONTEXTS)))
                     once = np.unique(h)
@@ -366,26 +419,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
     del merged
     total = sum(e[3] for e in found), sum(e[2] for e in found)
     rate = (total[1] + 0.5) / (total[0] + 1)
-    index = Index(terms, idf * significance(held, bad, contexts, rate), found)
+    index = Index(terms, idf, found, significance(held, bad, contexts, rate))
     bare = [(index.background, float(e[2]), float(e[3])) for e in found if not e[0].size]
     del found
     built = docs.sparkSession.sparkContext.broadcast(index)
-    counted = docs.sparkSession.sparkContext.broadcast((idf, held, bad, contexts))
+    counted = docs.sparkSession.sparkContext.broadcast((held, bad, contexts))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, (idf, held, bad, contexts) = built.value, counted.value
+        here, (held, bad, contexts) = built.value, counted.value
         for batch in batches:
-            votes = []
-            for i in batch["id"]:
+            texts, strengths, ids = [], [], batch["id"].tolist()
+            for i in ids:
                 at = slice(here.begin[i], here.begin[i + 1])
-                t, c, y = here.term[at], here.counts[here.code[at]], here.toxic[i] / here.all[i]
-                # the text's own label is no evidence here, and terms that only it holds are unknown
-                others = held[t] > 1
-                t, c = t[others], c[others]
+                t, y = here.term[at], here.toxic[i] / here.all[i]
+                texts.append((t, here.counts[here.code[at]]))
+                # the text's own label is no evidence here
                 less = held[t] - 1
-                weights = idf[t] * significance(less, np.clip(bad[t] - y, 0, less), contexts[t], rate)
-                votes.append(here.vote(t, c, i if len(t) else -1, weights)[0])
-            yield pd.DataFrame({"vote": votes, "toxic": here.toxic[batch["id"]], "n": here.all[batch["id"]]})
+                strengths.append(significance(less, np.clip(bad[t] - y, 0, less), contexts[t], rate))
+            votes = [v for v, _ in here.votes(texts, ids, strengths)]
+            yield pd.DataFrame({"vote": votes, "toxic": here.toxic[ids], "n": here.all[ids]})
 
     numbers = docs.sparkSession.range(len(index.ids), numPartitions=docs.sparkSession.sparkContext.defaultParallelism)
     judged = numbers.mapInPandas(judge, "vote double, toxic double, n double").toArrow()  # three numbers for each of at most EXAMPLES
@@ -395,7 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
 
 def score(docs: DataFrame, index: Index, text_col: str = "text", keep: list[str] | None = None, evidence: bool = True) -> DataFrame:
     """``docs``' columns named in ``keep`` (all by default), ``score`` and, if wanted, ``evidence``:
-    ids and cosines of the nearest labelled examples. Own columns of these names give way."""
+    ids and cosines of the neighbours that share the most telling terms. Own columns of these names give way."""
     made = ["score"] + (["evidence"] if evidence else [])
     stay = [c for c in (keep if keep is not None else docs.columns) if c not in made]
     lead = docs.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text_col}`").alias("__text"))
@@ -406,21 +458,11 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", keep: list[str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here = sent.value
-        known: dict[tuple[bytes, bytes], tuple[float, list]] = {}
         for batch in batches:
-            out = []
-            for text in batch.pop("__text"):
-                terms, counts = here.terms.of(text)
-                key = terms.tobytes(), counts.tobytes()
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    vote, nearest = here.vote(terms, counts)
-                    known[key] = here.score(vote), [{"id": i, "cosine": c} for i, c in nearest]
-                out.append(known[key])
-            batch["score"] = [o[0] for o in out]
+            got = here.judge(batch.pop("__text").tolist())
+            batch["score"] = [g[0] for g in got]
             if evidence:
-                batch["evidence"] = [o[1] for o in out]
+                batch["evidence"] = [[{"id": i, "cosine": c} for i, c in g[1]] for g in got]
             yield batch
 
     return lead.mapInPandas(run, schema)
@@ -434,6 +476,6 @@ def score_column(spark: SparkSession, index: Index, text: Column) -> Column:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         here = sent.value
         for texts in batches:
-            yield pd.Series([here.score(here.vote(*here.terms.of(t))[0]) for t in texts], dtype=float)
+            yield pd.Series([s for s, _ in here.judge(texts.tolist())], dtype=float)
 
     return judge(text)
