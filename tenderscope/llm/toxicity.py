@@ -215,22 +215,20 @@ class Index:
             at = _ranges(self.first[terms], self.held[terms])
             short[q] = np.bincount(self.example[at], np.repeat(gain, self.held[terms]) * self.share[at], minlength=width)
         score, single = short.astype(np.float32), gains.astype(np.float32)
-        used = np.flatnonzero(single.any(0))
         # the blocks of the texts' own group
         a, b = np.searchsorted(self.group, home) // BLOCK, -(-np.searchsorted(self.group, home, "right") // BLOCK)
         opened = np.zeros(self.blocks, dtype=bool)
         opened[a:b] = True
-        score[:, a * BLOCK : b * BLOCK] += single[:, used] @ self.columns[used, a * BLOCK : b * BLOCK]
+        score[:, a * BLOCK : b * BLOCK] += single @ self.columns[:, a * BLOCK : b * BLOCK]
         # NEAREST besides the text itself reach this already
         rank = min(NEAREST + 1, n)
         least = np.partition(score[:, :n], n - rank, axis=1)[:, n - rank] - NEAR
-        may = score.reshape(len(texts), self.blocks, BLOCK).max(2) + single[:, used] @ self.most[used] >= least[:, None]
+        may = score.reshape(len(texts), self.blocks, BLOCK).max(2) + single @ self.most >= least[:, None]
         more = np.flatnonzero(may.any(0) & ~opened)
-        if more.size:
-            opened[more] = True
-            at = (more[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score[:, at] += single[:, used] @ self.columns[np.ix_(used, at)]
-            least = np.partition(score[:, :n], n - rank, axis=1)[:, n - rank] - NEAR
+        opened[more] = True
+        for run in np.split(more, np.flatnonzero(np.diff(more) > 1) + 1) if more.size else ():  # blocks in a row are one product
+            at = slice(run[0] * BLOCK, (run[-1] + 1) * BLOCK)
+            score[:, at] += single @ self.columns[:, at]
         self.looked, self.opened = self.looked + self.blocks * len(texts), self.opened + int(opened.sum()) * len(texts)
         out = []
         for q, me in enumerate(without):
