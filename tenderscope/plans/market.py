@@ -8,11 +8,12 @@ from tenderscope.functions.dates import SHORT, month_label
 from tenderscope.functions.text import IES_WORDS, is_university
 from tenderscope.operators import market as mk, tables as tb
 from tenderscope.operators.cleaning import awarded_lines
-from tenderscope.operators.ranks import top_n_per
+from tenderscope.operators.ranks import running_totals, top_n_per
 from tenderscope.plans import inputs as inp
 from tenderscope.plans.cleaning import mega_processes
 from tenderscope.plans.inputs import table, with_views
 from tenderscope.plans.registry import query
+from tenderscope.session import cut_lineage
 
 LABEL_SQL = "([" + ", ".join(f"'{m}'" for m in SHORT) + "])[month(month)] || ' ' || year(month)"
 
@@ -495,16 +496,17 @@ def month_profile_by_year(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def peer_rank(spark: SparkSession, d: str) -> DataFrame:
-    t = mk.supplier_totals(inp.market(spark, d, "supplier_id", "supplier_name", "value"))
-    anchor = t.where(F.col("supplier_name").rlike("0" + inp.ANCHOR)).orderBy("supplier_id").limit(1)
-    peers = t.where(F.col("supplier_name").rlike(inp.PEER) & ~F.col("supplier_name").rlike(inp.ANCHOR))
-    mine = anchor.select("value").scalar()
-    higher = peers.where(F.col("value") > mine).agg(F.count(F.lit(1))).scalar()
-    return anchor.select(
+    t = cut_lineage(mk.supplier_totals(inp.market(spark, d, "supplier_id", "supplier_name", "value")))
+    anchor = F.col("supplier_name").rlike("0" + inp.ANCHOR)
+    peer = F.col("supplier_name").rlike(inp.PEER) & ~F.col("supplier_name").rlike(inp.ANCHOR)
+    anchors = t.where(anchor)  # larger tables hold many
+    freq = t.where(anchor | peer).groupBy("value").agg(F.count_if(peer).alias("_n"))
+    run = running_totals(freq, "value", [], {"_upto": "_n"}, grouped=True)
+    return anchors.join(run, "value").select(
         "supplier_id",
         F.col("value").cast("double").alias("value"),
-        (1 + higher).alias("peer_rank"),
-        (1 + peers.agg(F.count(F.lit(1))).scalar()).alias("n_peers"),
+        (1 + F.col("_upto") - F.col("_n")).alias("peer_rank"),
+        (1 + t.agg(F.count_if(peer)).scalar()).alias("n_peers"),
     )
 
 
