@@ -56,3 +56,15 @@ def test_kind_of_a_call_follows_its_funding_source(spark, changed):
     texts = "case when doc_id % 5 = 1 then 'Beca de doctorado. ' || text when doc_id % 5 = 2 then null when doc_id % 5 = 3 then 'movilidad regalías' else text end"
     folder = changed(documents=f"select * replace ({texts} as text, case when doc_id % 7 = 3 then null when doc_id % 7 = 5 then ' ' else source end as source) from '{{f}}'")
     assert len(agree(spark, folder, "panorama_by_type")) == 2
+
+
+def test_edges_shuffle_only_what_is_asked(spark, data):
+    from tenderscope.operators import network as nw
+    from tenderscope.plans import network as plan
+
+    lean = plan.edges(spark, data, ["supplier_name", "n_processes"])
+    text = lean._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in text and "p_type" not in text and "s_nationkey" in text
+    full = plan.edges(spark, data).orderBy("buyer", "supplier_id")
+    again = nw.with_modes(lean, plan.net_lines(spark, data)).select(full.columns).orderBy("buyer", "supplier_id")
+    assert again.collect() == full.collect()
