@@ -42,8 +42,6 @@ SKETCH, TREES, DEPTH = 64, 10, 8
 #: Agreeing coordinates from which full sets are compared: 4.8 standard deviations below the threshold.
 AGREE = 31
 MOST_DOCS, MOST_SHINGLES = 2048, 4 << 20
-#: Documents to which all others are compared in a node that no branching makes small.
-PIVOTS = 64
 
 _FACTORS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -91,7 +89,8 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 
 def _branch(rows: DataFrame, ways: int, roots: bool) -> DataFrame:
-    """``node, rep, n`` of the children of ``node, rep, n, sketch``: ``ways`` coordinates each, chosen by the node."""
+    """``node, rep, n, root`` of the children of ``node, rep, n, sketch, root``: ``ways`` coordinates each, chosen by the node.
+    The first nodes are the roots of their trees."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,9 +98,10 @@ def _branch(rows: DataFrame, ways: int, roots: bool) -> DataFrame:
             node, line = batch["node"].to_numpy(), np.arange(len(batch))
             for k in range(ways):
                 c = np.full(len(batch), k) if roots else (mix64(node.astype(np.uint64) + np.uint64(k)) % np.uint64(SKETCH)).astype(np.int64)
-                yield pd.DataFrame({"node": _path(node, c, sketch[line, c]), "rep": rep, "n": n})
+                child = _path(node, c, sketch[line, c])
+                yield pd.DataFrame({"node": child, "rep": rep, "n": n, "root": child if roots else batch["root"].to_numpy()})
 
-    return rows.mapInPandas(run, "node long, rep long, n long")
+    return rows.mapInPandas(run, "node long, rep long, n long, root long")
 
 
 def _nodes(members: DataFrame) -> DataFrame:
@@ -114,10 +114,11 @@ def _nodes(members: DataFrame) -> DataFrame:
 def tree_nodes(reps: DataFrame) -> DataFrame:
     """``node, rep``: the small nodes of all trees.
 
-    Where ``DEPTH`` branchings leave a node large, its members are dealt into parts,
-    and ``PIVOTS`` of them are in every part.
+    What ``DEPTH`` branchings leave in large nodes is gathered by tree (by its first node), dealt
+    into parts, and every two parts make a node: no two of them stay apart, and no node grows.
     """
-    level = cut_lineage(_nodes(_branch(reps.withColumn("node", F.lit(0).cast("long")), TREES, True)))
+    zero = F.lit(0).cast("long")
+    level = cut_lineage(_nodes(_branch(reps.withColumns({"node": zero, "root": zero}), TREES, True)))
     done = level.where("small").select("node", "rep")
     for depth in range(DEPTH):
         large = level.where(~F.col("small"))
@@ -125,15 +126,15 @@ def tree_nodes(reps: DataFrame) -> DataFrame:
             return done
         if depth == DEPTH - 1:
             break
-        rows = large.select("node", "rep").join(reps, "rep").select("node", "rep", "n", "sketch")
+        rows = large.select("node", "rep", "root").join(reps, "rep").select("node", "rep", "n", "sketch", "root")
         level = cut_lineage(_nodes(_branch(rows, 2, False)))
         done = done.unionByName(level.where("small").select("node", "rep"))
-    parts = F.greatest(F.ceil(F.col("docs") / (MOST_DOCS // 2)), F.ceil(F.col("held") / MOST_SHINGLES)).cast("int")
-    dealt = large.withColumn("parts", parts).withColumn("h", F.xxhash64("rep", "node"))
-    slots = dealt.groupBy("node", "parts", F.pmod("h", F.lit(PIVOTS)).alias("slot")).agg(F.min_by("rep", "h").alias("rep"))
-    pivots = slots.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    every = dealt.select("node", "rep", F.pmod("h", F.col("parts")).cast("int").alias("part")).unionByName(pivots)
-    return done.unionByName(every.select(F.xxhash64("node", "part").alias("node"), "rep").distinct())
+    left = cut_lineage(large.select(F.col("root").alias("node"), "rep", "n").distinct())
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / (MOST_DOCS // 2)), F.ceil(F.sum("n") / (MOST_SHINGLES // 2))).cast("int")
+    dealt = left.join(left.groupBy("node").agg(parts.alias("parts")), "node").withColumn("part", F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("part")) | (F.col("parts") == 1))
+    every = dealt.select("node", "rep", "part", F.explode(others).alias("other"))
+    return done.unionByName(every.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "rep"))
 
 
 class _Union:

@@ -88,3 +88,14 @@ def test_keep_one_of_a_repeated_id_whatever_the_order(spark, prose):
     for parts in (1, 3):
         got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, stay__ string, nth__ int").repartition(parts)).collect()
         assert sorted((r["doc_id"] or 0, r["stay__"]) for r in got) == [(0, "n"), (0, "n"), (1, "y")]
+
+
+def test_no_two_members_of_a_large_node_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "MOST_DOCS", 4)
+    monkeypatch.setattr(near_dup, "DEPTH", 2)
+    sketch = near_dup.sketch_of(np.arange(1, 50, dtype=np.uint64))
+    reps = spark.createDataFrame([(i, 49, bytearray(sketch)) for i in range(300)], "rep long, n long, sketch binary")
+    nodes = near_dup.tree_nodes(reps).toPandas().groupby("node")["rep"].agg(list)
+    assert nodes.map(len).max() < 30
+    together = {p for m in nodes for p in itertools.combinations(sorted(set(m)), 2)}
+    assert len(together) == 300 * 299 // 2
