@@ -68,3 +68,29 @@ def test_edges_shuffle_only_what_is_asked(spark, data):
     full = plan.edges(spark, data).orderBy("buyer", "supplier_id")
     again = nw.with_modes(lean, plan.net_lines(spark, data)).select(full.columns).orderBy("buyer", "supplier_id")
     assert again.collect() == full.collect()
+
+
+def test_cells_copy_the_pool_seldom_and_rank_as_before(spark):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tenderscope.operators import matching as mt
+
+    r = np.random.default_rng(3)
+
+    def side(n, name, pre):
+        vectors = [v if i % 11 else np.array([np.nan, 1.0]) for i, v in enumerate(np.round(r.normal(size=(n, 2)), 1))]
+        return pd.DataFrame({name: np.arange(n), f"{pre}terms": [None] * n, f"{pre}weights": [None] * n, f"{pre}vector": vectors, "bonus": 0.0})
+
+    q, p = side(300, "q", "q_"), side(500, "id", "")
+    got = mt._cell_scorer(5, 1.0, 0.0, False, False, True)(q, p)
+    score = np.round(np.stack(q["q_vector"]) @ np.stack(p["vector"]).T, 6)
+    for j in range(len(q)):
+        ids = np.array([i for i in range(len(p)) if i != j])
+        want = ids[np.lexsort((ids, -score[j, ids]))[:5]]
+        assert got.loc[got["q"] == j, "id"].tolist() == want.tolist()
+    rows = spark.range(3000).select(F.col("id").alias("q"), *[F.lit(None).cast(t).alias(c) for c, t in (("terms", "array<string>"), ("weights", "array<double>"))], F.array(F.lit(1.0)).alias("vector"))
+    top = mt.grid_top_k(rows, rows.withColumnRenamed("q", "id").withColumn("bonus", F.lit(0.0)), 2)
+    plan = top._jdf.queryExecution().analyzed().toString()
+    assert "cast(1 as bigint)" in plan and "cast(11 as bigint)" not in plan  # two blocks of queries, not twelve
