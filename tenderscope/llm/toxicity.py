@@ -51,11 +51,11 @@ DOUBT = 1.5
 CONTEXTS = 64
 NEAREST = 64
 #: Examples in a block, terms with lists by block, texts searched at once, and terms by which examples are laid next to each other.
-BLOCK, LONG, CHUNK, COVER = 64, 256, 32, 16
+BLOCK, LONG, CHUNK, COVER = 64, 256, 64, 16
 #: More than single precision can be off by in a cosine.
 NEAR = 2e-5
-#: Terms in a packed piece of the document frequencies, and examples whose terms are counted at once.
-PIECE, SLICE = 1 << 14, 512
+#: Terms in a packed piece of the document frequencies, examples whose terms are counted at once, and texts judged at once.
+PIECE, SLICE, JUDGED = 1 << 14, 512, 2048
 
 
 def term_hashes(text: str | None) -> np.ndarray:
@@ -88,12 +88,6 @@ def significance(n: np.ndarray, toxic: np.ndarray, contexts: np.ndarray, rate: f
     return FLOOR + np.maximum(ratio - DOUBT * np.sqrt(1 / bad + 1 / good), 0)
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... of all ranges one after another."""
-    first = np.cumsum(length) - length
-    return np.repeat(start - first, length) + np.arange(length.sum())
-
-
 def _groups(terms: list, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The group of each example, by the first of ``COVER`` terms that each hold the most of what is left; and these terms."""
     length = np.array([len(t) for t in terms], dtype=np.int64)
@@ -180,8 +174,16 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / max(np.sqrt((w * w).sum()), 1e-300)
 
+    def _postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and parts of the lists of these terms one after another, copied range by range."""
+        at = [slice(a, b) for a, b in zip(self.first[terms].tolist(), (self.first[terms] + self.held[terms]).tolist())]
+        if not at:
+            return self.example[:0], self.share[:0].copy()
+        return np.concatenate([self.example[x] for x in at]), np.concatenate([self.share[x] for x in at])
+
     def _home(self, terms: np.ndarray) -> int:
-        has = np.flatnonzero(np.isin(self.cover, terms))
+        at = np.minimum(np.searchsorted(terms, self.cover), terms.size - 1)  # terms are sorted
+        has = np.flatnonzero(terms[at] == self.cover) if terms.size else at[:0]
         return int(has[0]) if has.size else COVER
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +214,9 @@ class Index:
             long = row >= 0
             gains[q, row[long]] = gain[long]
             terms, gain = terms[~long], gain[~long]
-            at = _ranges(self.first[terms], self.held[terms])
-            short[q] = np.bincount(self.example[at], np.repeat(gain, self.held[terms]) * self.share[at], minlength=width)
+            example, share = self._postings(terms)
+            share *= np.repeat(gain, self.held[terms])
+            short[q] = np.bincount(example, share, minlength=width)
         score, single = short.astype(np.float32), gains.astype(np.float32)
         # the blocks of the texts' own group
         a, b = np.searchsorted(self.group, home) // BLOCK, -(-np.searchsorted(self.group, home, "right") // BLOCK)
@@ -221,8 +224,10 @@ class Index:
         opened[a:b] = True
         score[:, a * BLOCK : b * BLOCK] += single @ self.columns[:, a * BLOCK : b * BLOCK]
         # NEAREST besides the text itself reach this already
-        rank = min(NEAREST + 1, n)
-        least = np.partition(score[:, :n], n - rank, axis=1)[:, n - rank] - NEAR
+        rank, lo, hi = min(NEAREST + 1, n), a * BLOCK, min(b * BLOCK, n)
+        if hi - lo < rank:
+            lo, hi = 0, n
+        least = np.partition(score[:, lo:hi], hi - lo - rank, axis=1)[:, hi - lo - rank] - NEAR
         may = score.reshape(len(texts), self.blocks, BLOCK).max(2) + single @ self.most >= least[:, None]
         more = np.flatnonzero(may.any(0) & ~opened)
         opened[more] = True
@@ -252,11 +257,9 @@ class Index:
         long = row >= 0
         out = self.rows[found[:, None], row[long]] @ values[long]
         terms, values = terms[~long], values[~long]
-        held = self.held[terms]
-        at = _ranges(self.first[terms], held)
-        place = np.full(len(self.ids), found.size)
-        place[found] = np.arange(found.size)
-        return out + np.bincount(place[self.example[at]], np.repeat(values, held) * self.share[at], minlength=found.size + 1)[:-1]
+        example, share = self._postings(terms)
+        share *= np.repeat(values, self.held[terms])
+        return out + np.bincount(example, share, minlength=len(self.ids))[found]
 
     def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None, strengths: list[np.ndarray] | None = None) -> list[tuple[float, list[tuple[int, float]]]]:
         """Of each text the weighted share of toxic neighbours, and the three that share the most telling terms. ``strengths``: of the texts' terms, where they differ from the index's."""
@@ -295,10 +298,10 @@ class Index:
         return float(np.interp(vote, self.x, self.y)) if self.x.size else self.rate
 
     def judge(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """Score and evidence of each text; equal texts are searched once in every ``SLICE``."""
+        """Score and evidence of each text; equal texts are searched once in every ``JUDGED``."""
         out = []
-        for lo in range(0, len(texts), SLICE):
-            part = texts[lo : lo + SLICE]
+        for lo in range(0, len(texts), JUDGED):
+            part = texts[lo : lo + JUDGED]
             once = {t or "": 0 for t in part}
             for t, (vote, near) in zip(once, self.votes([self.terms.of(t) for t in once])):
                 once[t] = (self.score(vote), near)
