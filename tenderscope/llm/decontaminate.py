@@ -265,4 +265,6 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     name = F.coalesce(key, F.concat(F.lit("\0"), F.sha2(F.coalesce(text, F.lit("")), 256)))
     found = find(build_index(docs.select(name.alias("name"), text.alias("text")), "name", "text"), items, window=window)
     free = free_name(docs.columns, "hit__")
-    return docs.join(found.where(F.col("n_hit") > 0).select(F.col("id").alias(free)).distinct(), name == F.col(free), "left_anti")
+    # written first, so that the planner knows their size: where they are few, the texts are not shuffled
+    hit = cut_lineage(found.where(F.col("n_hit") > 0).select(F.col("id").alias(free)).distinct())
+    return docs.join(hit, name == F.col(free), "left_anti")
