@@ -56,6 +56,8 @@ BLOCK, LONG, CHUNK, COVER = 64, 256, 64, 16
 NEAR = 2e-5
 #: Terms in a packed piece of the document frequencies, examples whose terms are counted at once, and texts judged at once.
 PIECE, SLICE, JUDGED = 1 << 14, 512, 2048
+#: Postings weighed at once.
+PART = 1 << 18
 
 
 def term_hashes(text: str | None) -> np.ndarray:
@@ -134,16 +136,23 @@ class Index:
         """All that follows from the examples' terms."""
         n = len(self.ids)
         self.damped = 1 + np.log(self.counts)
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
-        weight = self.damped[self.code] * self.idf[self.term]
-        self.length = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
-        weight /= self.length[owner]
-        # by term: examples in order, and the term's part in each unit vector
+        # by term: examples in order, and the term's part in each unit vector; no more than one array of doubles is held
         order = np.argsort(self.term, kind="stable")
-        self.example, self.share = owner[order], weight[order]
+        self.example, code = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))[order], self.code[order]
+        del order
         self.held = np.bincount(self.term, minlength=self.idf.size)
         self.first = np.cumsum(self.held) - self.held
-        del order, owner, weight
+        ends = np.cumsum(self.held)
+        self.share, self.length = np.empty(code.size), np.zeros(n)
+        parts = [slice(lo, lo + PART) for lo in range(0, code.size, PART)]
+        for at in parts:
+            term = np.searchsorted(ends, np.arange(at.start, min(at.stop, code.size)), "right")
+            self.share[at] = self.damped[code[at]] * self.idf[term]
+            self.length += np.bincount(self.example[at], self.share[at] ** 2, minlength=n)
+        self.length = np.sqrt(self.length)
+        for at in parts:
+            self.share[at] /= self.length[self.example[at]]
+        del code
         # the longest lists by block: a column for each example, and the largest weight in each block
         self.blocks = -(-n // BLOCK)
         long = np.argsort(-self.held, kind="stable")[:LONG]
