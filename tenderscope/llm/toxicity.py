@@ -56,8 +56,8 @@ BLOCK, LONG, CHUNK, COVER = 64, 256, 64, 16
 NEAR = 2e-5
 #: Terms in a packed piece of the document frequencies, examples whose terms are counted at once, and texts judged at once.
 PIECE, SLICE, JUDGED = 1 << 14, 512, 2048
-#: Postings weighed at once.
-PART = 1 << 18
+#: Scores of which only the largest is put in order.
+APART = 16
 
 
 def term_hashes(text: str | None) -> np.ndarray:
@@ -105,6 +105,15 @@ def _groups(terms: list, size: int) -> tuple[np.ndarray, np.ndarray]:
     return group, np.array(cover, dtype=np.int64)
 
 
+def _reached(score: np.ndarray, rank: int) -> np.ndarray:
+    """What ``rank`` entries of each row reach: at most the ``rank``-th largest, told from the largest of every ``APART`` entries."""
+    wide = score.shape[1] // APART
+    if wide < rank:
+        return np.partition(score, score.shape[1] - rank, axis=1)[:, score.shape[1] - rank]
+    most = score[:, : wide * APART].reshape(len(score), APART, wide).max(1)
+    return np.partition(most, wide - rank, axis=1)[:, wide - rank]
+
+
 class Index:
     """Block-max inverted index of the examples, and their votes."""
 
@@ -125,70 +134,104 @@ class Index:
         self.ids = [e[4] for e in kept]
         # by example: terms, and the number of their count among the distinct counts
         self.begin = np.cumsum([0] + [len(e[0]) for e in kept])
-        self.term = np.concatenate([np.empty(0, dtype=np.int32)] + [np.asarray(e[0], dtype=np.int32) for e in kept])
+        term = np.concatenate([np.empty(0, dtype=np.int32)] + [np.asarray(e[0], dtype=np.int32) for e in kept])
         counts = np.concatenate([np.empty(0, dtype=np.int32)] + [np.asarray(e[1], dtype=np.int32) for e in kept])
         self.counts = np.unique(counts)
-        self.code = np.searchsorted(self.counts, counts).astype(np.min_scalar_type(self.counts.size))
         self.x = self.y = np.array([])
+        code = np.searchsorted(self.counts, counts).astype(np.min_scalar_type(self.counts.size))
+        del counts
+        n, damped = len(kept), 1 + np.log(self.counts)
+        self.length = np.zeros(n)
+        for lo in range(0, n, SLICE):
+            at, size = slice(self.begin[lo], self.begin[min(lo + SLICE, n)]), np.diff(self.begin[lo : lo + SLICE + 1])
+            self.length[lo : lo + SLICE] = np.bincount(np.repeat(np.arange(size.size), size), (damped[code[at]] * idf[term[at]]) ** 2)
+        self.length = np.sqrt(self.length)
+        # by term: its examples in order, each in one number with its count's
+        self.held = np.bincount(term, minlength=idf.size).astype(np.int32)
+        order = np.argsort(term, kind="stable")
+        del term
+        bits = self.counts.size.bit_length()
+        self.packed = np.repeat(np.arange(n, dtype=np.uint32 if n.bit_length() + bits <= 32 else np.uint64), np.diff(self.begin))[order]
+        self.packed <<= self.packed.dtype.type(bits)
+        self.packed |= code[order]
+        del order, code
         self._lists()
 
     def _lists(self) -> None:
-        """All that follows from the examples' terms."""
-        n = len(self.ids)
-        self.damped = 1 + np.log(self.counts)
-        # by term: examples in order, and the term's part in each unit vector; no more than one array of doubles is held
-        order = np.argsort(self.term, kind="stable")
-        self.example, code = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))[order], self.code[order]
-        del order
-        self.held = np.bincount(self.term, minlength=self.idf.size)
+        """All that follows from the lists of the terms."""
+        n, bits = len(self.ids), self.counts.size.bit_length()
+        self.bits, self.mask = self.packed.dtype.type(bits), self.packed.dtype.type((1 << bits) - 1)
         self.first = np.cumsum(self.held) - self.held
-        ends = np.cumsum(self.held)
-        self.share, self.length = np.empty(code.size), np.zeros(n)
-        parts = [slice(lo, lo + PART) for lo in range(0, code.size, PART)]
-        for at in parts:
-            term = np.searchsorted(ends, np.arange(at.start, min(at.stop, code.size)), "right")
-            self.share[at] = self.damped[code[at]] * self.idf[term]
-            self.length += np.bincount(self.example[at], self.share[at] ** 2, minlength=n)
-        self.length = np.sqrt(self.length)
-        for at in parts:
-            self.share[at] /= self.length[self.example[at]]
-        del code
+        self.damped = 1 + np.log(self.counts)
         # the longest lists by block: a column for each example, and the largest weight in each block
         self.blocks = -(-n // BLOCK)
         long = np.argsort(-self.held, kind="stable")[:LONG]
-        long = long[self.held[long] > BLOCK]
+        self.long = long = long[self.held[long] > BLOCK]
         self.row = np.full(self.idf.size, -1, dtype=np.int32)
         self.row[long] = np.arange(long.size)
-        self.rows = np.zeros((self.blocks * BLOCK, long.size))
+        self.weighed = np.concatenate(([0.0], self.damped))  # 0: not in the example
+        self.rows = np.zeros((n, long.size), dtype=np.min_scalar_type(self.weighed.size))
+        self.columns = np.zeros((long.size, self.blocks * BLOCK), dtype=np.float32)
         for i, t in enumerate(long.tolist()):
-            at = slice(self.first[t], self.first[t] + self.held[t])
-            self.rows[self.example[at], i] = self.share[at]
-        self.columns = np.ascontiguousarray(self.rows.T, dtype=np.float32)
+            example, of = self._entries(self.packed[self.first[t] : self.first[t] + self.held[t]])
+            self.rows[example, i] = of + 1
+            self.columns[i, example] = self.damped[of] * self.idf[t] / self.length[example]
         self.most = self.columns.reshape(long.size, self.blocks, BLOCK).max(2, initial=0)
         self.looked = self.opened = 0  # blocks of searches, and blocks opened
 
+    def _entries(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and numbers of counts of some entries."""
+        return (packed >> self.bits).astype(np.intp), (packed & self.mask).astype(np.intp)
+
+    @property
+    def term(self) -> np.ndarray:
+        """Terms of the examples one after another, told anew from the lists."""
+        return self.by_example()[0]
+
+    @property
+    def share(self) -> np.ndarray:
+        """By term, its parts in its examples' unit vectors, told anew from the lists."""
+        example, code = self._entries(self.packed)
+        return self.damped[code] * np.repeat(self.idf, self.held) / self.length[example]
+
+    def by_example(self) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the examples one after another (from ``begin`` on), and the numbers of their counts."""
+        order = np.argsort((self.packed >> self.bits).astype(np.min_scalar_type(len(self.ids))), kind="stable")
+        term = np.repeat(np.arange(self.idf.size, dtype=np.int32), self.held)[order]
+        return term, (self.packed & self.mask).astype(np.min_scalar_type(self.counts.size))[order]
+
     def __getstate__(self) -> dict:
-        """What is sent: the lists are built again where they arrive."""
-        sent = ("terms", "idf", "strength", "toxic", "all", "ids", "rate", "background", "begin", "counts", "code", "cover", "group", "x", "y")
-        return {k: self.__dict__[k] for k in sent} | {"code": zlib.compress(self.code.tobytes(), 1), "kind": self.code.dtype.str, "steps": zlib.compress(np.diff(self.term, prepend=np.int32(0)).tobytes(), 1)}
+        """What is sent: what follows from the lists is built again where they arrive."""
+        sent = ("terms", "idf", "strength", "toxic", "all", "ids", "rate", "background", "begin", "counts", "cover", "group", "length", "held", "x", "y")
+        steps = np.diff(self.packed, prepend=self.packed.dtype.type(0))  # wraps where a list ends
+        return {k: self.__dict__[k] for k in sent} | {"kind": steps.dtype.str, "steps": zlib.compress(steps.tobytes(), 1)}
 
     def __setstate__(self, state: dict) -> None:
-        code, kind, steps = state.pop("code"), state.pop("kind"), state.pop("steps")
+        steps, kind = zlib.decompress(state.pop("steps")), state.pop("kind")
         self.__dict__.update(state)
-        self.code = np.frombuffer(zlib.decompress(code), dtype=kind)
-        self.term = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.int32), dtype=np.int32)
+        self.packed = np.cumsum(np.frombuffer(steps, dtype=kind), dtype=kind)
+        del steps
         self._lists()
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def _postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and parts of the lists of these terms one after another, copied range by range."""
-        at = [slice(a, b) for a, b in zip(self.first[terms].tolist(), (self.first[terms] + self.held[terms]).tolist())]
+    def _short(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What the lists of these terms, times ``values``, give to each example's unit vector; the lists are copied range by range."""
+        at = list(zip(self.first[terms].tolist(), (self.first[terms] + self.held[terms]).tolist()))
         if not at:
-            return self.example[:0], self.share[:0].copy()
-        return np.concatenate([self.example[x] for x in at]), np.concatenate([self.share[x] for x in at])
+            return np.zeros(len(self.ids))
+        example, code = self._entries(np.concatenate([self.packed[a:b] for a, b in at]))
+        share = self.damped.take(code, mode="clip")
+        share *= np.repeat(values * self.idf[terms], self.held[terms])
+        return np.bincount(example, share, minlength=len(self.ids)) / self.length
+
+    def _long(self, found: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The same of the terms laid out by block, for some examples."""
+        if not rows.size:
+            return np.zeros(found.size)
+        return self.weighed[self.rows[found[:, None], rows]] @ (values * self.idf[self.long[rows]]) / self.length[found]
 
     def _home(self, terms: np.ndarray) -> int:
         at = np.minimum(np.searchsorted(terms, self.cover), terms.size - 1)  # terms are sorted
@@ -217,16 +260,15 @@ class Index:
 
     def _chunk(self, texts: list, without: list[int], home: int) -> list[tuple[np.ndarray, np.ndarray]]:
         n, width = len(self.ids), self.blocks * BLOCK
-        short, gains = np.empty((len(texts), width)), np.zeros((len(texts), self.columns.shape[0]))
+        short, longs = np.zeros((len(texts), n)), []
+        score, single = np.zeros((len(texts), width), dtype=np.float32), np.zeros((len(texts), self.columns.shape[0]), dtype=np.float32)
         for q, (terms, counts) in enumerate(texts):
             gain, row = self.vector(terms, counts), self.row[terms]
             long = row >= 0
-            gains[q, row[long]] = gain[long]
-            terms, gain = terms[~long], gain[~long]
-            example, share = self._postings(terms)
-            share *= np.repeat(gain, self.held[terms])
-            short[q] = np.bincount(example, share, minlength=width)
-        score, single = short.astype(np.float32), gains.astype(np.float32)
+            longs.append((row[long], gain[long]))
+            single[q, row[long]] = gain[long]
+            short[q] = self._short(terms[~long], gain[~long])
+        score[:, :n] = short
         # the blocks of the texts' own group
         a, b = np.searchsorted(self.group, home) // BLOCK, -(-np.searchsorted(self.group, home, "right") // BLOCK)
         opened = np.zeros(self.blocks, dtype=bool)
@@ -236,7 +278,7 @@ class Index:
         rank, lo, hi = min(NEAREST + 1, n), a * BLOCK, min(b * BLOCK, n)
         if hi - lo < rank:
             lo, hi = 0, n
-        least = np.partition(score[:, lo:hi], hi - lo - rank, axis=1)[:, hi - lo - rank] - NEAR
+        least = _reached(score[:, lo:hi], rank) - NEAR
         may = score.reshape(len(texts), self.blocks, BLOCK).max(2) + single @ self.most >= least[:, None]
         more = np.flatnonzero(may.any(0) & ~opened)
         opened[more] = True
@@ -244,13 +286,15 @@ class Index:
             at = slice(run[0] * BLOCK, (run[-1] + 1) * BLOCK)
             score[:, at] += single @ self.columns[:, at]
         self.looked, self.opened = self.looked + self.blocks * len(texts), self.opened + int(opened.sum()) * len(texts)
+        least = np.maximum(least, _reached(score[:, :n], rank) - NEAR)
         out = []
         for q, me in enumerate(without):
-            found = np.flatnonzero(score[q, :n] >= max(least[q], 0))
-            cosines = short[q, found] + self.rows[found] @ gains[q]
-            found, cosines = found[cosines > 0], cosines[cosines > 0]
+            found = np.flatnonzero(score[q, :n] >= max(least[q], np.finfo(np.float32).tiny))
+            cosines = short[q, found] + self._long(found, *longs[q])
+            good = cosines > 0
             if me >= 0 and self.all[me] <= 1:
-                found, cosines = found[found != me], cosines[found != me]
+                good &= found != me
+            found, cosines = found[good], cosines[good]
             best = np.lexsort((found, -cosines))
             found, cosines = found[best], cosines[best]
             covered = np.cumsum(self.all[found] - (found == me))
@@ -264,11 +308,7 @@ class Index:
         """Of some examples, the sum of ``values`` of these terms times their parts in the unit vector."""
         row = self.row[terms]
         long = row >= 0
-        out = self.rows[found[:, None], row[long]] @ values[long]
-        terms, values = terms[~long], values[~long]
-        example, share = self._postings(terms)
-        share *= np.repeat(values, self.held[terms])
-        return out + np.bincount(example, share, minlength=len(self.ids))[found]
+        return self._long(found, row[long], values[long]) + self._short(terms[~long], values[~long])[found]
 
     def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None, strengths: list[np.ndarray] | None = None) -> list[tuple[float, list[tuple[int, float]]]]:
         """Of each text the weighted share of toxic neighbours, and the three that share the most telling terms. ``strengths``: of the texts' terms, where they differ from the index's."""
@@ -437,12 +477,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, id_c
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, (held, bad, contexts) = built.value, counted.value
+        term, code = here.by_example()
         for batch in batches:
             texts, strengths, ids = [], [], batch["id"].tolist()
             for i in ids:
                 at = slice(here.begin[i], here.begin[i + 1])
-                t, y = here.term[at], here.toxic[i] / here.all[i]
-                texts.append((t, here.counts[here.code[at]]))
+                t, y = term[at], here.toxic[i] / here.all[i]
+                texts.append((t, here.counts[code[at]]))
                 # the text's own label is no evidence here
                 less = held[t] - 1
                 strengths.append(significance(less, np.clip(bad[t] - y, 0, less), contexts[t], rate))

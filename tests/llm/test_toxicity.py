@@ -196,3 +196,26 @@ def test_very_long_examples(spark, docs_of, prose):
     index = toxicity.fit(df, y, learn=df.where("doc_id >= 20"))
     got = {x["doc_id"]: x["score"] for x in toxicity.score(df, index, keep=["doc_id"]).collect()}
     assert all((got[i] >= 0.3) == (i % 4 == 0) for i in range(20))
+
+
+def test_sent_index_is_lean_and_finds_the_same():
+    import pickle
+
+    r = random.Random(21)
+    size = 2000
+    terms = toxicity.Terms(np.array(sorted(r.getrandbits(63) for _ in range(size)), dtype=np.uint64))
+    examples = [(t := tuple(sorted(r.sample(range(size), 120))), tuple(r.randint(1, 9) for _ in t), r.randint(0, 1), 1, i) for i in range(2500)]
+    index = toxicity.Index(terms, 0.2 + np.random.default_rng(5).random(size), examples)
+    here = pickle.loads(pickle.dumps(index))
+    postings = 120 * len(examples)
+    held = sum(v.nbytes for v in here.__dict__.values() if isinstance(v, np.ndarray) and v.size == postings)
+    assert held <= 4 * postings  # every worker of an executor holds the lists: no second copy, no doubles
+    term, code = here.by_example()
+    for i in (0, 7, 2499):
+        at, e = slice(here.begin[i], here.begin[i + 1]), examples[here.ids[i]]
+        assert tuple(term[at]) == e[0] and tuple(here.counts[code[at]]) == e[1]
+    texts = [(np.array(sorted(r.sample(range(size), 90))), np.array([r.randint(1, 3) for _ in range(90)])) for _ in range(30)]
+    for (t, c), mine, sent in zip(texts, index.search(texts), here.search(texts)):
+        assert (mine[0] == sent[0]).all() and (mine[1] == sent[1]).all()
+        want = brute_nearest(index, t, c, examples)
+        assert set(here.ids[i] for i in sent[0]) == set(want)
