@@ -94,3 +94,16 @@ def test_cells_copy_the_pool_seldom_and_rank_as_before(spark):
     top = mt.grid_top_k(rows, rows.withColumnRenamed("q", "id").withColumn("bonus", F.lit(0.0)), 2)
     plan = top._jdf.queryExecution().analyzed().toString()
     assert "cast(1 as bigint)" in plan and "cast(11 as bigint)" not in plan  # two blocks of queries, not twelve
+
+
+def test_network_moves_edges_seldom(spark, data):
+    from tenderscope.operators import network as nw
+    from tenderscope.plans import network as plan
+    from tenderscope.session import cut_lineage
+
+    e = cut_lineage(plan.edges(spark, data, ["supplier_name", "n_processes"]))
+    rivals = nw.ego_rivals(e, plan.SUPPLIER, plan._peer())
+    # the anchor's few edges are a table of their own, whose size the planner knows
+    assert len({f.rsplit("/", 1)[0] for f in rivals.inputFiles()}) == 2
+    totals = nw.end_totals(e)
+    assert sorted(nw.named_totals(totals).select("kind", "node", "name", "value", "degree").collect()) == sorted(nw.node_totals(e).select("kind", "node", "name", "value", "degree").collect())
