@@ -11,7 +11,8 @@ Defined cases
 - Null or empty text: no ids, decoded to the empty string.
 - The strings of special tokens are found in the raw text first, longest first, as their ids.
 - A symbol that is no token (a file without some byte): left out, as without an unknown token.
-- Very long texts are encoded whole; memories are bounded by ``CACHE`` entries, refilled when full.
+- Very long texts are encoded whole; memories are bounded by ``CACHE`` entries, refilled when full, and end with a task:
+  a Python worker is used again, by whatever comes next, which then has that memory to itself.
 - Repeated rows and extra columns pass through: one row out for each row in.
 """
 
@@ -99,6 +100,11 @@ class Bpe:
         self.fragments = _Memory(self._fragment)
         self.chunks = _Memory(self._chunk)
 
+    def forget(self) -> None:
+        """Give the memories back; the tables stay."""
+        self.fragments.clear()
+        self.chunks.clear()
+
     def cut(self, raw: bytes) -> list[tuple[bytes, bool]]:
         """The fragments of a word between certain cuts, and whether each ends the word."""
         out, start, joined = [], 0, self.joined
@@ -214,15 +220,18 @@ def encode_decode(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
-        for batch in batches:
-            rows = []
-            for text in batch.pop("__text"):
-                ids = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                shas = {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
-                rows.append(shas | ({"ids": ids} if "ids" in outputs else {}) | ({"decoded": decoded.decode()} if "decoded" in outputs else {}))
-            for c in made:
-                batch[c] = [r[c] for r in rows]
-            yield batch
+        try:
+            for batch in batches:
+                rows = []
+                for text in batch.pop("__text"):
+                    ids = bpe.encode(text)
+                    decoded = bpe.decode(ids)
+                    shas = {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
+                    rows.append(shas | ({"ids": ids} if "ids" in outputs else {}) | ({"decoded": decoded.decode()} if "decoded" in outputs else {}))
+                for c in made:
+                    batch[c] = [r[c] for r in rows]
+                yield batch
+        finally:
+            bpe.forget()
 
     return lead.mapInPandas(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tenderscope.llm.bpe import Bpe, encode_decode
+from tenderscope.llm.bpe import Bpe, encode_decode, load
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,3 +49,15 @@ def test_rows_nulls_clashes_and_empty_tables(spark):
     assert rows[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest() == rows[1]["decoded_sha256"]
     assert rows[2]["decoded"] == "hello</w> there</w>" and rows[2]["text"] == "Hello there"
     assert encode_decode(df.limit(0), PATH).collect() == []
+
+
+def test_a_worker_keeps_no_memory_of_earlier_tasks(spark):
+    df = spark.createDataFrame([(i, f"word{i} other{i % 7}") for i in range(200)], "doc_id long, text string").repartition(4)
+    assert encode_decode(df, PATH).agg({"n_tokens": "sum"}).first()[0] > 400
+
+    def held(batches):
+        for batch in batches:
+            yield batch.assign(id=len(load(PATH).chunks) + len(load(PATH).fragments))
+
+    # the same workers, whatever they do next
+    assert spark.range(0, 64, 1, 8).mapInPandas(held, "id long").agg({"id": "max"}).first()[0] == 0
