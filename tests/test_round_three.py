@@ -107,3 +107,36 @@ def test_network_moves_edges_seldom(spark, data):
     assert len({f.rsplit("/", 1)[0] for f in rivals.inputFiles()}) == 2
     totals = nw.end_totals(e)
     assert sorted(nw.named_totals(totals).select("kind", "node", "name", "value", "degree").collect()) == sorted(nw.node_totals(e).select("kind", "node", "name", "value", "degree").collect())
+
+
+def test_terms_of_a_document_are_counted_where_it_lies(spark, data):
+    assert "Exchange" not in QUERIES["tfidf_weights"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [3, 12, 1000])
+def test_terms_of_repeated_and_null_ids_are_added_up(spark, most):
+    import math
+    import re
+    from collections import Counter
+
+    from tenderscope.operators import matching as mt
+
+    docs = [(1, "Uno dos, uno DOS tres"), (2, None), (None, "dos tres"), (1, "dos_a ñandú a uno dos"), (None, "uno dos"), (2**60 + 1, "tres tres x"), (5, ""), (6, "Ωmega 77 uno—dos")]
+    counts, every = {}, Counter()
+    for i, text in docs:
+        w = [x for x in re.split(r"\W+", (text or "").lower()) if len(x) > 1]
+        found = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+        counts[i] = counts.get(i, Counter()) + found
+        every += found
+    known = sorted(every, key=lambda t: (-every[t], t.encode()))[:most]
+    want = {}
+    for i, c in counts.items():
+        w = {t: (1 + math.log(c[t])) * (math.log((1 + len(docs)) / (1 + sum(t in o for o in counts.values()))) + 1) for t in known if t in c}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        want |= {(i, t): round(x / norm, 9) for t, x in w.items()}
+    held, fitted = mt.fit_tfidf(spark.createDataFrame(docs, "id long, text string").repartition(3), "id", "text", most)
+    assert fitted.vocabulary == known
+    got = {(r["id"], r["term"]): round(r["weight"], 9) for r in fitted.rows(held, "id").collect()}
+    assert got == want
+    packed = {(r["id"], fitted.vocabulary[t]): round(w, 9) for r in fitted.weights(held, "id").collect() for t, w in zip(r["terms"], r["weights"])}
+    assert packed == want
